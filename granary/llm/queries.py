@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import sharding
+from granary.llm import iso_media, sharding
 from granary.sources.tables import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document stored as an ISO media file, read back and indexed."""
+    return iso_media.text_media(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``key``."""
     return sharding.shard_slots(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op7_sharding": op7_sharding,
 }
 
