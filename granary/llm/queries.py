@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import iso_media, sharding
+from granary.llm import iso_media, language_id, sharding, token_counts
 from granary.sources.tables import table
 
 
@@ -15,14 +16,35 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.text_media(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Vocabulary for token counts; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of encoded lengths of all documents, with its running sums."""
+    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), "text", VOCABULARY)
+    return token_counts.length_histogram(lengths)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``key``."""
     return sharding.shard_slots(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    left_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = docs.withColumn("held_out", F.coalesce(left_out, F.lit(False)))
+    net = language_id.learn(docs, "doc_id", "text", "lang", ~F.col("held_out"))
+    return language_id.predict(docs, "doc_id", "text", net, ("held_out",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_token_counts": op2_token_counts,
     "op7_sharding": op7_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
