@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import iso_media, language_id, sharding, token_counts
+from granary.llm import iso_media, language_id, quality, sharding, token_counts
 from granary.sources.tables import table
 
 
@@ -31,6 +31,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents against those labelled good, and the Gumbel top-k draw."""
+    labels = table(spark, sf_dir, "labels")
+    return quality.resample(table(spark, sf_dir, "documents"), labels, "doc_id", "text", F.col("quality") == 1)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_token_counts": op2_token_counts,
     "op7_sharding": op7_sharding,
+    "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
 
