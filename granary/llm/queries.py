@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import iso_media, language_id, quality, sharding, token_counts
+from granary.llm import iso_media, language_id, quality, sharding, simhash, token_counts
 from granary.sources.tables import table
 
 
@@ -26,6 +26,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of fingerprints at most 3 bits apart."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``key``."""
     return sharding.shard_slots(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
@@ -49,6 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_token_counts": op2_token_counts,
+    "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
