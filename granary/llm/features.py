@@ -69,8 +69,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, index of its text), in order of appearance."""
+def tokens(texts: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, index of its text), in order of appearance; without ``marks``, words only."""
     data, offsets = raw(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -81,7 +81,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     change[offsets] = True
     edges = np.flatnonzero(change)
     start, end = edges[:-1], edges[1:]
-    keep = kind[start] != _SPACE
+    keep = kind[start] != _SPACE if marks else kind[start] == _WORD
     start, end = start[keep], end[keep]
     up, down = _power(len(data))
     sums = np.empty(len(data) + 1, np.uint64)

@@ -86,20 +86,19 @@ def log_ratio(seen: np.ndarray) -> np.ndarray:
     return np.clip(np.log(target / raw), -CLIP, CLIP)
 
 
-def log_weights(docs: DataFrame, key: str, text: str, ratio: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, ``keep`` and the log importance weight of every whole text."""
-    types = dict(docs.dtypes)
+def log_weights(docs: DataFrame, text: str, ratio: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` and the log importance weight (log_weight) of every whole text."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "log_weight double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = []
-            for part in features.parts(batch.column(1)):
+            w = [np.zeros(0)]
+            for part in features.parts(batch.column(0)):
                 b, i = _ids(part)
                 w.append(np.bincount(i, ratio[b], minlength=len(part)))
-            w = np.concatenate(w) if w else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(w)], [key, *keep, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(w))], [*keep, "log_weight"])
 
-    return docs.select(key, text, *keep).mapInArrow(score, ", ".join([*(f"`{k}` {types[k]}" for k in (key, *keep)), "log_weight double"]))
+    return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(score, schema)
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -137,18 +136,24 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
             k -= r["n"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str, text: str, good: Column, seed: int = 11, keep: tuple[str, ...] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
-    """key, ``keep``, log_weight, gumbel_key and selected for every document.
+def resample(docs: DataFrame, labels: DataFrame, key: str, text: str, good: Column, seed: int = 11, keep: tuple[str, ...] | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """``keep`` (the key, where not given), log_weight, gumbel_key and selected for every document.
 
-    ``labels`` has ``key``; rows of it where ``good`` holds are the target sample.
+    ``labels`` has ``key``; rows of it where ``good`` holds are the target sample.  Sums are
+    written once, without texts, to find the k-th largest; weights of the returned rows are
+    computed anew from the texts, which gives the same numbers and stores no text.
     """
     ids = labels.filter(good & F.col(key).isNotNull()).select(F.col(key).alias("good_id")).distinct()
     ids = ids.orderBy(F.xxhash64("good_id"), "good_id").limit(target_rows).withColumn("is_good", F.lit(True))
-    plain = docs.select(F.col(key), F.col(text).alias("__text"))
-    flagged = plain.join(F.broadcast(ids), F.col(key) == F.col("good_id"), "left")
+    plain = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    flagged = plain.join(F.broadcast(ids), F.col("__key") == F.col("good_id"), "left")
     ratio = log_ratio(counts(flagged, "__text", "is_good"))
-    scored = log_weights(docs, key, text, ratio, keep).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col(key), seed))
-    scored = written(scored, "quality")
-    k = scored.agg(F.sum(F.least(F.lit(1.0), F.exp(F.least(F.col("log_weight") - F.lit(SLACK), F.lit(0.0)))))).first()[0]
-    least = kth_largest(scored, "gumbel_key", round(k or 0))
-    return scored.withColumn("selected", F.col("gumbel_key") >= F.lit(least) if least is not None else F.lit(False))
+
+    def scored(columns: tuple[str, ...]) -> DataFrame:
+        return log_weights(docs, text, ratio, columns).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col(key), seed))
+
+    sums = written(scored((key,)), "quality")
+    k = sums.agg(F.sum(F.least(F.lit(1.0), F.exp(F.least(F.col("log_weight") - F.lit(SLACK), F.lit(0.0)))))).first()[0]
+    least = kth_largest(sums, "gumbel_key", round(k or 0))
+    out = sums if keep is None else scored(keep)
+    return out.withColumn("selected", F.col("gumbel_key") >= F.lit(least) if least is not None else F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import iso_media, language_id, quality, sharding, simhash, token_counts
+from granary.llm import decontaminate, iso_media, language_id, mixing, quality, sharding, simhash, token_counts
 from granary.sources.tables import table
 
 
@@ -26,6 +26,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+#: Domains of a labelled document, and the shares of tokens that a mix aims at.
+DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+MIX = {"clean": 0.80, "low": 0.15, "toxic": 0.05}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posterior, token count and fitted rate of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated, domains, _ = mixing.mix(docs, labels, "doc_id", "text", DOMAIN, MIX)
+    shares = [F.round(F.col("mix_posterior")[domains.index(d)] if d in domains else F.lit(0.0), 9).alias(f"p_{d}") for d in MIX]
+    return rated.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *shares, F.round("mix_rate", 6).alias("rate"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of document and benchmark item whose alignment reaches half of the item's own score."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of fingerprints at most 3 bits apart."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -54,6 +72,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_token_counts": op2_token_counts,
+    "op3_mixing": op3_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op9_quality": op9_quality,
