@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, iso_media, language_id, mixing, quality, sharding, simhash, token_counts
+from granary.llm import decontaminate, iso_media, language_id, language_model, mixing, quality, sharding, simhash, token_counts
 from granary.sources.tables import table
 
 
@@ -54,6 +54,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and backoff-automaton scores of all documents, learned from nine tenths of them."""
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    return language_model.score(table(spark, sf_dir, "documents"), "doc_id", "text", train)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weights of all documents against those labelled good, and the Gumbel top-k draw."""
     labels = table(spark, sf_dir, "labels")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op8_language_model": op8_language_model,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
