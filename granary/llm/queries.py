@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, iso_media, language_id, language_model, mixing, quality, sharding, simhash, token_counts
+from granary.llm import decontaminate, iso_media, language_id, language_model, mixing, quality, sharding, simhash, suffix_dedup, token_counts
 from granary.sources.tables import table
 
 
@@ -39,6 +39,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *shares, F.round("mix_rate", 6).alias("rate"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of document and benchmark item whose alignment reaches half of the item's own score."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
