@@ -129,6 +129,7 @@ class Segments:
             s, e = start[inside], end[inside]
             found.append((owner[inside], features.mix((sums[e] - sums[s]) * down[s] + np.uint64(salt))))
         self.owner, self.shared = np.concatenate([o for o, _ in found]), np.concatenate([v for _, v in found])
+        self.value = features.mix(value)  # smallest hashes crowd at zero; ranges of values need them spread
 
 
 def _parts(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
