@@ -35,12 +35,15 @@ def deal(df: DataFrame, key: str, text: str, block_bytes: int, **more: Column) -
     return plain.withColumn("block", block).repartition(blocks, "block"), blocks
 
 
+_pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _planes(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+    return _pack.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
 
 def _values(data: bytes, dtype: type) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    flat = np.frombuffer(_unpack.decompress(data), np.uint8)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(flat.reshape(width, -1).T).view(dtype).ravel()
 

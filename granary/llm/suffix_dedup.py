@@ -48,7 +48,7 @@ SEED = 20
 #: Starts in a segment at most; only periodic text reaches it.
 MOST_STARTS = 2048
 #: Bytes of segments whose transform is built at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 700_000
 #: A byte that UTF-8 never has; it ends each segment.
 STOP = 0xFF
 _NULL = np.iinfo(np.int64).min
@@ -57,79 +57,77 @@ _NULL = np.iinfo(np.int64).min
 # ---------------------------------------------------------------- anchors
 
 
-def _window(values: np.ndarray, size: int, pick: np.ufunc, fill: int) -> np.ndarray:
-    """``pick`` (minimum or maximum) over each ``size`` neighbours, by block-wise running values."""
+def _window_least(values: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of each ``size`` neighbours, by block-wise running minima."""
     n = len(values) - size + 1
-    whole = np.full(-(-len(values) // size) * size, np.uint64(fill), np.uint64)
+    whole = np.full(-(-len(values) // size) * size, ~np.uint64(0))
     whole[: len(values)] = values
     rows = whole.reshape(-1, size)
-    after = pick.accumulate(rows, 1).ravel()
-    before = pick.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    return pick(before[:n], after[size - 1 : size - 1 + n])
+    after = np.minimum.accumulate(rows, 1).ravel()
+    before = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(before[:n], after[size - 1 : size - 1 + n])
 
 
 class Segments:
     """Segments of the texts of a block part, and what each must share with a repeat.
 
-    ``first`` and ``last`` are the places of a segment's first and last string start,
-    ``text`` its text, ``value`` its anchor hash.  ``owner`` and ``shared`` list hashes of
-    the strings around a segment's anchors: one that ends with the anchor and one that
-    begins with it, 60 bytes each.  Any string of the segment contains one of the two
-    around any anchor in it, so a segment none of whose strings the corpus has twice has no
-    repeat.
+    Every string start has an anchor: the first place in its string of the smallest seed
+    hash.  Neighbouring starts with one anchor are a run; neighbouring runs with one hash
+    (periodic text) are a segment.  A string contains the 60 bytes that end with its anchor,
+    or the 60 that begin with it, as the anchor lies right or left in it.  ``left`` and
+    ``right`` are hashes of these by run (0 where no string of the run has them), so a start
+    on a side whose hash the corpus has once has no repeat.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
-        seeds, span, half = len(data) - SEED + 1, length - SEED + 1, (length - SEED) // 2
-        self.first = self.last = self.text = self.owner = np.zeros(0, np.int64)
-        self.value = self.shared = np.zeros(0, np.uint64)
+        seeds, span = len(data) - SEED + 1, length - SEED + 1
+        self.half = (length - SEED) // 2
+        self.first = self.last = self.at = self.text = np.zeros(0, np.int64)
+        self.value = self.left = self.right = np.zeros(0, np.uint64)
         if seeds < span:
             return
         padded = np.append(data, np.zeros(8, np.uint8))
         eight = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view(np.uint64).ravel()
-        h = features.mix(eight[:seeds] * np.uint64(0x9E3779B97F4A7C15) + features.mix(eight[8 : 8 + seeds] * np.uint64(0xA24BAED4963EE407) + (eight[12 : 12 + seeds] >> np.uint64(32))))
-        least = _window(h, span, np.minimum, (1 << 64) - 1)  # by string start
-        # Runs of starts with one smallest hash, inside one text, and not too long.
-        cut = np.append(True, least[1:] != least[:-1])
-        cut[offsets[:-1][offsets[:-1] < len(least)]] = True
+        h = eight[:seeds] * np.uint64(0x9E3779B97F4A7C15)
+        h += eight[8 : 8 + seeds] * np.uint64(0xA24BAED4963EE407)
+        h += (eight[12 : 12 + seeds] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        h = features.mix(h)
+        # Hash and place in one number: the minimum is the first place of the smallest hash.
+        low = np.uint64((1 << int(seeds).bit_length()) - 1)
+        at = (_window_least((h & ~low) | np.arange(seeds, dtype=np.uint64), span) & low).astype(np.int64)
+        cut = np.append(True, at[1:] != at[:-1])
+        cut[offsets[:-1][offsets[:-1] < len(at)]] = True
         first = np.flatnonzero(cut)
-        size = np.diff(np.append(first, len(least)))
-        if (size > MOST_STARTS).any():
-            pieces = -(-size // MOST_STARTS)
-            step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first = np.repeat(first, pieces) + step * MOST_STARTS
-            size = np.diff(np.append(first, len(least)))
+        at = at[first]
         text = np.searchsorted(offsets, first, "right") - 1
-        last = np.minimum(first + size, offsets[text + 1] - length + 1) - 1
+        last = np.minimum(np.append(first[1:], len(cut)), offsets[text + 1] - length + 1) - 1
         good = last >= first
-        self.first, self.last, self.text, self.value = first, last, text, value = first[good], last[good], text[good], least[first[good]]
-        if not len(first):
-            return
-        # Anchors: seeds that are the smallest of some string; each with the segments it lies in.
-        wide = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-        at = np.flatnonzero(h == _window(wide, span, np.maximum, 0))
-        own = np.searchsorted(offsets, at, "right") - 1
-        segment = np.maximum(np.searchsorted(first, at - span + 1, "right") - 1, 0)
-        anchors, segments = [], []
-        while len(at):  # a few rounds: the segments that start within one span before an anchor
-            hit = (value[segment] == h[at]) & (text[segment] == own) & (last[segment] >= at - span + 1)
-            anchors.append(at[hit])
-            segments.append(segment[hit])
-            segment = segment + 1
-            more = segment < len(first)
-            more[more] = first[segment[more]] <= at[more]
-            at, own, segment = at[more], own[more], segment[more]
-        at, owner = np.concatenate(anchors), np.concatenate(segments)
-        own = text[owner]
+        first, last, at, text = first[good], last[good], at[good], text[good]
+        self.first, self.last, self.at, self.text, self.value = first, last, at, text, h[at]
         up, down = features._power(len(data))
         sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]))
-        found = []
-        for start, end, salt in ((at - half, at + SEED, 1), (at, at + SEED + half, 2)):
-            inside = (start >= offsets[own]) & (end <= offsets[own + 1])
-            s, e = start[inside], end[inside]
-            found.append((owner[inside], features.mix((sums[e] - sums[s]) * down[s] + np.uint64(salt))))
-        self.owner, self.shared = np.concatenate([o for o, _ in found]), np.concatenate([v for _, v in found])
-        self.value = features.mix(value)  # smallest hashes crowd at zero; ranges of values need them spread
+        begin, end = np.maximum(at - self.half, 0), np.minimum(at + SEED + self.half, len(data))
+        around = lambda s, e, salt: features.mix((sums[e] - sums[s]) * down[s] + np.uint64(salt))
+        self.left = np.where(first <= at - self.half, around(begin, at + SEED, 1), np.uint64(0))
+        self.right = np.where(last >= at - self.half, around(at, end, 2), np.uint64(0))
+
+    def pick(self, left: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, end, text, hash) of segments of starts on sides that ``left`` and ``right`` mark as repeated."""
+        middle = self.at - self.half
+        first = np.where(left, self.first, np.maximum(self.first, middle))
+        last = np.where(right, self.last, np.minimum(self.last, middle))
+        keep = (left | right) & (last >= first)
+        first, last, text, value = first[keep], last[keep], self.text[keep], self.value[keep]
+        if not len(first):
+            return first, last, text, value
+        new = np.append(True, (value[1:] != value[:-1]) | (first[1:] != last[:-1] + 1) | (text[1:] != text[:-1]))
+        # Periodic text is cut into pieces of bounded size.
+        head = np.flatnonzero(new)
+        new |= np.append(True, np.diff((first - np.repeat(first[head], np.diff(np.append(head, len(first))))) // MOST_STARTS) > 0)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(first)) - 1
+        # Smallest hashes crowd at zero; ranges of hashes need them spread.
+        return first[head], last[tail] + length, text[head], features.mix(value[head])
 
 
 def _parts(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -145,23 +143,47 @@ def _parts(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
 # ---------------------------------------------------------------- transform
 
 
+def _ranks(packed: np.ndarray, shift: int) -> np.ndarray:
+    """Dense ranks from 1 of sorted packed keys, whose low ``shift`` bits hold a position."""
+    key = packed >> shift
+    rank = np.empty(len(key), np.int64)
+    rank[packed & ((1 << shift) - 1)] = np.cumsum(np.append(1, key[1:] != key[:-1]))
+    return rank
+
+
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
-    """Order of all suffixes by their first ``length`` bytes (at least 16), by prefix doubling."""
+    """Order of all suffixes by their first ``length`` bytes (at least 5), by prefix doubling.
+
+    Key and position are packed into one number while both fit, since numbers sort faster
+    than they can be argsorted.
+    """
     n = len(text)
+    shift = int(n).bit_length()
     padded = np.append(text, np.zeros(8, np.uint8))
-    key = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(key)
-    rank = np.empty(n, np.int64)
-    known = 8
-    key = key[order]
-    rank[order] = np.cumsum(np.append(1, key[1:] != key[:-1]))
-    while known < length and rank.max() < n:
+    key = np.zeros(n, np.int64)
+    for j in range(5):
+        key = key << 8 | padded[j : j + n]
+    known, place, short = 5, np.arange(n), 3 * shift <= 63
+    if 40 + shift <= 63:
+        packed = np.sort(key << shift | place)
+        rank = _ranks(packed, shift)
+        order = packed & ((1 << shift) - 1)
+    else:
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(1, np.diff(key[order]) != 0))
+    while known < length and int(rank.max()) < n:
         step = min(known, length - known)
-        pair = rank * (n + 1)
-        pair[: n - step] += rank[step:]
-        order = np.argsort(pair)
-        pair = pair[order]
-        rank[order] = np.cumsum(np.append(1, pair[1:] != pair[:-1]))
+        pair = rank << shift
+        pair[: n - step] |= rank[step:]
+        if short:
+            packed = np.sort(pair << shift | place)
+            rank = _ranks(packed, shift)
+            order = packed & ((1 << shift) - 1)
+        else:
+            order = np.argsort(pair)
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.append(1, np.diff(pair[order]) != 0))
         known += step
     return order
 
@@ -175,33 +197,41 @@ def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     go on.  Bytes that end segments are never extended over.
     """
     n = len(text)
+    kind = np.int32 if n < 1 << 31 else np.int64
     before = text[order - 1]  # the first suffix is preceded by the last byte, an end
-    rows = np.argsort(before, kind="stable")  # row of each suffix that has one more byte in front
+    rows = np.argsort(before, kind="stable").astype(kind)  # row of each suffix that has one more byte in front
     byte = before[rows]
-    step = np.empty(n, np.int64)
-    step[rows] = np.arange(n)
+    turn = np.append(True, byte[1:] != byte[:-1])
+    step = np.empty(n, kind)
+    step[rows] = np.arange(n, dtype=kind)
     ended = np.zeros(n + 1, bool)
     ended[0] = ended[n] = True
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], kind), np.array([n], kind)
     for _ in range(length):
         if not len(low):
             break
         size = high - low
         total = int(size.sum())
-        if total * 8 > n:  # wide levels: walk all suffixes in extended order
-            owner = np.full(n, -1, np.int64)
-            owner[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(total)] = np.repeat(np.arange(len(low)), size)
-            place, group, letter = np.arange(n), owner[rows], byte
+        flat = np.repeat(low - (np.cumsum(size, dtype=kind) - size), size) + np.arange(total, dtype=kind)
+        owner = np.repeat(np.arange(len(low), dtype=kind), size)
+        if total * 6 > n:  # wide levels: walk all suffixes in extended order
+            whole = np.full(n, -1, kind)
+            whole[flat] = owner
+            group = whole[rows]
+            change = turn.copy()
+            change[1:] |= group[1:] != group[:-1]
+            first = np.flatnonzero(change).astype(kind)
+            last = np.append(first[1:], kind(n))
+            good = (group[first] >= 0) & (byte[first] != STOP)
+            low, high = first[good], last[good]
         else:
-            flat = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(total)
-            place = step[flat]
-            by = np.argsort(place)
-            place, group, letter = place[by], np.repeat(np.arange(len(low)), size)[by], before[flat][by]
-        change = np.append(True, (group[1:] != group[:-1]) | (letter[1:] != letter[:-1]))
-        first = np.flatnonzero(change)
-        last = np.append(first[1:], len(place)) - 1
-        good = (group[first] >= 0) & (letter[first] != STOP)
-        low, high = place[first[good]], place[last[good]] + 1
+            packed = np.sort(step[flat].astype(np.int64) << 32 | owner)
+            place, group = packed >> 32, packed & 0xFFFFFFFF
+            letter = byte[place]
+            first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (letter[1:] != letter[:-1])))
+            last = np.append(first[1:], len(place)) - 1
+            good = letter[first] != STOP
+            low, high = place[first[good]].astype(kind), (place[last[good]] + 1).astype(kind)
         new = ~ended[high]
         low, high = low[new], high[new]
         ended[high] = True
@@ -212,22 +242,23 @@ def _earlier(segments: list[bytes], key: np.ndarray, start: np.ndarray, length:
     """(segment, from, to): starts of distinct segments whose string also starts earlier elsewhere."""
     text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)
     order = suffix_order(text, length)
-    cls = np.empty(len(text), np.int64)
-    cls[order] = np.cumsum(expand(text, order, length))
+    heads = np.flatnonzero(expand(text, order, length))
     size = np.array([len(s) for s in segments])
     begin = np.cumsum(size + 1) - (size + 1)
     starts = size - length + 1
     seg = np.repeat(np.arange(len(segments)), starts)
     within = np.arange(len(seg)) - (np.cumsum(starts) - starts)[seg]
-    c, k, s = cls[begin[seg] + within], key[seg], start[seg] + within
-    by = np.lexsort((s, k, c))
-    first = exchange.first_of_runs(c[by])
-    many = np.diff(np.append(first, len(by)))
-    head = np.repeat(by[first], many)
-    late = np.zeros(len(seg), bool)
-    late[by] = (k[by] != k[head]) | (s[by] != s[head])
+    place = begin[seg] + within
+    # Places in the corpus as one number: documents in order, then starts.
+    none = np.iinfo(np.int64).max
+    code = np.full(len(text), none)
+    code[place] = (np.unique(key, return_inverse=True)[1][seg] << 40) + start[seg] + within
+    code = code[order]
+    least = np.repeat(np.minimum.reduceat(code, heads), np.diff(np.append(heads, len(code))))
+    late = np.zeros(len(text), bool)
+    late[order[(code > least) & (code < none)]] = True
     # Neighbouring starts of one segment make one range.
-    at = np.flatnonzero(late)
+    at = np.flatnonzero(late[place])
     if not len(at):
         return []
     cut = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (seg[at[1:]] != seg[at[:-1]])))
@@ -261,8 +292,11 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
     def anchors(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         table, _, _ = _visit(table)
-        found = [Segments(data, offsets, length).shared for _, data, offsets in _parts(table)]
-        h, many = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+        found = [x for _, data, offsets in _parts(table) for s in [Segments(data, offsets, length)] for x in (s.left, s.right)]
+        h = np.sort(np.concatenate([*found, np.zeros(0, np.uint64)]))
+        first = exchange.first_of_runs(h)
+        many = np.diff(np.append(first, len(h)))[h[first] != 0]
+        h = h[first][h[first] != 0]
         cuts = exchange.range_cuts(h, n)
         spans = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({
@@ -295,9 +329,10 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
             late: list[tuple[int, int, int]] = []
             for row0, data, offsets in _parts(table):
                 s, raw = Segments(data, offsets, length), data.tobytes()
-                for i in np.unique(s.owner[has(s.shared)]):
-                    a, b, t = int(s.first[i]), int(s.last[i]) + length, int(s.text[i])
-                    name, place = (int(s.value[i]), raw[a:b]), (int(keys[row0 + t]), a - int(offsets[t]), row0 + t)
+                begin, end, text, value = s.pick(has(s.left), has(s.right), length)
+                start, owner = (begin - offsets[text]).tolist(), keys[row0 + text].tolist()
+                for a, b, t, v, at, k in zip(begin.tolist(), end.tolist(), text.tolist(), value.tolist(), start, owner, strict=True):
+                    name, place = (v, raw[a:b]), (k, at, row0 + t)
                     had = seen.setdefault(name, place)  # rows come in key order, so this is the earliest
                     if had[:2] < place[:2]:
                         late.append((place[2], place[1], place[1] + b - a))
