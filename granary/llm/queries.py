@@ -93,4 +93,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _crc_steps() -> str:
+    """SQL list of the CRC-32 remainders of the 16 half bytes, from the polynomial."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return "[" + ", ".join(map(str, out)) + "]"
+
+
+ORACLES: dict[str, str] = {
+    # Every 100-byte string by the digest of its hex form; starts after the first of each are merged into spans.
+    "op4_suffix_dedup": """WITH h AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+      w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS d FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM h WHERE n >= 100)),
+      late AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY d ORDER BY doc_id, i) > 1),
+      mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS head FROM late),
+      runs AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM mark),
+      spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+      gaps AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+      kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f, t NULLS LAST) AS k FROM gaps g JOIN h ON g.doc_id = h.doc_id GROUP BY g.doc_id),
+      sums AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS r, count(*) AS s FROM spans GROUP BY doc_id)
+      SELECT h.doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+      FROM h LEFT JOIN kept ON h.doc_id = kept.doc_id LEFT JOIN sums ON h.doc_id = sums.doc_id""",
+    # Half bytes, low one first, are folded into the checksum; jumps are followed until past 41 shards.
+    "op7_sharding": f"""WITH RECURSIVE h AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, string_split(hex(coalesce(text, '')), '') AS h FROM documents),
+      n AS (SELECT doc_id, size, list_transform(range(len(h)), lambda i: CAST(strpos('0123456789ABCDEF', h[i + 2 - 2 * (i % 2)]) - 1 AS BIGINT)) AS x FROM h),
+      c AS (SELECT doc_id, size, CASE WHEN size = 16 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, x), lambda c, v: xor(c >> 4, {_crc_steps()}[(xor(c, v) & 15) + 1])), 4294967295) END AS crc FROM n),
+      j AS (SELECT doc_id, CAST(doc_id AS HUGEINT) AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM (SELECT DISTINCT doc_id FROM documents)
+        UNION ALL SELECT doc_id, (k * 2862933555777941757 + 1) % 18446744073709551616, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (CAST(((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 AS DOUBLE) + 1))) AS BIGINT) FROM j WHERE j < 41),
+      s AS (SELECT doc_id, CAST(max(b) FILTER (b < 40) AS INTEGER) AS shard, CAST(max(b) AS INTEGER) AS grown FROM j GROUP BY doc_id)
+      SELECT c.doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY c.doc_id, size, crc) - 1 AS slot, grown AS grown_shard FROM c JOIN s ON c.doc_id = s.doc_id""",
+}
