@@ -86,4 +86,4 @@ def ordered(table: pa.Table) -> pa.Table:
     """
     import pyarrow.compute as pc
 
-    return table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending")]))
+    return table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending")], null_placement="at_start"))

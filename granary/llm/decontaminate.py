@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from granary.llm import features
 
 NGRAM = 3
-SPACING = 4
-#: Share of all documents up to which an n-gram is rare.
-RARE = 0.001
+SPACING = 2
+#: An n-gram is rare up to this share of all documents, or this number of them.
+RARE, FEW = 0.001, 64
 THRESHOLD = 0.5
 MATCH, OTHER = 2, 1
 MOST_BLOCK_BYTES = 16 << 20
@@ -230,7 +230,7 @@ def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE) -> np.nd
     counts = np.zeros(len(items.grams) + 1, np.int64)
     for r in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["gram"]] = r["n"]
-    chosen = counts[:-1] <= rare * counts[-1]
+    chosen = counts[:-1] <= max(FEW, rare * counts[-1])
     for g in items.gram_of:
         for at in range(0, len(g), SPACING):
             near = g[at : at + SPACING]

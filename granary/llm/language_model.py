@@ -205,7 +205,7 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
         })
 
     sent = dealt.groupBy("block").applyInArrow(send, _SENT)
-    facts = sent.groupBy("part").applyInArrow(merge, _BACK)
+    facts = sent.repartition(n, "part").groupBy("part").applyInArrow(merge, _BACK)
     name = dict(df.dtypes)[key]
     schema = f"`{key}` {name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

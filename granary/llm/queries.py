@@ -27,14 +27,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Domains of a labelled document, and the shares of tokens that a mix aims at.
-DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'clean' END"
 MIX = {"clean": 0.80, "low": 0.15, "toxic": 0.05}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posterior, token count and fitted rate of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated, domains, _ = mixing.mix(docs, labels, "doc_id", "text", DOMAIN, MIX)
+    rated, domains, _ = mixing.mix(docs, labels, "doc_id", "text", F.expr(DOMAIN), MIX)
     shares = [F.round(F.col("mix_posterior")[domains.index(d)] if d in domains else F.lit(0.0), 9).alias(f"p_{d}") for d in MIX]
     return rated.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *shares, F.round("mix_rate", 6).alias("rate"))
 

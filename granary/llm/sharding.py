@@ -79,7 +79,8 @@ def shard_slots(df: DataFrame, key: str, text: str, shards: int, rows_per_range:
     span = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     ranges = max(1, -(-span["n"] // (rows_per_range * shards)))
     width = max(1, ((span["hi"] or 0) - (span["lo"] or 0)) // ranges + 1) if dtype in ("tinyint", "smallint", "int", "bigint") else None
-    cut = F.coalesce(F.floor((F.col("id") - F.lit(span["lo"] or 0)) / F.lit(width)), F.lit(-1)) if width else F.lit(0)
+    # In doubles: whole ids may be further apart than a bigint reaches, and the order of ranges is all that counts.
+    cut = F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(span["lo"] or 0))) / F.lit(float(width))), F.lit(-1)) if width else F.lit(0)
     seen = (
         df.select(F.col(key).alias("id"), (F.octet_length(text_col).cast("bigint") + 16).alias("size"), F.crc32(text_col.cast("binary")).alias("crc"))
         .groupBy("id", "size", "crc")

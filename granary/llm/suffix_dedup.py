@@ -418,8 +418,8 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table({c: pa.array(v, t) for c, v, t in zip((key, "n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, kinds, strict=True)})
 
-    told = dealt.groupBy("block").applyInArrow(anchors, _SENT).groupBy("part").applyInArrow(repeated, _TOLD)
+    told = dealt.groupBy("block").applyInArrow(anchors, _SENT).repartition(n, "part").groupBy("part").applyInArrow(repeated, _TOLD)
     met = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(meet, _MET)
-    back = met.groupBy("part").applyInArrow(compare, _BACK)
+    back = met.repartition(n, "part").groupBy("part").applyInArrow(compare, _BACK)
     schema = f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(digest, schema)
