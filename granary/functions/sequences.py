@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 # Symbols in token order (ids from 2; 0 pads, 1 masks) and their complements.
 SYMBOLS = "ACGTNRYSWKMBDHV"
@@ -57,7 +58,7 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def pack(sequences: pd.Series) -> pd.Series:
     """Two bits a base, first base in the high bits, tail padded with A; other symbols as A."""
     code = np.zeros(256, np.uint8)
@@ -73,7 +74,7 @@ def pack(sequences: pd.Series) -> pd.Series:
     return sequences.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unpack(packed: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
     """Bases ``start`` to ``start + length`` of a packed sequence."""
     letters = np.frombuffer(b"ACGT", np.uint8)

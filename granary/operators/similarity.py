@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.components import connected_components
+from granary.operators.lineage import written
 
 RELATED, NEAR = 0.80, 0.95
 
@@ -44,8 +45,10 @@ def scaled_sketch(items: Column, scale: int) -> Column:
 def jaccard_pairs(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
     """(left, right, jaccard) for all pairs of sets with at least ``threshold`` (above 0), left < right.
 
-    Keys and elements within a set must be distinct; empty sets pair with nothing.
+    Keys and elements within a set must be distinct; empty sets pair with nothing.  Sets are
+    visited several times, so they are written once to the shared folder.
     """
+    sets = written(sets.select(key, items), "sets")
     flat = sets.select(F.col(key).alias("k"), F.size(items).alias("n"), F.explode(items).alias("x"))
     counts = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     ranked = flat.join(counts.filter("df > 1"), "x")  # an element that one set has joins nothing
@@ -70,6 +73,7 @@ def classify(jaccard: Column, near: float = NEAR) -> Column:
 
 def similarity_clusters(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
     """(key, component, component_size): components of pairs at or above ``threshold``; empty sets stay alone."""
+    sets = written(sets.select(key, items), "sets")
     groups = sets.filter(F.size(items) > 0).groupBy(items).agg(F.min(key).alias("__head"))
     heads = groups.select("__head", items)
     links = connected_components(jaccard_pairs(heads, "__head", items, threshold), "left", "right")

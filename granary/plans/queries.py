@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import keys, sequences, text
 from granary.operators import audit, gates, intervals, profile, resolve, sampling, shards, similarity
+from granary.operators.lineage import written
 from granary.plans import curation
 from granary.sources.tables import table
 
@@ -387,7 +388,7 @@ def bottom_scaled_sketch(spark, sf):
 
 @query
 def shingle_jaccard(spark, sf):
-    sets = _sets(spark, sf)
+    sets = written(_sets(spark, sf), "sketches")  # a pushed-down filter would compute sketches again per word
     heads = sets.filter(F.size("items") > 0).groupBy("items").agg(F.min("doc_id").alias("doc_id"))
     pairs = similarity.jaccard_pairs(heads, "doc_id", "items", similarity.RELATED)
     return pairs.select("left", "right", F.round("jaccard", 9).alias("jaccard"), similarity.classify(F.col("jaccard")).alias("classification"))
