@@ -12,12 +12,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of applications whose session names none (tests on one machine), by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='granary-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='granary-checkpoint-')}"
+        named = _own[app]
     return named.rstrip("/")
 
 

@@ -154,4 +154,19 @@ ORACLES = {
     "task_index": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS task_index FROM orders",
     "sequence_tokens": """WITH c AS (SELECT p_partkey, list_transform(list_filter(string_split(upper(p_name), ''), lambda x: x <> ''), lambda x: CASE WHEN instr('ACGTNRYSWKMBDHV', x) > 0 THEN instr('ACGTNRYSWKMBDHV', x) + 1 ELSE 6 END) AS t FROM part)
       SELECT p_partkey, array_to_string(t, ',') AS tokens, array_to_string(list_transform(list_reverse(t), lambda i: CASE WHEN i > 1 THEN instr('ACGTNRYSWKMBDHV', substr('TGCANYRSWMKVHDB', i - 1, 1)) + 1 ELSE i END), ',') AS reverse FROM c""",
+    "record_quality": """WITH f AS (SELECT l.*, o_custkey, o_orderstatus = 'F' AS p FROM lineitem l JOIN orders ON l_orderkey = o_orderkey),
+      c AS (SELECT o_custkey, sum(CASE WHEN p THEN CAST(floor(l_extendedprice) AS BIGINT) ELSE 0 END) AS e, sum(CASE WHEN p AND l_returnflag = 'R' THEN CAST(floor(l_extendedprice) AS BIGINT) ELSE 0 END) AS k,
+        sum(CASE WHEN p AND l_discount > 0.08 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS v FROM f GROUP BY o_custkey),
+      r AS (SELECT o_custkey, sum(CAST(floor(o_totalprice) AS BIGINT)) AS n, count_if(o_orderstatus = 'F') AS pc, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) AS pb FROM orders GROUP BY o_custkey),
+      j AS (SELECT r.*, coalesce(e, 0) AS e, coalesce(k, 0) AS k, coalesce(v, 0) AS v, round(pb / n, 12) AS nf, CASE WHEN pb > 0 THEN round(coalesce(e, 0) / pb, 12) ELSE 0 END AS ef,
+        CASE WHEN coalesce(e, 0) > 0 THEN round(k / e, 12) ELSE 0 END AS kf, CASE WHEN pb > 0 THEN round(coalesce(v, 0) / pb, 12) ELSE 0 END AS vf FROM r LEFT JOIN c USING (o_custkey)),
+      x AS (SELECT *, array_to_string(list_filter([CASE WHEN nf < 0.9 THEN 'LOW_NUCLEAR' END, CASE WHEN ef < 0.95 THEN 'LOW_EVALUATED' END, CASE WHEN kf > 0.005 THEN 'PROKARYOTIC' END, CASE WHEN vf > 0.0001 THEN 'VECTOR' END], lambda s: s IS NOT NULL), ';') AS reasons FROM j)
+      SELECT o_custkey AS candidate_id, CAST(n AS BIGINT) AS base_count, CAST(pc AS BIGINT) AS primary_record_count, CAST(pb AS BIGINT) AS primary_bases, CAST(e AS BIGINT) AS primary_evaluated_bases, CAST(k AS BIGINT) AS primary_prokaryotic_bases,
+        CAST(v AS BIGINT) AS primary_vector_bases, CAST(round(kf, 9) AS DOUBLE) AS prokaryotic_fraction, reasons, CASE WHEN reasons = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM x""",
+    "release_plan": f"""WITH {_GATED}, o AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY size DESC, doc_id DESC) AS r1 FROM gated WHERE len(reasons) = 0),
+      m AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY size DESC, doc_id DESC) AS r2 FROM o WHERE r1 = 1), s AS (SELECT doc_id, lang, lang || ' ' || source AS species, size AS n, lang = 'es' AS held FROM m WHERE r2 = 1),
+      c AS (SELECT *, n // 2 AS a, least(n // 2 + 64, n) AS b FROM s), z AS (SELECT *, a + n - b AS bases FROM c), g AS (SELECT species, pow(sum(bases), 0.3) AS mass, sum(sqrt(bases)) AS loc FROM z WHERE NOT held GROUP BY species)
+      SELECT doc_id AS candidate_id, bases, a // 128 + (n - b) // 128 AS capacity_128, a // 1024 + (n - b) // 1024 AS capacity_1024, CASE WHEN held THEN 'cold_genus_holdout' ELSE 'pretrain' END AS split,
+        round(CASE WHEN held THEN 0.0 ELSE mass / (SELECT sum(mass) FROM g) * sqrt(bases) / loc END * 1000, 9) AS weight_permille FROM z LEFT JOIN g USING (species)""",
+    "unreferenced_stores": "SELECT c_custkey AS candidate_id, CAST(floor(abs(c_acctbal)) AS BIGINT) AS bytes FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
 }

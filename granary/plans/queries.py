@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import keys, sequences, text
 from granary.operators import audit, gates, intervals, profile, resolve, sampling, shards, similarity
 from granary.operators.lineage import written
-from granary.plans import curation
+from granary.plans import curation, rollups
 from granary.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,3 +487,36 @@ def packed_round_trip(spark, sf):
 @query
 def unicode_titles(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.title("text"), 256).alias("title_sha256"))
+
+
+# ---------------------------------------------------------------- roll-ups and release
+
+
+@query
+def record_quality(spark, sf):
+    orders, line = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    records = orders.select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("record_id"), big(F.floor("o_totalprice")).alias("length"), (F.col("o_orderstatus") == "F").alias("is_primary"))
+    owner = orders.select("o_custkey", "o_orderkey")
+    full = line.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.when(F.col("l_returnflag") == "R", "bacteria").when(F.col("l_linestatus") == "O", "unknown").otherwise("eukarya")
+    classes = full.select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("record_id"), kind.alias("class"), big(F.floor("l_extendedprice")).alias("bases"))
+    vector = full.filter("l_discount > 0.08").select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("record_id"), big("l_quantity").alias("bases"))
+    got = rollups.record_quality(records, classes, vector)
+    return got.select("candidate_id", "base_count", "primary_record_count", "primary_bases", "primary_evaluated_bases", "primary_prokaryotic_bases", "primary_vector_bases", F.round("prokaryotic_fraction", 9).alias("prokaryotic_fraction"), F.concat_ws(";", "reasons").alias("reasons"), "status")
+
+
+@query
+def release_plan(spark, sf):
+    docs = table(spark, sf, "documents")
+    chosen = curation.selected(_gated(spark, sf)).filter("status = 'SELECTED'")
+    sources = chosen.select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("genus"), F.concat_ws(" ", "lang", "source").alias("species"), F.col("digest").alias("near_group"))
+    spans = docs.select(F.col("doc_id").alias("candidate_id"), F.lit(0).cast("bigint").alias("start"), big("n_chars").alias("end"))
+    cut = docs.select(F.col("doc_id").alias("candidate_id"), (big("n_chars") / 2).cast("bigint").alias("start")).withColumn("end", F.col("start") + 64)
+    got = curation.release(sources, spans, cut, [128, 1024], ["es"])
+    return got.select("candidate_id", "bases", F.col("capacity")[128].alias("capacity_128"), F.col("capacity")[1024].alias("capacity_1024"), "split", F.round(F.col("sampling_weight") * 1000, 9).alias("weight_permille"))
+
+
+@query
+def unreferenced_stores(spark, sf):
+    stores = table(spark, sf, "customer").select(F.col("c_custkey").alias("candidate_id"), big(F.floor(F.abs("c_acctbal"))).alias("bytes"))
+    return rollups.unreferenced(stores, table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("candidate_id")))
