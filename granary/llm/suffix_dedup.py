@@ -19,8 +19,13 @@ the input and never cross documents.
    The earliest place in a class stays; the others are sent back as ranges to remove.
 3. Blocks visit their texts a last time, remove what came back, and digest the rest.
 
+A 60-byte string that very many documents share in different contexts would gather all of
+them at its anchor.  Such hot strings are told to the blocks as well, and on their sides every
+100-byte string is exchanged by its own hash: first as a hash, then, if the corpus has it
+twice, as a segment of one start.
+
 No stage holds more than a block or a range of segments, and none expands copies into
-pairs.  A string that very many documents share costs one segment per block and context.
+pairs.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing; a
 null key sorts before all others; equal rows count as one document and get one result
@@ -49,6 +54,8 @@ SEED = 20
 MOST_STARTS = 2048
 #: Bytes of segments whose transform is built at once.
 BATCH_BYTES = 700_000
+#: Occurrences from which a shared 60-byte string counts as hot.
+HOT = 4096
 #: A byte that UTF-8 never has; it ends each segment.
 STOP = 0xFF
 _NULL = np.iinfo(np.int64).min
@@ -106,18 +113,33 @@ class Segments:
         self.first, self.last, self.at, self.text, self.value = first, last, at, text, h[at]
         up, down = features._power(len(data))
         sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]))
+        self.sums, self.down = sums, down
         begin, end = np.maximum(at - self.half, 0), np.minimum(at + SEED + self.half, len(data))
         around = lambda s, e, salt: features.mix((sums[e] - sums[s]) * down[s] + np.uint64(salt))
         self.left = np.where(first <= at - self.half, around(begin, at + SEED, 1), np.uint64(0))
         self.right = np.where(last >= at - self.half, around(at, end, 2), np.uint64(0))
 
-    def pick(self, left: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first, end, text, hash) of segments of starts on sides that ``left`` and ``right`` mark as repeated."""
+    def strings(self, left: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, text, hash) of every string on the marked sides."""
+        first, last, text = self._sides(left, right)
+        size = last - first + 1
+        start = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        if not len(start):
+            return start, start, np.zeros(0, np.uint64)
+        h = features.mix((self.sums[start + length] - self.sums[start]) * self.down[start] + np.uint64(3))
+        return start, np.repeat(text, size), h
+
+    def _sides(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
         middle = self.at - self.half
         first = np.where(left, self.first, np.maximum(self.first, middle))
         last = np.where(right, self.last, np.minimum(self.last, middle))
-        keep = (left | right) & (last >= first)
-        first, last, text, value = first[keep], last[keep], self.text[keep], self.value[keep]
+        self.kept = keep = (left | right) & (last >= first)
+        return first[keep], last[keep], self.text[keep]
+
+    def pick(self, left: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, end, text, hash) of segments of starts on sides that ``left`` and ``right`` mark as repeated."""
+        first, last, text = self._sides(left, right)
+        value = self.value[self.kept]
         if not len(first):
             return first, last, text, value
         new = np.append(True, (value[1:] != value[:-1]) | (first[1:] != last[:-1] + 1) | (text[1:] != text[:-1]))
@@ -266,10 +288,19 @@ def _earlier(segments: list[bytes], key: np.ndarray, start: np.ndarray, length:
     return list(zip(seg[at[cut]].tolist(), within[at[cut]].tolist(), (within[at[end]] + 1).tolist(), strict=True))
 
 
+def _runs(row: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(row, from, to) of neighbouring string starts that are sorted by row and start."""
+    if not len(row):
+        return []
+    cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)))
+    end = np.append(cut[1:], len(row)) - 1
+    return list(zip(row[cut].tolist(), start[cut].tolist(), (start[end] + length).tolist(), strict=True))
+
+
 # ---------------------------------------------------------------- Spark
 
 _SENT = "part int, block int, hashes binary, many binary"
-_TOLD = "block int, hashes binary"
+_TOLD = "block int, kind int, hashes binary, hot binary"
 _MET = "part int, block int, value binary, key binary, row binary, start binary, size binary, bytes binary, ranges binary"
 _BACK = "block int, ranges binary"
 
@@ -285,15 +316,29 @@ def _visit(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return table.take(pa.array(rows)), keys[rows], np.diff(np.append(rows, len(keys)))
 
 
-def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every whole text."""
+def _known(table: pa.Table, kind: int, column: str) -> np.ndarray:
+    """Sorted hashes that the rows of one kind tell a block."""
+    mine = table.filter(pc.equal(table["kind"], kind))
+    return np.sort(np.concatenate([*(exchange.unpack_sorted(x.as_py()) for x in mine[column]), np.zeros(0, np.uint64)]))
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among sorted ``known`` ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every whole text.
+
+    Sides of segments whose shared string occurs ``hot`` times or more are exchanged string by
+    string, so that no anchor gathers more than that many segments.
+    """
     dealt, n = exchange.deal(df, key, text, block_bytes)
 
-    def anchors(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        table, _, _ = _visit(table)
-        found = [x for _, data, offsets in _parts(table) for s in [Segments(data, offsets, length)] for x in (s.left, s.right)]
-        h = np.sort(np.concatenate([*found, np.zeros(0, np.uint64)]))
+    def sent(block: int, hashes: list[np.ndarray]) -> pa.Table:
+        h = np.sort(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
         first = exchange.first_of_runs(h)
         many = np.diff(np.append(first, len(h)))[h[first] != 0]
         h = h[first][h[first] != 0]
@@ -301,10 +346,24 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
         spans = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({
             "part": pa.array(np.arange(n, dtype=np.int32)), "block": pa.array(np.full(n, block, np.int32)),
-            "hashes": pa.array([exchange.pack_sorted(h[s]) for s in spans], pa.binary()), "many": pa.array([exchange.pack(np.minimum(many[s], 2)) for s in spans], pa.binary()),
+            "hashes": pa.array([exchange.pack_sorted(h[s]) for s in spans], pa.binary()), "many": pa.array([exchange.pack(many[s]) for s in spans], pa.binary()),
         })
 
-    def repeated(table: pa.Table) -> pa.Table:
+    def anchors(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        table, _, _ = _visit(table)
+        return sent(block, [x for _, data, offsets in _parts(table) for s in [Segments(data, offsets, length)] for x in (s.left, s.right)])
+
+    def strings(table: pa.Table, told: pa.Table) -> pa.Table:
+        hottest = _known(told, 0, "hot")
+        if not table.num_rows or not len(hottest):
+            return sent(0, []).slice(0, 0)
+        block = table["block"][0].as_py()
+        table, _, _ = _visit(table)
+        parts = [Segments(data, offsets, length) for _, data, offsets in _parts(table)]
+        return sent(block, [s.strings(_among(hottest, s.left), _among(hottest, s.right), length)[2] for s in parts if len(s.first)])
+
+    def repeated(table: pa.Table, kind: int) -> pa.Table:
         owners = table["block"].to_numpy().astype(np.int64)
         sent = [exchange.unpack_sorted(x.as_py()) for x in table["hashes"]]
         many = np.concatenate([exchange.unpack(x.as_py()) for x in table["many"]])
@@ -312,30 +371,52 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
         by = np.argsort(h, kind="stable")
         h, many, block = h[by], many[by], block[by]
         first = exchange.first_of_runs(h)
-        twice = np.repeat(np.add.reduceat(many, first) > 1, np.diff(np.append(first, len(h)))) if len(h) else np.zeros(0, bool)
-        h, block = h[twice], block[twice]
-        by = np.argsort(block, kind="stable")
-        cuts = np.searchsorted(block[by], np.arange(n + 1))
-        return pa.table({"block": pa.array(np.arange(n, dtype=np.int32)), "hashes": pa.array([exchange.pack_sorted(h[by[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        total = np.repeat(np.add.reduceat(many, first), np.diff(np.append(first, len(h)))) if len(h) else many
+        columns = []
+        for mine in (total > 1, (total >= hot) & (kind == 0)):
+            mine = np.flatnonzero(mine)
+            mine = mine[np.argsort(block[mine], kind="stable")]
+            cuts = np.searchsorted(block[mine], np.arange(n + 1))
+            columns.append(pa.array([exchange.pack_sorted(h[mine[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+        return pa.table({"block": pa.array(np.arange(n, dtype=np.int32)), "kind": pa.array(np.full(n, kind, np.int32)), "hashes": columns[0], "hot": columns[1]})
 
     def meet(table: pa.Table, told: pa.Table) -> pa.Table:
         columns: dict[str, list] = {c.split()[0]: [] for c in _MET.split(", ")}
         if table.num_rows:
             block = table["block"][0].as_py()
             table, keys, _ = _visit(table)
-            twice = np.sort(np.concatenate([exchange.unpack_sorted(x.as_py()) for x in told["hashes"]] + [np.zeros(0, np.uint64)]))
-            has = lambda h: (twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h) if len(twice) else np.zeros(len(h), bool)
+            twice, hottest, again = _known(told, 0, "hashes"), _known(told, 0, "hot"), _known(told, 1, "hashes")
             seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             late: list[tuple[int, int, int]] = []
             for row0, data, offsets in _parts(table):
                 s, raw = Segments(data, offsets, length), data.tobytes()
-                begin, end, text, value = s.pick(has(s.left), has(s.right), length)
+                if not len(s.first):
+                    continue
+                hot_left, hot_right = _among(hottest, s.left), _among(hottest, s.right)
+                begin, end, text, value = s.pick(_among(twice, s.left) & ~hot_left, _among(twice, s.right) & ~hot_right, length)
                 start, owner = (begin - offsets[text]).tolist(), keys[row0 + text].tolist()
                 for a, b, t, v, at, k in zip(begin.tolist(), end.tolist(), text.tolist(), value.tolist(), start, owner, strict=True):
                     name, place = (v, raw[a:b]), (k, at, row0 + t)
                     had = seen.setdefault(name, place)  # rows come in key order, so this is the earliest
                     if had[:2] < place[:2]:
                         late.append((place[2], place[1], place[1] + b - a))
+                # Strings on hot sides, one by one; those that this part has had already go at once.
+                begin, text, value = s.strings(hot_left, hot_right, length)
+                mine = _among(again, value)
+                begin, text, value = begin[mine], text[mine], value[mine]
+                by = np.lexsort((begin, value))  # places of a part ascend, so the first of a hash is the earliest
+                head = exchange.first_of_runs(value[by])
+                first = np.repeat(by[head], np.diff(np.append(head, len(by))))
+                place = begin - offsets[text]
+                own = keys[row0 + text]
+                gone = by[(own[first] != own[by]) | (place[first] != place[by])]
+                gone = gone[np.argsort(begin[gone], kind="stable")]
+                late += _runs(row0 + text[gone], place[gone], length)
+                for i in by[head].tolist():
+                    a = int(begin[i])
+                    name, here = (int(value[i]), raw[a : a + length]), (int(own[i]), int(place[i]), row0 + int(text[i]))
+                    if seen.setdefault(name, here)[:2] < here[:2]:
+                        late.append((here[2], here[1], here[1] + length))
             value = np.array([k[0] for k in seen], np.uint64)
             texts = [k[1] for k in seen]
             places = np.array(list(seen.values()), np.int64).reshape(-1, 3)
@@ -418,8 +499,10 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table({c: pa.array(v, t) for c, v, t in zip((key, "n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, kinds, strict=True)})
 
-    told = dealt.groupBy("block").applyInArrow(anchors, _SENT).repartition(n, "part").groupBy("part").applyInArrow(repeated, _TOLD)
-    met = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(meet, _MET)
+    by_part = lambda df, kind: df.repartition(n, "part").groupBy("part").applyInArrow(lambda t: repeated(t, kind), _TOLD)
+    told = by_part(dealt.groupBy("block").applyInArrow(anchors, _SENT), 0)
+    again = by_part(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strings, _SENT), 1)
+    met = dealt.groupBy("block").cogroup(told.unionByName(again).groupBy("block")).applyInArrow(meet, _MET)
     back = met.repartition(n, "part").groupBy("part").applyInArrow(compare, _BACK)
     schema = f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(digest, schema)

@@ -29,9 +29,9 @@ def brute(rows, length=100):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, hot=4096):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, block string")
-    got = suffix_dedup.remove_repeats(df, "doc_id", "text", block_bytes=3000).collect()
+    got = suffix_dedup.remove_repeats(df, "doc_id", "text", block_bytes=3000, hot=hot).collect()
     want = brute([(k, t or "") for k, t in rows])
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(k), *want[k, t or ""]) for k, t in rows)
 
@@ -47,7 +47,8 @@ def test_against_brute_force(spark):
         rows.append((i, "".join(parts)))
     rows += [(100, None), (101, ""), (102, "ab" * 400), (103, "ab" * 399 + "c"), (104, "x" * 3000), (105, "x" * 2999), (106, "the the " * 50), (107, "y " + "the the " * 50)]
     rows += [(200, rows[5][1]), (200, rows[5][1]), (None, rows[7][1]), (3000, rows[7][1]), (-5, rows[9][1])]
-    check(spark, rows)
+    for hot in (4096, 6, 2):
+        check(spark, rows, hot)
 
 
 def test_long_text_and_hot_line(spark):
@@ -56,7 +57,8 @@ def test_long_text_and_hot_line(spark):
     long = "".join(rng.choice("abcdef ") for _ in range(40_000))
     rows = [(i, f"{rng.random()} {line} {rng.random()}" * 2) for i in range(120)]
     rows += [(500, long), (501, long[5000:25_000] + "!" + long[:3000]), (502, long[:99]), (503, "z" + long[100:200])]
-    check(spark, rows)
+    for hot in (4096, 50):
+        check(spark, rows, hot)
 
 
 def test_empty_table(spark):
