@@ -31,7 +31,7 @@ def deal(df: DataFrame, key: str, text: str, block_bytes: int, **more: Column) -
     plain = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(c.alias(n) for n, c in more.items()))
     size = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(ROW_BYTES))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-int(size) // block_bytes))
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")  # rows that share a key need not share a block
     return plain.withColumn("block", block).repartition(blocks, "block"), blocks
 
 
