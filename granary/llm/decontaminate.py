@@ -35,7 +35,8 @@ NGRAM = 3
 SPACING = 2
 #: An n-gram is rare up to this share of all documents, or this number of them.
 RARE, FEW = 0.001, 64
-THRESHOLD = 0.5
+#: Unrelated passages of the given tables score below 0.35; copies with two fifths of their words replaced score 0.4.
+THRESHOLD = 0.4
 MATCH, OTHER = 2, 1
 MOST_BLOCK_BYTES = 16 << 20
 #: Aligned passages that a task remembers.

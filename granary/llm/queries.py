@@ -45,7 +45,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of document and benchmark item whose alignment reaches half of the item's own score."""
+    """Every pair of document and benchmark item whose alignment reaches two fifths of the item's own score."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
