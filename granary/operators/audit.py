@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.gates import best
+
 
 def audit_status(registry: DataFrame, results: DataFrame, failures: DataFrame, key: str, exclusive: bool = False) -> DataFrame:
     """``registry`` with ``status``: PASS with a result, FAIL with a failure only, else MISSING.
@@ -22,8 +24,7 @@ def audit_status(registry: DataFrame, results: DataFrame, failures: DataFrame, k
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order given; ties must be broken by it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return best(df, keys, order)
 
 
 def missing_and_extra(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:

@@ -20,17 +20,23 @@ def reason_counts(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(column).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def select_unique(df: DataFrame, passes: str, orientation: str, material: list[str], rank: list[Column]) -> DataFrame:
+def best(df: DataFrame, group: list[str], rank: list[Column]) -> DataFrame:
+    """The first row of each group by ``rank``; each task keeps one row a group before the shuffle."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*rank))).filter("__n = 1").drop("__n")
+
+
+def select_unique(df: DataFrame, key: str, passes: str, orientation: str, material: list[str], rank: list[Column]) -> DataFrame:
     """Adds ``status``: the best passing row of each orientation group, then the best of those per material.
 
-    ``rank`` lists orderings, best first; the last one should be unique.
+    ``key`` is unique and ``rank`` lists orderings, best first, the last one unique.  A group
+    with a large share of all rows is never sorted in one task: winners are found by ``best``
+    and joined back by key.
     """
-    # One window per level; rows that fail share no partition with rows that pass.
-    first = F.row_number().over(Window.partitionBy(passes, orientation).orderBy(*rank))
-    ranked = df.withColumn("__first", F.when(F.col(passes), first == 1).otherwise(F.lit(False)))
-    second = F.row_number().over(Window.partitionBy("__first", *material).orderBy(*rank))
-    status = F.when(~F.coalesce(F.col(passes), F.lit(False)), STATUSES[0]).when(~F.col("__first"), STATUSES[1]).when(second > 1, STATUSES[2]).otherwise(STATUSES[3])
-    return ranked.withColumn("status", status).drop("__first")
+    first = best(df.filter(F.col(passes)), [orientation], rank)
+    second = best(first, material, rank).select(key, F.lit(True).alias("__second"))
+    marks = first.select(key, F.lit(True).alias("__first")).join(second, key, "left")
+    status = F.when(~F.coalesce(F.col(passes), F.lit(False)), STATUSES[0]).when(F.col("__first").isNull(), STATUSES[1]).when(F.col("__second").isNull(), STATUSES[2]).otherwise(STATUSES[3])
+    return df.join(marks, key, "left").withColumn("status", status).drop("__first", "__second")
 
 
 def assembly_tier(level: Column, t2t: Column, n50: Column, share: Column, least_n50: int = 10_000_000, least_share: float = 0.80) -> Column:

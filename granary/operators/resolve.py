@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.gates import best
+
 
 def unanimous(df: DataFrame, key: Column, value: str) -> DataFrame:
     """(__key, __value) for keys whose rows have exactly one value besides null and empty."""
@@ -40,9 +42,9 @@ def propagate(df: DataFrame, group: str, value: str, source: str, tag: str) -> D
     return fill(df, best, F.col(group), value, source, tag)
 
 
-def representative(df: DataFrame, group: list[str], rank: list[Column], flag: str = "is_representative") -> DataFrame:
-    """Flags the first row of each group by ``rank``."""
-    return df.withColumn(flag, F.row_number().over(Window.partitionBy(*group).orderBy(*rank)) == 1)
+def representative(df: DataFrame, key: str, group: list[str], rank: list[Column], flag: str = "is_representative") -> DataFrame:
+    """Flags the first row of each group by ``rank``; ``key`` is unique.  Large groups are not sorted in one task."""
+    return df.join(best(df, group, rank).select(key, F.lit(True).alias(flag)), key, "left").withColumn(flag, F.col(flag).isNotNull())
 
 
 def order_of(value: Column, order: dict[str, int], default: int) -> Column:

@@ -16,7 +16,7 @@ def catalog(docs: DataFrame, labels: DataFrame) -> DataFrame:
     passed = labels.filter("quality = 1").select("doc_id")
     status = audit.audit_status(base, passed, labels.filter("quality = 0").select("doc_id"), "doc_id")
     grouped = audit.exact_groups(status, "digest", "exact-", singletons=True, passing=F.col("status") == "PASS")
-    ranked = resolve.representative(grouped, ["digest", "status"], [F.col("source"), F.col("doc_id")])
+    ranked = resolve.representative(grouped, "doc_id", ["digest", "status"], [F.col("source"), F.col("doc_id")])
     flag = F.col("is_representative") & (F.col("status") == "PASS")
     return ranked.select("doc_id", "status", "exact_group", "exact_group_size", flag.alias("exact_representative"))
 
@@ -31,7 +31,7 @@ def gated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def selected(candidates: DataFrame) -> DataFrame:
     """Of passing documents the largest per exact text, and of those the largest per language and source."""
-    return gates.select_unique(candidates, "passes", "digest", ["lang", "source"], [F.desc("size"), F.desc("doc_id")])
+    return gates.select_unique(candidates, "doc_id", "passes", "digest", ["lang", "source"], [F.desc("size"), F.desc("doc_id")])
 
 
 def release(sources: DataFrame, spans: DataFrame, masks: DataFrame, contexts: list[int], held: list[str]) -> DataFrame:

@@ -105,7 +105,7 @@ def exact_dup_groups(spark, sf):
 def exact_representative(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
     rank = [resolve.order_of(F.col("source"), {"src3": 0, "src0": 1}, 9), F.col("source"), F.col("doc_id")]
-    return resolve.representative(docs, ["digest"], rank).filter("is_representative").select("digest", "doc_id", "source")
+    return gates.best(docs, ["digest"], rank).select("digest", "doc_id", "source")
 
 
 @query

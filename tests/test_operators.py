@@ -124,7 +124,7 @@ def test_sequences(spark):
 def test_gates(spark):
     rows = [("a", True, "o1", "s", "m", 5), ("b", True, "o1", "s", "m", 4), ("c", True, "o2", "s", "m", 4), ("d", False, "o3", "s", "m", 9), ("e", None, "o4", "s", "n", 9)]
     df = spark.createDataFrame(rows, "id string, ok boolean, o string, species string, material string, tier int")
-    got = {r.id: r.status for r in gates.select_unique(df, "ok", "o", ["species", "material"], [F.desc("tier"), F.desc("id")]).collect()}
+    got = {r.id: r.status for r in gates.select_unique(df, "id", "ok", "o", ["species", "material"], [F.desc("tier"), F.desc("id")]).collect()}
     assert got == {"a": "SELECTED", "b": "REJECTED_ORIENTATION_ALTERNATIVE", "c": "REJECTED_MATERIAL_ALTERNATIVE", "d": "REJECTED_HARD_GATE", "e": "REJECTED_HARD_GATE"}
     cases = [("Complete Genome", True, 0, 0.0), ("Chromosome", True, 0, 0.0), ("Chromosome", False, 0, 0.0), ("", True, 0, 0.0), ("", False, 10_000_000, 0.8), ("", False, 10_000_000, 0.79)]
     df = spark.createDataFrame(cases, "l string, t boolean, n long, f double")
