@@ -8,9 +8,9 @@ finds every close pair exactly; the Hamming distance is then verified.
 
 Documents with the same fingerprint are one node, so copies never make pairs.  Inside a
 block bucket only a spanning forest of the verified links is emitted, never all pairs.
-With 6 blocks a key has 31 to 33 bits; unrelated fingerprints rarely meet.  A bucket
-holds distinct 8-byte fingerprints only, and a large one is cut by further blocks of its
-free bits before any two are compared.
+With 6 blocks a key has 31 to 33 bits; unrelated fingerprints rarely meet.  Fingerprints
+of buckets above ``BUCKET`` are dealt again by choices of 6 of 9 blocks, whose keys leave 22
+bits free at most: no list ever holds more than 2^22 fingerprints of 8 bytes.
 
 Defined results: A-Z are lower-cased; words are runs of bytes other than ASCII white
 space; null and empty texts (and texts of white space only) have fingerprint zero, which
@@ -36,6 +36,8 @@ SEED = 42
 SHINGLE = 3
 DISTANCE = 3
 BLOCKS = 6
+#: Distinct fingerprints in a bucket beyond which they are dealt again by finer keys.
+BUCKET, FINER = 4096, 9
 #: Buckets up to this size compare all their fingerprints; larger ones are cut first.
 COMPARED_AT_ONCE = 2048
 _STEP = 1 << 15
@@ -152,13 +154,21 @@ def bucket_links(buckets: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return buckets.select("fps").mapInArrow(apply, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
+def _keyed(nodes: DataFrame, blocks: int, distance: int) -> DataFrame:
+    """(fp, choice, part): a row for each choice of blocks, with the bits of these blocks."""
+    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("part")) for i, m in enumerate(masks(blocks, distance))))
+    return nodes.select("fp", F.explode(choices).alias("k")).select("fp", "k.choice", "k.part")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, blocks: int = BLOCKS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """(key, fingerprint, component_id) for every row: component_id is the smallest key reachable by close links."""
     prints = written(fingerprints(df, key, text), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("part")) for i, m in enumerate(masks(blocks, distance))))
-    keyed = nodes.select("fp", F.explode(choices).alias("k"))
-    buckets = keyed.groupBy("k.choice", "k.part").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    keyed, by = _keyed(nodes, blocks, distance), ["choice", "part"]
+    large = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select(*by)
+    finer = _keyed(keyed.join(large, by, "left_semi").select("fp").distinct(), FINER, distance)
+    lists = lambda rows: rows.groupBy(*by).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    buckets = lists(keyed.join(large, by, "left_anti")).unionAll(lists(finer))
     groups = connected_components(bucket_links(buckets, distance), "a", "b").withColumnRenamed("node", "fp")
     roots = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))

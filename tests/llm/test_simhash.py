@@ -46,6 +46,8 @@ def test_blocks_meet_every_close_pair():
         for bit in rng.sample(range(64), 3):
             b ^= 1 << bit
         assert any(a & m == b & m for m in masks)
+    finer = simhash.masks(simhash.FINER, simhash.DISTANCE)
+    assert len(finer) == 84 and min(m.bit_count() for m in finer) >= 42
 
 
 def test_forest_is_exact_for_small_and_large_groups(monkeypatch):
@@ -78,6 +80,8 @@ def test_components_against_brute_force(spark):
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "one"), (9004, "ONE"), (9005, "x " * 30_000), (0, rows[0][1]), (None, rows[0][1])]
     df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, fp string")
     got = simhash.near_duplicates(df, "doc_id", "text").collect()
+    finer = simhash.near_duplicates(df, "doc_id", "text", bucket=1).collect()
+    assert sorted(map(str, got)) == sorted(map(str, finer))
     prints = [reference_print(t) for _, t in rows]
     root = labels(prints)
     least = {r: min(k for (k, _), q in zip(rows, root) if q == r and k is not None) for r in root}
