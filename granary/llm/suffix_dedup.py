@@ -54,8 +54,8 @@ SEED = 20
 MOST_STARTS = 2048
 #: Bytes of segments whose transform is built at once.
 BATCH_BYTES = 700_000
-#: Occurrences from which a shared 60-byte string counts as hot.
-HOT = 4096
+#: Occurrences (two at most in a periodic stretch) from which a shared 60-byte string counts as hot.
+HOT = 1 << 15
 #: A byte that UTF-8 never has; it ends each segment.
 STOP = 0xFF
 _NULL = np.iinfo(np.int64).min
@@ -352,7 +352,14 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
     def anchors(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         table, _, _ = _visit(table)
-        return sent(block, [x for _, data, offsets in _parts(table) for s in [Segments(data, offsets, length)] for x in (s.left, s.right)])
+        found = []
+        for _, data, offsets in _parts(table):
+            s = Segments(data, offsets, length)
+            for h in (s.left, s.right) if len(s.first) else ():
+                # A periodic stretch is one context: what repeats itself there need be told twice, not oftener.
+                again = np.append(False, (h[1:] == h[:-1]) & (s.text[1:] == s.text[:-1]))
+                found.append(h[~(again & np.append(False, again[:-1]))])
+        return sent(block, found)
 
     def strings(table: pa.Table, told: pa.Table) -> pa.Table:
         hottest = _known(told, 0, "hot")

@@ -61,6 +61,11 @@ def test_long_text_and_hot_line(spark):
         check(spark, rows, hot)
 
 
+def test_blocks_without_any_string(spark):
+    check(spark, [(1, "short"), (2, None), (3, "short"), (4, "x" * 99)])
+    check(spark, [(1, "é" * 50), (2, "é" * 50)], 2)
+
+
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
