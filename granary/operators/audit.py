@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.gates import best
+from granary.operators.skew import splittable
 
 
 def audit_status(registry: DataFrame, results: DataFrame, failures: DataFrame, key: str, exclusive: bool = False) -> DataFrame:
@@ -50,7 +51,7 @@ def exact_groups(df: DataFrame, digest: str, prefix: str, singletons: bool, pass
     sizes = marked.filter(F.col("__digest").isNotNull()).groupBy("__digest").agg(F.count(F.lit(1)).alias("__size"))
     named = F.concat(F.lit(prefix), F.substring("__digest", 1, 16))
     group = named if singletons else F.when(F.col("__size") > 1, named)
-    out = marked.join(sizes, "__digest", "left")
+    out = marked.join(splittable(sizes, "__digest"), "__digest", "left")
     return out.withColumns({"exact_group": F.coalesce(group, F.lit("")), "exact_group_size": F.coalesce("__size", F.lit(0)).cast("bigint")}).drop("__digest", "__size")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.gates import best
+from granary.operators.skew import splittable
 
 
 def unanimous(df: DataFrame, key: Column, value: str) -> DataFrame:
@@ -16,7 +17,7 @@ def unanimous(df: DataFrame, key: Column, value: str) -> DataFrame:
 
 def fill(df: DataFrame, lookup: DataFrame, key: Column, value: str, source: str, tag: str, overwrite: bool = False) -> DataFrame:
     """Sets ``value`` from a (__key, __value) lookup where it is empty (or always), and tags ``source``."""
-    joined = df.withColumn("__key", key).join(lookup, "__key", "left")
+    joined = df.withColumn("__key", key).join(splittable(lookup, "__key"), "__key", "left")
     take = F.col("__value").isNotNull()
     if not overwrite:
         take = take & (F.coalesce(F.col(value), F.lit("")) == "")

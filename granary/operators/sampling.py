@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.skew import splittable
+
 
 def two_level_weights(df: DataFrame, group: str, size: str, penalties: list[str], group_power: float = 0.3, member_power: float = 0.5, eligible: Column | None = None) -> DataFrame:
     """Adds ``sampling_weight``: share of the group's tempered size, times the member's share within it.
@@ -23,10 +25,10 @@ def two_level_weights(df: DataFrame, group: str, size: str, penalties: list[str]
     local = F.pow(F.col(size).cast("double"), F.lit(member_power)) / F.sqrt(worst.cast("double"))
     marked = df.withColumn("__local", F.when(ok, local))
     sums = marked.filter(ok).groupBy(group).agg(F.pow(F.sum(size).cast("double"), F.lit(group_power)).alias("__mass"), F.sum("__local").alias("__sum"))
-    total = sums.agg(F.sum("__mass").alias("__total"))
-    weight = F.col("__mass") / F.col("__total") * F.col("__local") / F.col("__sum")
-    joined = marked.join(sums, group, "left").join(F.broadcast(total))  # one row
-    return joined.withColumn("sampling_weight", F.coalesce(weight, F.lit(0.0))).drop("__local", "__mass", "__sum", "__total")
+    total = sums.agg(F.sum("__mass")).scalar()
+    weight = F.col("__mass") / total * F.col("__local") / F.col("__sum")
+    joined = marked.join(splittable(sums, group), group, "left")
+    return joined.withColumn("sampling_weight", F.coalesce(weight, F.lit(0.0))).drop("__local", "__mass", "__sum")
 
 
 def inverse_group_weight(size: Column) -> Column:

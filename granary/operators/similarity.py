@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.components import connected_components
 from granary.operators.lineage import written
+from granary.operators.skew import splittable
 
 RELATED, NEAR = 0.80, 0.95
 
@@ -51,7 +52,7 @@ def jaccard_pairs(sets: DataFrame, key: str, items: str, threshold: float) -> Da
     sets = written(sets.select(key, items), "sets")
     flat = sets.select(F.col(key).alias("k"), F.size(items).alias("n"), F.explode(items).alias("x"))
     counts = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(counts.filter("df > 1"), "x")  # an element that one set has joins nothing
+    ranked = flat.join(splittable(counts.filter("df > 1"), "x"), "x")  # an element that one set has joins nothing
     missing = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("k"))
     rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "x")) + missing  # lone elements are the rarest
     prefix = ranked.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
@@ -78,9 +79,9 @@ def similarity_clusters(sets: DataFrame, key: str, items: str, threshold: float)
     heads = groups.select("__head", items)
     links = connected_components(jaccard_pairs(heads, "__head", items, threshold), "left", "right")
     named = groups.join(links, F.col("__head") == F.col("node"), "left").select(items, F.coalesce("component", "__head").alias("component"))
-    members = sets.join(named, items, "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
+    members = sets.join(splittable(named, items), items, "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).cast("bigint").alias("component_size"))
-    return members.join(sizes, "component").select(key, "component", "component_size")
+    return members.join(splittable(sizes, "component"), "component").select(key, "component", "component_size")
 
 
 def max_jaccard(sets: DataFrame, key: str, items: str) -> DataFrame:

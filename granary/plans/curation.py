@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators import audit, gates, intervals, resolve, sampling
+from granary.operators.skew import splittable
 
 LEAST, MOST = 200, 20_000
 
@@ -44,7 +45,7 @@ def release(sources: DataFrame, spans: DataFrame, masks: DataFrame, contexts: li
     bases = left.groupBy("candidate_id").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
     room = intervals.capacity(left, ["candidate_id"], contexts).groupBy("candidate_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("context", "windows")))).alias("capacity"))
     sizes = sources.groupBy("near_group").agg(F.count(F.lit(1)).alias("near_size"))
-    full = sources.join(sizes, "near_group").join(bases, "candidate_id").join(room, "candidate_id")
+    full = sources.join(splittable(sizes, "near_group"), "near_group").join(bases, "candidate_id").join(room, "candidate_id")
     full = full.withColumn("split", sampling.holdout_split(F.col("genus"), held))
     audit.require_empty(sampling.split_leakage(full, "near_group", "split"), "near-duplicate group in two splits")
     return sampling.two_level_weights(full, "species", "bases", ["near_size"], eligible=F.col("split") == "pretrain")
