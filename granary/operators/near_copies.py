@@ -34,6 +34,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SMALL = 48
 #: One node of ``SAMPLE`` is looked at for common shingles; ``COMMON`` of these must hold one; at most ``MOST`` are broadcast.
 SAMPLE, COMMON, MOST = 16, 6, 500_000
+#: Places of the bitmap of nodes to be verified.
+BITS = 1 << 22
 #: Bytes of text that are hashed at once.
 _STEP = 4 << 20
 _EMPTY = np.zeros(0, np.int64)
@@ -173,13 +175,46 @@ def _pairs(buckets: DataFrame, threshold: float, how: str) -> DataFrame:
         a, b = np.concatenate([_EMPTY, *(x for x, _ in out)]), np.concatenate([_EMPTY, *(y for _, y in out)])
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return buckets.select("members").mapInArrow(apply, "a long, b long").distinct()
+    return buckets.select("members").mapInArrow(apply, "a long, b long")
+
+
+def _promising(buckets: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of small buckets whose prefixes share enough elements to be similar.
+
+    Past the earlier of two prefix ends lie at most ``max(ceil(t n)) - 1`` shared elements; the
+    rest of the overlap must be in both prefixes.  Nodes in large buckets (``hot``) may share
+    elements that are not counted here, so pairs of two such nodes all stay.
+    """
+    sizes = buckets.select(F.explode("members").alias("m")).select("m.node", "m.n").distinct()
+    held = hot.select(F.col("node").alias("node"), F.lit(True).alias("hot"))
+    known = written(sizes.join(held, "node", "left"), "sizes")
+    a, b = (known.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("hot").isNotNull().alias(f"h{s}")) for s in ("a", "b"))
+    counted = _pairs(buckets, threshold, "all").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).join(a, "a").join(b, "b")
+    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    past = F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9) - 1
+    return counted.filter((F.col("c") >= overlap - past) | (F.col("ha") & F.col("hb"))).select("a", "b")
+
+
+def _of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, items) of about ``nodes``, without a shuffle of the others: a bitmap of ``BITS`` drops most of these first."""
+    low = nodes.select(F.pmod("node", F.lit(BITS)).alias("i")).distinct().toArrow().column(0).to_numpy()
+    on = np.zeros(BITS, bool)
+    on[low] = True
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(on))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            i = batch.column(0).to_numpy() % BITS
+            yield batch.filter(pa.array((bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return sets.select("node", "items").mapInArrow(apply, "node long, items array<long>").join(nodes, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs that are similar."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    met = written(sets.select("node", "items").join(ends, "node", "left_semi").dropDuplicates(["node"]), "met")
+    met = written(_of_nodes(sets, written(ends, "ends")).dropDuplicates(["node"]), "met")
     left, right = (met.select(F.col("node").alias(s), F.col("items").alias(f"{s}_x")) for s in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("a_x", "b_x"))
@@ -187,13 +222,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return score.filter(F.col("jaccard") >= F.lit(threshold))
 
 
-def node_components(sets: DataFrame, threshold: float = SIMILAR, small: int = SMALL, sample: int = SAMPLE) -> DataFrame:
-    """(node, component) of every node that has a similar other; ``sets`` (node, items) should be written."""
+def _buckets(sets: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """(members) of each element that prefixes of several nodes hold."""
     keyed = _prefixes(sets, _common(sets, sample), threshold)
     members = F.collect_set(F.struct("node", "n", F.lit(0).cast("bigint").alias("c"))).alias("members")
-    buckets = written(keyed.groupBy("x").agg(members).filter(F.size("members") > 1).select("members"), "buckets")
+    return written(keyed.groupBy("x").agg(members).filter(F.size("members") > 1).select("members"), "buckets")
+
+
+def node_pairs(sets: DataFrame, threshold: float = SIMILAR, sample: int = SAMPLE) -> DataFrame:
+    """(a, b, jaccard) of every similar pair of nodes; ``sets`` (node, items) should be written."""
+    buckets = _buckets(sets, threshold, sample)
+    none = buckets.select(F.lit(0).cast("bigint").alias("node")).limit(0)
+    return _verified(written(_promising(buckets, none, threshold), "candidates"), sets, threshold)
+
+
+def node_components(sets: DataFrame, threshold: float = SIMILAR, small: int = SMALL, sample: int = SAMPLE) -> DataFrame:
+    """(node, component) of every node that has a similar other; ``sets`` (node, items) should be written."""
+    buckets = _buckets(sets, threshold, sample)
     few, many = buckets.filter(F.size("members") <= small), buckets.filter(F.size("members") > small).distinct()
-    pairs = written(_pairs(few, threshold, "all").unionAll(_pairs(many, threshold, "star")).distinct(), "candidates")
+    hot = many.select(F.explode("members").alias("m")).select("m.node").distinct()
+    pairs = written(_promising(few, hot, threshold).unionAll(_pairs(many, threshold, "star")).distinct(), "candidates")
     links = written(_verified(pairs, sets, threshold).select("a", "b"), "links")
     flat = many.select(F.monotonically_increasing_id().alias("k"), "members").select("k", F.explode("members").alias("m")).select("k", "m.node", "m.n")
     flat = written(flat, "large")
@@ -201,7 +249,7 @@ def node_components(sets: DataFrame, threshold: float = SIMILAR, small: int = SM
         known = connected_components(links, "a", "b")
         named = flat.join(known, "node", "left").select("k", F.struct("node", "n", F.coalesce("component", "node").alias("c")).alias("m"))
         mixed = named.groupBy("k").agg(F.collect_list("m").alias("members"), F.min("m.c").alias("lo"), F.max("m.c").alias("hi")).filter("lo <> hi")
-        rest = written(_pairs(mixed, threshold, "across").join(pairs, ["a", "b"], "left_anti"), "candidates")
+        rest = written(_pairs(mixed, threshold, "across").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
         links = links.unionAll(_verified(rest, sets, threshold).select("a", "b"))
     return connected_components(links, "a", "b")
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import keys, sequences, text
-from granary.operators import audit, gates, intervals, profile, resolve, sampling, shards, similarity
+from granary.operators import audit, gates, intervals, near_copies, profile, resolve, sampling, shards, similarity
 from granary.operators.lineage import written
+from granary.operators.skew import splittable
 from granary.plans import curation, rollups
 from granary.sources.tables import table
 
@@ -399,6 +400,32 @@ def near_dup_components(spark, sf):
     return similarity.similarity_clusters(_sets(spark, sf), "doc_id", "items", similarity.RELATED)
 
 
+def _whole_sets(spark, sf):
+    return written(near_copies.shingle_sets(table(spark, sf, "documents"), "text", 5, lower=False, keep=("doc_id",)), "shingles")
+
+
+@query
+def shingle_jaccard_whole(spark, sf):
+    """As shingle_jaccard, over all 5-word shingles instead of a sketch of them."""
+    sets = _whole_sets(spark, sf)
+    heads = written(sets.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("head")), "heads")
+    a, b = (heads.select(F.col("node").alias(s), F.col("head").alias(f"{s}_head")) for s in ("a", "b"))
+    pairs = near_copies.node_pairs(sets, similarity.RELATED).join(a, "a").join(b, "b")
+    return pairs.select(F.least("a_head", "b_head").alias("left"), F.greatest("a_head", "b_head").alias("right"), F.round("jaccard", 9).alias("jaccard"), similarity.classify(F.col("jaccard")).alias("classification"))
+
+
+@query
+def near_dup_components_whole(spark, sf):
+    """As near_dup_components, over all 5-word shingles instead of a sketch of them; texts without words stay alone."""
+    sets = _whole_sets(spark, sf)
+    groups = near_copies.node_components(sets, similarity.RELATED)
+    rooted = sets.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("root"))
+    full = rooted.filter("node <> 0")
+    least = full.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("component_size"))
+    alone = rooted.filter("node = 0").select("doc_id", F.col("doc_id").alias("component"), F.lit(1).cast("bigint").alias("component_size"))
+    return full.join(splittable(least, "root"), "root").select("doc_id", "component", "component_size").unionAll(alone)
+
+
 @query
 def max_jaccard_per_row(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 5)).alias("items"))
