@@ -39,7 +39,7 @@ from granary.llm.features import mix
 
 BLOCK_BYTES = 8 << 20
 #: Weight of the shorter context, from order 2 up.
-MU = (128.0,)
+MU = (128.0, 128.0)
 ADDED = 0.1
 #: Hashes of the marks around a text; words get the XXH64 of their bytes.
 START, END = np.uint64(1), np.uint64(2)

@@ -87,3 +87,12 @@ def test_repeated_text_scores_above_base_on_held_out_documents(spark, sf_dir):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
     r = lm.score(docs, "doc_id", "text", train).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
+
+
+def test_registered_model_has_contexts_of_two_words(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    model = Sequential([t for _, t in ROWS], (128.0, 128.0))
+    got = sorted((str(r.doc_id), r.score) for r in lm.score(df, "doc_id", "text", F.lit(True)).collect())
+    want = sorted((str(k), model.score(t)) for k, t in ROWS)
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want])
