@@ -99,7 +99,7 @@ def shingle_sets(df: DataFrame, text: str, size: int = SHINGLE, lower: bool = Tr
                     yield some(batch.slice(a, b - a))
 
     kinds = dict(df.dtypes)
-    return df.select(*keep, text).mapInArrow(apply, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "node long", "items array<long>"]))
+    return df.select(*keep, F.col(text).alias("__read")).mapInArrow(apply, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "node long", "items array<long>"]))
 
 
 def _common(sets: DataFrame, sample: int) -> np.ndarray:
