@@ -51,7 +51,7 @@ def shingle_hashes(texts: pa.Array, size: int = SHINGLE, lower: bool = True) ->
     """(hashes, counts): the distinct shingle hashes of each text, ascending, and how many each has."""
     rows = len(texts)
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)  # lower-cased below: ascii_lower misreads slices
     flat, offsets = lists.values, lists.offsets.to_numpy()
     flat = flat.slice(offsets[0], offsets[-1] - offsets[0])
     of = np.repeat(np.arange(rows), np.diff(offsets))
@@ -60,7 +60,8 @@ def shingle_hashes(texts: pa.Array, size: int = SHINGLE, lower: bool = True) ->
     if not len(of):
         return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
     coded = flat.dictionary_encode()
-    known = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    known = np.fromiter((xxhash.xxh64_intdigest(w.lower() if lower else w) for w in distinct), np.uint64, len(distinct))
     words = known[coded.indices.to_numpy()]
     counts = np.bincount(of, minlength=rows)
     begin = np.cumsum(counts) - counts

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -59,6 +60,14 @@ def test_stage_finds_copies_of_0_8(spark, near_rows):
     assert kept == set(brute(near_rows).values())
 
 
+def test_slices_are_hashed_as_whole_arrays(near_rows):
+    texts = pa.array([t for _, t in near_rows])
+    whole, counts = near_copies.shingle_hashes(texts)
+    assert counts.tolist() == [len(shingle_set(t)) for _, t in near_rows]
+    h, n = near_copies.shingle_hashes(texts.slice(7, 50))
+    assert n.tolist() == counts[7:57].tolist() and h.tolist() == whole[counts[:7].sum() : counts[:57].sum()].tolist()
+
+
 def test_stage_decides_per_row(spark):
     """One row of each component stays, whatever ids its rows share with others or lack."""
     one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
