@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm import features
 
@@ -242,7 +243,7 @@ def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE) -> np.nd
 def with_hits(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, name: str = "hits", threshold: float = THRESHOLD, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) and an array of benchmark hits in column ``name``."""
     kept = tuple(docs.columns if keep is None else keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    schema = T.StructType([T.StructField("__text", T.StringType()), *features.schema(docs, kept, f"`{name}` {HIT}").fields])
     out = docs.select(F.col(text).alias("__text"), *kept).withColumn(name, F.array().cast(HIT))
     for items in item_blocks(benchmark, item, item_text):
         chosen = seeds(docs, text, items)
@@ -253,7 +254,7 @@ def with_hits(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_
                 hits = [a + b for a, b in zip((h for part in features.parts(batch.column(0)) for h in aligner.hits(part)), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, _HIT)], batch.schema.names)
 
-        out = out.mapInArrow(find, ", ".join(x for x in ("__text string", schema, f"`{name}` {HIT}") if x))
+        out = out.mapInArrow(find, schema)
     return out.drop("__text")
 
 

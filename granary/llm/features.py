@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Bytes handled at once; bounds the working arrays of a task.
 PART_BYTES = 2 << 20
@@ -105,6 +107,11 @@ def pairs(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[inside], text[1:][inside]
 
 
+def schema(df: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
+    """Schema of the columns ``keep`` of ``df``, of any name and type, and of ``more`` (DDL)."""
+    return T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(more).fields])
+
+
 def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Hashes folded into ``buckets`` (a power of two)."""
     return (h >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)

@@ -113,7 +113,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, key: str, text: str, doma
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), column], ["k", "y", "b"])
                 at += len(part)
 
-    rows = joined.mapInArrow(sparse, f"k {dict(docs.dtypes)[key]}, y string, b array<int>").limit(2 * sample_rows).collect()
+    rows = joined.mapInArrow(sparse, f"k {dict(docs.dtypes)[key]}, y string, b array<int>").orderBy(F.xxhash64("k", "b"), "k").limit(2 * sample_rows).collect()
     rows.sort(key=lambda r: (r["k"], r["y"], len(r["b"])))
     domains = sorted({r["y"] for r in rows})
     if not domains:
@@ -123,7 +123,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, key: str, text: str, doma
 
 def posteriors(docs: DataFrame, text: str, model: Classifier, keep: tuple[str, ...]) -> DataFrame:
     """``keep``, mix_tokens and mix_posterior (in the order of the model's domains) of every row."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "mix_tokens long, mix_posterior array<double>"])
+    schema = features.schema(docs, keep, "mix_tokens long, mix_posterior array<double>")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -88,7 +88,7 @@ def log_ratio(seen: np.ndarray) -> np.ndarray:
 
 def log_weights(docs: DataFrame, text: str, ratio: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and the log importance weight (log_weight) of every whole text."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "log_weight double"])
+    schema = features.schema(docs, keep, "log_weight double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
