@@ -3,7 +3,6 @@ import random
 import pyarrow as pa
 import pytest
 
-import corpus_pipeline
 from granary.operators import near_copies
 from granary.plans.queries import QUERIES
 
@@ -54,12 +53,6 @@ def test_clusters_against_brute_force(spark, near_rows, small, sample):
     assert near_copies.clusters(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_stage_finds_copies_of_0_8(spark, near_rows):
-    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in near_rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
-    assert kept == set(brute(near_rows).values())
-
-
 def test_slices_are_hashed_as_whole_arrays(near_rows):
     texts = pa.array([t for _, t in near_rows])
     whole, counts = near_copies.shingle_hashes(texts)
@@ -68,16 +61,6 @@ def test_slices_are_hashed_as_whole_arrays(near_rows):
     assert n.tolist() == counts[7:57].tolist() and h.tolist() == whole[counts[:7].sum() : counts[:57].sum()].tolist()
 
 
-def test_stage_decides_per_row(spark):
-    """One row of each component stays, whatever ids its rows share with others or lack."""
-    one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
-    rows = [(1, one), (2, one + " end"), (2, two), (3, two + " end"), (None, three), (None, three + " end"), (None, one), (4, None), (None, ""), (5, "alone"), (5, "alone")]
-    df = spark.createDataFrame([(k, t, "en", f"s{i}", len(t or "")) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
-    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(k), str(t)) for k, t in [(1, one), (2, two), (None, three), (4, None), (5, "alone")])
-    assert all(rows[int(r.source[1:])] == (r.doc_id, r.text) for r in kept)
-
-
 def test_whole_sets_of_shingles(spark, tmp_path, near_rows):
     """Every shingle counts: short copies are linked, and similarities are those of whole sets."""
     rows = [(k, None if t is None else t.lower()) for k, t in near_rows]
