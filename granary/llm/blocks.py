@@ -7,18 +7,26 @@ compressed, one row for each range of hash values.  Each range merges what all b
 sent, and sends back to a block only what the block could not know by itself.  Blocks
 then work on whole texts again with a table as small as the block.
 
-A hot key costs one entry per block and a range holds about as many entries as a block,
-so no task, driver or broadcast grows with the corpus.  The deal of documents is one
-shuffle of texts, which Spark reuses for every later visit in the same query.
+A hot key costs one entry per block and a range holds about as many entries as a block, so
+the memory of a task is that of a block.  Rows of an exchange are blocks times ranges, each
+of a block's bytes over the ranges: at 8 MB a block that is 40 million rows at 30 GB; for
+very large corpora blocks must grow with the memory of executors.  The deal of documents is
+one shuffle of compressed texts, which Spark reuses for every later visit in the same query.
+Equal rows are dealt by where they are read as well, so that a row that is repeated very
+often does not land in one block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes that a row costs beside its text.
 ROW_BYTES = 100
@@ -26,18 +34,55 @@ ROW_BYTES = 100
 LEAST_BLOCKS = 8
 
 
-def deal(df: DataFrame, key: str, text: str, block_bytes: int, **more: Column) -> tuple[DataFrame, int]:
-    """(key, text, ``more``, block) dealt by block, and the number of blocks of about ``block_bytes``."""
-    plain = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(c.alias(n) for n, c in more.items()))
-    size = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(ROW_BYTES))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, -(-int(size) // block_bytes))
-    block = F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")  # rows that share a key need not share a block
-    return plain.withColumn("block", block).repartition(blocks, "block"), blocks
-
+#: Neighbouring input partitions whose equal rows share a block.
+NEIGHBOURS = 64
 
 _pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
+def _sealed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_batch(rows)
+    return _pack.compress(sink.getvalue())
+
+
+def _unsealed(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(_unpack.decompress(data)).read_all()
+
+
+def deal(df: DataFrame, key: str, text: str, block_bytes: int, **more: Column) -> tuple[DataFrame, int, int, Callable[[pa.Table], pa.Table]]:
+    """Rows dealt by block, the number of blocks of about ``block_bytes``, the bytes of all, and how a block's rows are read.
+
+    Dealt rows are (block, payload): a compressed table of the block's rows in one batch.  The
+    function returned last gives a block's (key, text, ``more``) in an order that depends on
+    nothing but their values; null texts are empty.
+    """
+    plain = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(c.alias(n) for n, c in more.items()))
+    size = int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(ROW_BYTES))).first()[0] or 0)
+    blocks = max(LEAST_BLOCKS, -(-size // block_bytes))
+    kinds = to_arrow_schema(plain.schema)
+    block = F.pmod(F.xxhash64("key", "text", F.floor(F.spark_partition_id() / NEIGHBOURS)), F.lit(blocks)).cast("int")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = batch.column(0).to_numpy()
+            by = np.argsort(to, kind="stable")
+            rows = batch.select(batch.schema.names[1:]).take(pa.array(by))
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(to[by]) != 0)), len(to)) if len(to) else np.zeros(1, np.int64)
+            payloads = [_sealed(rows.slice(a, b - a)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(to[by][cuts[:-1]], pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
+
+    def opened(table: pa.Table) -> pa.Table:
+        parts = [_unsealed(x.as_py()) for x in table["payload"]]
+        rows = pa.concat_tables([p.cast(kinds) for p in parts]) if parts else kinds.empty_table()
+        order = [("key", "ascending"), ("text", "ascending")]
+        return rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+
+    dealt = plain.select(block.alias("block"), *plain.columns).mapInArrow(close, "block int, payload binary")
+    return dealt.repartition(blocks, "block"), blocks, size, opened
+
+
 def _planes(values: np.ndarray) -> bytes:
     return _pack.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
@@ -77,13 +122,3 @@ def range_cuts(values: np.ndarray, ranges: int) -> np.ndarray:
 def first_of_runs(values: np.ndarray) -> np.ndarray:
     """Index of the first of each run of equal sorted values."""
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-
-
-def ordered(table: pa.Table) -> pa.Table:
-    """Rows of a block in an order that depends on nothing but their values.
-
-    Rows reach a block in any order; every visit sees them in this one.
-    """
-    import pyarrow.compute as pc
-
-    return table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending")], null_placement="at_start"))

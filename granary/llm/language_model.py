@@ -14,8 +14,11 @@ the longest context that the automaton has.
 
 The automaton of a whole corpus has no size bound, so it is never gathered.  Each block of
 documents gets the sub-automaton its own texts can visit (see ``blocks``): exact corpus-wide
-counts of the n-grams and contexts that occur in it.  Nothing is capped or pruned; what
-is exchanged grows in proportion to the corpus.
+counts of the n-grams and contexts that occur in it.  A block sends the hashes and counts of
+its distinct n-grams; the answer is what other blocks add to each count, in the order in which
+they were sent, so hashes travel once.  Nothing is capped or pruned; what is exchanged grows
+in proportion to the corpus.  Hashes have as many bytes as keep the chance that an n-gram
+meets another one's hash below one in 250,000, whatever the size of the corpus (up to 64 bits).
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z lower-cased;
 null and empty texts are one end token; rows with a null key are trained on; repeated rows
@@ -125,8 +128,14 @@ def _training_counts(hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray,
     return known, np.bincount(back, train, minlength=len(known)).astype(np.int64), back
 
 
+def hash_mask(size: int) -> np.uint64:
+    """The bits that hashes of n-grams keep in a corpus of ``size`` bytes: 18 more than the size has, in whole bytes."""
+    kept = min(64, 8 * -(-(int(size).bit_length() + 18) // 8))
+    return np.uint64(((1 << kept) - 1) << (64 - kept))
+
+
 _SENT = "part int, block int, texts long, grams array<binary>, counts array<binary>"
-_BACK = "block int, part int, tokens long, words long, texts long, grams array<binary>, counts array<binary>"
+_BACK = "block int, part int, tokens long, words long, texts long, added array<binary>"
 
 
 def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ...] = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -136,14 +145,15 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
     number of weights ``mu``.
     """
     order = len(mu) + 1
-    dealt, n = exchange.deal(df, key, text, block_bytes, train=F.coalesce(train, F.lit(True)))
-    binaries = pa.list_(pa.binary())
+    dealt, n, size, opened = exchange.deal(df, key, text, block_bytes, train=F.coalesce(train, F.lit(True)))
+    binaries, mask = pa.list_(pa.binary()), hash_mask(size)
 
     def send(table: pa.Table) -> pa.Table:
-        table = exchange.ordered(table)
+        block = table["block"][0].as_py()
+        table = opened(table)
         seq = read(table["text"].combine_chunks())
         learned = table["train"].combine_chunks().to_numpy(zero_copy_only=False)
-        found = [_training_counts(h, learned[seq.text[at]])[:2] for at, h in grams(seq, order)]
+        found = [_training_counts(h & mask, learned[seq.text[at]])[:2] for at, h in grams(seq, order)]
         cuts = [exchange.range_cuts(h, n) for h, _ in found]
         rows = [[], []]
         for p in range(n):
@@ -151,46 +161,43 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
             rows[1].append([exchange.pack(m[c[p] : c[p + 1]]) for (_, m), c in zip(found, cuts, strict=True)])
         texts = np.zeros(n, np.int64)
         texts[0] = learned.sum()
-        block = np.full(n, table["block"][0].as_py(), np.int32)
-        return pa.table({"part": pa.array(np.arange(n, dtype=np.int32)), "block": pa.array(block), "texts": pa.array(texts), "grams": pa.array(rows[0], binaries), "counts": pa.array(rows[1], binaries)})
+        return pa.table({"part": pa.array(np.arange(n, dtype=np.int32)), "block": pa.array(np.full(n, block, np.int32)), "texts": pa.array(texts), "grams": pa.array(rows[0], binaries), "counts": pa.array(rows[1], binaries)})
 
     def merge(table: pa.Table) -> pa.Table:
-        owners = table["block"].to_numpy().astype(np.int64)
-        back = [[[] for _ in range(n)], [[] for _ in range(n)]]
+        added: list[list[bytes]] = [[] for _ in range(table.num_rows)]
         tokens = words = 0
         for k in range(order):
             sent = [exchange.unpack_sorted(g[k].as_py()) for g in table["grams"]]
+            ends = np.cumsum([len(s) for s in sent])
             own = np.concatenate([exchange.unpack(c[k].as_py()) for c in table["counts"]])
-            h, block = np.concatenate(sent), np.repeat(owners, [len(s) for s in sent])
+            h = np.concatenate(sent)
             del sent
             by = np.argsort(h, kind="stable")
-            h, own, block = h[by], own[by], block[by]
+            h, own = h[by], own[by]
             first = exchange.first_of_runs(h)
             total = np.add.reduceat(own, first) if len(first) else own
             if not k:
                 tokens, words = int(total.sum()), int((total > 0).sum())
-            total = np.repeat(total, np.diff(np.append(first, len(h))))
-            news = np.flatnonzero(total != own)  # a block knows the rest by itself
-            news = news[np.argsort(block[news], kind="stable")]
-            cuts = np.searchsorted(block[news], np.arange(n + 1))
-            for b in range(n):
-                mine = news[cuts[b] : cuts[b + 1]]
-                back[0][b].append(exchange.pack_sorted(h[mine]))
-                back[1][b].append(exchange.pack(total[mine]))
+            more = np.empty_like(own)
+            more[by] = np.repeat(total, np.diff(np.append(first, len(h)))) - own  # what others add, in the order in which each block sent
+            for to, mine in zip(added, np.split(more, ends[:-1]), strict=True):
+                to.append(exchange.pack(mine))
+        rows = table.num_rows
+        same = lambda x: pa.array(np.full(rows, x, np.int64))
         texts = int(pc.sum(table["texts"]).as_py())
-        part = table["part"][0].as_py()
-        same = lambda x, t: pa.array([x] * n, t)
-        return pa.table({"block": pa.array(np.arange(n, dtype=np.int32)), "part": same(part, pa.int32()), "tokens": same(tokens, pa.int64()), "words": same(words, pa.int64()), "texts": same(texts, pa.int64()), "grams": pa.array(back[0], binaries), "counts": pa.array(back[1], binaries)})
+        return pa.table({"block": table["block"], "part": table["part"], "tokens": same(tokens), "words": same(words), "texts": same(texts), "added": pa.array(added, binaries)})
 
     def apply(table: pa.Table, facts: pa.Table) -> pa.Table:
-        table = exchange.ordered(table)
+        table = opened(table)
         seq = read(table["text"].combine_chunks())
         learned = table["train"].combine_chunks().to_numpy(zero_copy_only=False)
+        parts = facts["part"].to_pylist()
         counts = []
         for k, (at, h) in enumerate(grams(seq, order)):
-            known, total, back = _training_counts(h, learned[seq.text[at]])
-            for g, c in zip(facts["grams"], facts["counts"], strict=True):
-                total[np.searchsorted(known, exchange.unpack_sorted(g[k].as_py()))] = exchange.unpack(c[k].as_py())
+            known, total, back = _training_counts(h & mask, learned[seq.text[at]])
+            cuts = exchange.range_cuts(known, n)
+            for p, added in zip(parts, facts["added"], strict=True):
+                total[cuts[p] : cuts[p + 1]] += exchange.unpack(added[k].as_py())
             here = np.zeros(len(seq.hashes), np.int64)
             here[at] = total[back]
             counts.append(here)
@@ -211,7 +218,7 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            empty = {key: left["key"], "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}}
+            empty = {key: opened(left)["key"], "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}}
             return pa.table(empty)
         return apply(left, right)
 

@@ -306,8 +306,8 @@ _BACK = "block int, ranges binary"
 
 
 def _visit(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A block's rows in fixed order, equal rows once; their keys (null: smallest); how often each is there."""
-    table = exchange.ordered(table).combine_chunks()
+    """A block's rows, equal rows once; their keys (null: smallest); how often each is there."""
+    table = table.combine_chunks()
     keys = pc.cast(table["key"], pa.int64()).fill_null(_NULL).to_numpy()
     texts = table["text"]
     same = np.zeros(len(keys), bool)
@@ -335,7 +335,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
     Sides of segments whose shared string occurs ``hot`` times or more are exchanged string by
     string, so that no anchor gathers more than that many segments.
     """
-    dealt, n = exchange.deal(df, key, text, block_bytes)
+    dealt, n, _, opened = exchange.deal(df, key, text, block_bytes)
 
     def sent(block: int, hashes: list[np.ndarray]) -> pa.Table:
         h = np.sort(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
@@ -351,7 +351,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
 
     def anchors(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        table, _, _ = _visit(table)
+        table, _, _ = _visit(opened(table))
         found = []
         for _, data, offsets in _parts(table):
             s = Segments(data, offsets, length)
@@ -366,7 +366,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
         if not table.num_rows or not len(hottest):
             return sent(0, []).slice(0, 0)
         block = table["block"][0].as_py()
-        table, _, _ = _visit(table)
+        table, _, _ = _visit(opened(table))
         parts = [Segments(data, offsets, length) for _, data, offsets in _parts(table)]
         return sent(block, [s.strings(_among(hottest, s.left), _among(hottest, s.right), length)[2] for s in parts if len(s.first)])
 
@@ -391,7 +391,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
         columns: dict[str, list] = {c.split()[0]: [] for c in _MET.split(", ")}
         if table.num_rows:
             block = table["block"][0].as_py()
-            table, keys, _ = _visit(table)
+            table, keys, _ = _visit(opened(table))
             twice, hottest, again = _known(told, 0, "hashes"), _known(told, 0, "hot"), _known(told, 1, "hashes")
             seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             late: list[tuple[int, int, int]] = []
@@ -482,6 +482,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
 
     def digest(table: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[tuple] = []
+        table = opened(table)
         if table.num_rows:
             table, _, copies = _visit(table)
             ranges = np.concatenate([exchange.unpack(x.as_py()) for x in told["ranges"]] + [np.zeros(0, np.int64)]).reshape(-1, 3)
