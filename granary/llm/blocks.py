@@ -80,7 +80,12 @@ def deal(df: DataFrame, key: str, text: str, block_bytes: int, **more: Column) -
         return rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
 
     dealt = plain.select(block.alias("block"), *plain.columns).mapInArrow(close, "block int, payload binary")
-    return dealt.repartition(blocks, "block"), blocks, size, opened
+    return dealt.repartitionById(blocks, F.col("block")), blocks, size, opened
+
+
+def to_owner(df: DataFrame, owner: str, n: int) -> DataFrame:
+    """``df`` with each of ``n`` owners (blocks or ranges) in a task of its own, so that no two meet by chance of a hash."""
+    return df.repartitionById(n, F.col(owner))
 
 
 def _planes(values: np.ndarray) -> bytes:

@@ -212,7 +212,7 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
         })
 
     sent = dealt.groupBy("block").applyInArrow(send, _SENT)
-    facts = sent.repartition(n, "part").groupBy("part").applyInArrow(merge, _BACK)
+    facts = exchange.to_owner(sent, "part", n).groupBy("part").applyInArrow(merge, _BACK)
     name = dict(df.dtypes)[key]
     schema = f"`{key}` {name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -222,4 +222,4 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
             return pa.table(empty)
         return apply(left, right)
 
-    return dealt.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(visit, schema)
+    return dealt.groupBy("block").cogroup(exchange.to_owner(facts, "block", n).groupBy("block")).applyInArrow(visit, schema)

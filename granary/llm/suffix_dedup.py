@@ -507,10 +507,10 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table({c: pa.array(v, t) for c, v, t in zip((key, "n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, kinds, strict=True)})
 
-    by_part = lambda df, kind: df.repartition(n, "part").groupBy("part").applyInArrow(lambda t: repeated(t, kind), _TOLD)
+    by_part = lambda df, kind: exchange.to_owner(df, "part", n).groupBy("part").applyInArrow(lambda t: repeated(t, kind), _TOLD)
     told = by_part(dealt.groupBy("block").applyInArrow(anchors, _SENT), 0)
-    again = by_part(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strings, _SENT), 1)
-    met = dealt.groupBy("block").cogroup(told.unionByName(again).groupBy("block")).applyInArrow(meet, _MET)
-    back = met.repartition(n, "part").groupBy("part").applyInArrow(compare, _BACK)
+    again = by_part(dealt.groupBy("block").cogroup(exchange.to_owner(told, "block", n).groupBy("block")).applyInArrow(strings, _SENT), 1)
+    met = dealt.groupBy("block").cogroup(exchange.to_owner(told.unionByName(again), "block", n).groupBy("block")).applyInArrow(meet, _MET)
+    back = exchange.to_owner(met, "part", n).groupBy("part").applyInArrow(compare, _BACK)
     schema = f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(digest, schema)
+    return dealt.groupBy("block").cogroup(exchange.to_owner(back, "block", n).groupBy("block")).applyInArrow(digest, schema)
