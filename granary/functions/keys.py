@@ -57,20 +57,19 @@ def member_type(name: Column, protein: tuple[str, ...] = (".faa", ".pep"), table
     return F.when(_ends(bare, protein), "protein_fasta").when(_ends(bare, ANNOTATION), "annotation").when(_ends(bare, FASTA), "fasta").when(_ends(bare, tables), "table").otherwise("other")
 
 
-def annotation_role(path: Column, primary: list[tuple[str, str]], secondary: list[tuple[str, str]], default: str = "other_annotation") -> Column:
-    """Struct (role, is_primary) by ordered rules (regular expression on the lower-cased base name, role)."""
-    name = F.lower(base_name(path))
-    out = None
-    for flag, rules in ((True, primary), (False, secondary)):
-        for pattern, role in rules:
-            value = F.struct(F.lit(role).alias("role"), F.lit(flag).alias("is_primary"))
-            out = F.when(name.rlike(pattern), value) if out is None else out.when(name.rlike(pattern), value)
-    last = F.struct(F.lit(default).alias("role"), F.lit(False).alias("is_primary"))
-    return last if out is None else out.otherwise(last)
+def annotation_role(path: Column, primary: list[tuple[str, ...]], secondary: list[tuple[str, ...]], default: str = "other_annotation") -> Column:
+    """Struct (role, is_primary) by ordered rules: pattern on the lower-cased base name, role, and maybe a pattern on the whole path."""
+    low = F.lower(path)
+    found = [
+        F.when(F.lower(base_name(path)).rlike(pattern) & (low.rlike(folder[0]) if folder else F.lit(True)), F.struct(F.lit(role).alias("role"), F.lit(flag).alias("is_primary")))
+        for flag, rules in ((True, primary), (False, secondary))
+        for pattern, role, *folder in rules
+    ]
+    return F.coalesce(*found, F.struct(F.lit(default).alias("role"), F.lit(False).alias("is_primary")))
 
 
 #: Role patterns on base names, in order of precedence.
-PRIMARY_ROLES = [("gene_models_main", "gene_models_main"), (r"_?genomic\.gff3?\.gz$", "ncbi_genomic")]
+PRIMARY_ROLES = [("gene_models_main", "gene_models_main"), (r"_?genomic\.gff3?\.gz$", "ncbi_genomic"), (r"\.gene\.gff|\.gene_models\.gff", "soyomics_gene", "(^|/)gff/")]
 SECONDARY_ROLES = [
     ("iprscan", "functional_iprscan"),
     ("repeat", "repeat"),
@@ -159,8 +158,8 @@ def text_bool(value: Column) -> Column:
 
 
 def nullable_int(value: Column) -> Column:
-    """A whole number; empty text and "." are null, other text is an error."""
-    return F.nullif(F.nullif(F.trim(value), F.lit("")), F.lit(".")).cast("bigint")
+    """A whole number; empty text is null, other text is an error."""
+    return F.nullif(F.trim(value), F.lit("")).cast("bigint")
 
 
 def joined(values: Column) -> Column:

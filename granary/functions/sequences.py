@@ -49,8 +49,8 @@ def normalised(sequence: Column) -> Column:
 
 def orientation_digest(sequence: Column) -> Column:
     """The smaller of the digests of both strands, with the length: equal for a record and its reverse complement."""
-    plain = normalised(sequence)
-    return F.concat(F.length(plain).cast("string"), F.lit(":"), F.least(F.sha2(plain, 256), F.sha2(reverse_complement(plain), 256)))
+    # Through a list of one, so that the text is normalised once.
+    return F.transform(F.array(normalised(sequence)), lambda plain: F.concat(F.length(plain).cast("string"), F.lit(":"), F.least(F.sha2(plain, 256), F.sha2(reverse_complement(plain), 256))))[0]
 
 
 def canonical(kmer: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,38 +79,77 @@ def weighted_draws(items: DataFrame, draws: DataFrame, key: str, weight: str, u:
     return every.withColumn("last", F.max("item").over(running)).filter("side = 1").select("draw.*", F.col("last.k").alias(key))
 
 
-def _seed(*parts: int) -> int:
-    return int.from_bytes(hashlib.sha256("\0".join(map(str, parts)).encode("ascii")).digest()[:8], "little")
+class Release:
+    """A bounded release manifest as flat tables of running shares, for draws by bisection.
+
+    Fixed by the format, so that draws are bit-equal wherever they are made: a step's generator
+    is seeded by the first 8 bytes (little end first) of the SHA-256 of seed, step and rank joined
+    by zero bytes; a draw takes, in this order, a number for the source, one for the interval, a
+    start and a strand.
+    """
+
+    def __init__(self, sources: list[dict], context: int):
+        usable = [(s["name"], s["weight"] if s["weight"] > 0 else 1.0, np.array([i for i in s["intervals"] if i[1] >= context], np.int64).reshape(-1, 2)) for s in sources]
+        usable = [u for u in usable if len(u[2])]
+        if not usable:
+            raise ValueError("no source has an interval of the context length")
+        self.names = [name for name, _, _ in usable]
+        self.by_source = self._running(np.array([w for _, w, _ in usable], np.float64))
+        self.low = [spans[:, 0] for _, _, spans in usable]
+        self.room = [spans[:, 1] - (context - 1) for _, _, spans in usable]
+        self.by_interval = [self._running(r.astype(np.float64)) for r in self.room]
+
+    @staticmethod
+    def _running(weights: np.ndarray) -> np.ndarray:
+        sums = np.cumsum(weights / weights.sum())
+        return sums / sums[-1]
+
+    def draws(self, seed: int, step: int, rank: int, batch: int) -> list[tuple]:
+        """(step, rank, row, source, start, reverse) of a step."""
+        name = f"{seed}\0{step}\0{rank}".encode("ascii")
+        rng = np.random.default_rng(int(np.frombuffer(hashlib.sha256(name).digest(), "<u8", 1)[0]))
+        out = []
+        for row in range(batch):
+            source = bisect.bisect_right(self.by_source, rng.random())
+            interval = bisect.bisect_right(self.by_interval[source], rng.random())
+            low = int(self.low[source][interval])
+            start = int(rng.integers(low, low + int(self.room[source][interval])))
+            out.append((step, rank, row, self.names[source], start, bool(rng.integers(0, 2))))
+        return out
 
 
 def sample_windows(steps: DataFrame, sources: list[dict], context: int, seed: int, batch: int) -> DataFrame:
-    """Draws of (source, interval, start, strand) for each (step, rank), bit-equal to numpy's generator.
+    """Draws of (source, interval, start, strand) for each (step, rank).
 
     ``sources`` (a bounded release manifest) has name, weight and intervals (start, length).
     """
-    kept = [(s["name"], s["weight"] if s["weight"] > 0 else 1.0, [i for i in s["intervals"] if i[1] >= context]) for s in sources]
-    kept = [s for s in kept if s[2]]
-    if not kept:
-        raise ValueError("no source has an interval of the context length")
-    p = np.array([w for _, w, _ in kept])
-    p = p / p.sum()
+    release = Release(sources, context)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for step, rank in zip(frame["step"], frame["rank"], strict=True):
-                rng = np.random.default_rng(_seed(seed, int(step), int(rank)))
-                for i in range(batch):
-                    name, _, intervals = kept[int(rng.choice(len(kept), p=p))]
-                    room = np.array([n - context + 1 for _, n in intervals], np.float64)
-                    low, n = intervals[int(rng.choice(len(intervals), p=room / room.sum()))]
-                    start = int(rng.integers(low, low + n - context + 1))
-                    rows.append((int(step), int(rank), i, name, start, bool(rng.integers(0, 2))))
+            rows = [r for step, rank in zip(frame["step"].tolist(), frame["rank"].tolist(), strict=True) for r in release.draws(seed, step, rank, batch)]
             yield pd.DataFrame(rows, columns=["step", "rank", "row", "source", "start", "reverse"])
 
     return steps.select("step", "rank").mapInPandas(draw, "step long, rank long, row int, source string, start long, reverse boolean")
 
 
+def span_starts(n: int, probability: float, mean_span: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of spans that cover exactly ``ceil(n * probability)`` of ``n`` places and do not overlap.
+
+    Lengths are geometric, the last one cut to the exact share; what stays between spans is a
+    uniformly drawn composition, so all is decided in one pass, however long the row.
+    """
+    target = math.ceil(n * probability)
+    if not target:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.minimum(np.cumsum(rng.geometric(1 / mean_span, target)), target)
+    ends = ends[: int(np.searchsorted(ends, target)) + 1]
+    spans = len(ends)
+    bars = np.sort(rng.choice(n - target + spans, spans, replace=False)) - np.arange(spans)  # free places before each span
+    lengths = np.diff(ends, prepend=0)
+    return bars + ends - lengths, lengths
+
+
 def span_mask(df: DataFrame, keys: list[str], ids: str, seed: int, probability: float = 0.15, mean_span: float = 3.0, mask: int = 1, low: int = 2, high: int = 6) -> DataFrame:
     """Adds ``masked`` and ``labels`` (-100 where not chosen): geometric spans up to an exact share.
 
@@ -117,35 +158,26 @@ def span_mask(df: DataFrame, keys: list[str], ids: str, seed: int, probability:
     """
     if not 0 < probability < 1 or mean_span < 1:
         raise ValueError("probability must be between 0 and 1 and mean span at least 1")
-    schema = ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in keys), f"`{ids}` array<bigint>, masked array<bigint>, labels array<bigint>"])
-    log_stay = math.log1p(-1 / mean_span) if mean_span > 1 else None
-
-    def one(values: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        n = len(values)
-        chosen, target = np.zeros(n, bool), max(1, math.ceil(n * probability)) if n else 0
-        left = target
-        while left > 0:
-            free = np.flatnonzero(~chosen)
-            start = int(free[rng.integers(len(free))])
-            span = 1 if log_stay is None else int(math.log1p(-rng.random()) / log_stay) + 1
-            spot = np.arange(start, min(n, start + span))
-            spot = spot[~chosen[spot]][:left]
-            chosen[spot] = True
-            left -= len(spot)
-        draw = rng.random(n)
-        out = np.where(chosen & (draw < 0.8), mask, values)
-        out = np.where(chosen & (draw >= 0.8) & (draw < 0.9), rng.integers(low, high, n), out)
-        return out, np.where(chosen, values, -100)
-
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            masked, labels = [], []
-            for row in frame.itertuples(index=False):
-                name = "\0".join([str(seed), *(str(getattr(row, k)) for k in keys)])
-                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "little"))
-                a, b = one(np.asarray(getattr(row, ids), np.int64), rng)
-                masked.append(a)
-                labels.append(b)
-            yield frame.assign(masked=masked, labels=labels)
-
-    return df.select(*keys, F.col(ids).cast("array<bigint>").alias(ids)).mapInPandas(apply, schema)
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{ids}` array<bigint>, masked array<bigint>, labels array<bigint>"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).fill_null([])
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy()[ends[0] : ends[-1]].copy()
+            ends -= ends[0]
+            out, labels = values.copy(), np.full(len(values), -100, np.int64)
+            for a, b, row in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column(0).to_pylist(), strict=True):
+                rng = np.random.default_rng(row % (1 << 64))
+                start, length = span_starts(b - a, probability, mean_span, rng)
+                at = a + np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+                kind = rng.choice(3, len(at), p=(0.8, 0.1, 0.1))
+                labels[at] = values[at]
+                out[at[kind == 0]] = mask
+                out[at[kind == 1]] = rng.integers(low, high, int((kind == 1).sum()))
+            offsets = pa.array(ends.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (values, out, labels))], [*keys, ids, "masked", "labels"])
+
+    row = F.xxhash64(F.lit(seed), *keys).alias("__row")
+    return df.select(row, F.col(ids).cast("array<bigint>").alias("__ids"), *keys).mapInArrow(apply, schema)

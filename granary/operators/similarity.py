@@ -9,6 +9,12 @@ sets are one node, so copies never make pairs.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,13 +90,65 @@ def similarity_clusters(sets: DataFrame, key: str, items: str, threshold: float)
     return members.join(splittable(sizes, "component"), "component").select(key, "component", "component_size")
 
 
-def max_jaccard(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """(key, max_jaccard): the best score against any other set, 0 where nothing is shared.
+#: Elements of the sets of one block of queries at most (one set at least), and pairs of elements counted at once.
+QUERY_ELEMENTS, AT_ONCE = 2_000_000, 4_000_000
+
 
-    Looks at every pair that shares an element; meant for catalogs of bounded size.
+def best_jaccard(sets: DataFrame, queries: DataFrame, key: str, items: str) -> DataFrame:
+    """(key, max_jaccard): the best score of each query set against all sets of other keys, 0 where nothing is shared.
+
+    ``items`` are distinct 64-bit hashes.  Queries travel in blocks of bounded size; each block is
+    compared with every set in one map, and each task returns its best score by query only.  Null
+    keys are no queries, null sets are empty, and queries that share a key get one row.
     """
-    flat = sets.select(F.col(key).alias("k"), F.size(items).alias("n"), F.explode(items).alias("x"))
-    other = flat.select("x", F.col("k").alias("o"), F.col("n").alias("m"))
-    shared = flat.join(other, "x").filter("k != o").groupBy("k", "n", "o", "m").agg(F.count(F.lit(1)).alias("s"))
-    best = shared.groupBy("k").agg(F.max(F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("max_jaccard"))
-    return sets.select(key).join(best, F.col(key) == F.col("k"), "left").select(key, F.coalesce("max_jaccard", F.lit(0.0)).alias("max_jaccard"))
+    asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(items, F.array().cast("array<bigint>")).alias("x"))
+    total = asked.agg(F.sum(F.size("x"))).first()[0] or 0
+    blocks = max(1, -(-total // QUERY_ELEMENTS))
+    kind = dict(sets.dtypes)[key]
+    found = []
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
+        found.append(_best_of_block(sets.select(F.col(key).alias("k"), F.col(items).alias("x")), block.toArrow(), kind))
+    best = functools.reduce(DataFrame.unionAll, found).groupBy("k").agg(F.max("j").alias("j"))
+    return asked.select("k").distinct().join(best, "k", "left").select(F.col("k").alias(key), F.coalesce("j", F.lit(0.0)).alias("max_jaccard"))
+
+
+def _best_of_block(sets: DataFrame, block: pa.Table, kind: str) -> DataFrame:
+    lists = block["x"].combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy()
+    by = np.argsort(flat, kind="stable")
+    shared = sets.sparkSession.sparkContext.broadcast((block["k"].combine_chunks(), sizes, flat[by], np.repeat(np.arange(len(sizes)), sizes)[by]))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sizes, values, owner = shared.value
+        best = np.zeros(len(names))
+        place: dict = {}
+        for i, k in enumerate(names.to_pylist()):
+            place.setdefault(k, []).append(i)
+        for batch in batches:
+            keys, column = batch.column(0).to_pylist(), batch.column(1).fill_null([])
+            ends, x = column.offsets.to_numpy(), column.values.to_numpy()
+            low, high = np.searchsorted(values, x), np.searchsorted(values, x, "right")
+            met = np.append(0, np.cumsum(high - low))
+            a = 0
+            while a < len(keys):  # some sets at once, so that what is counted stays bounded
+                z = max(a + 1, int(np.searchsorted(met[ends], met[ends[a]] + AT_ONCE, "right")) - 1)
+                z = min(z, len(keys))
+                span = slice(ends[a], ends[z])
+                many = (high - low)[span]
+                row = np.repeat(np.arange(ends[a], ends[z]), many)
+                at = low[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row - ends[a]]
+                of = np.searchsorted(ends[a : z + 1], row, "right") - 1
+                pair, n = np.unique(of * len(names) + owner[at], return_counts=True)
+                of, query = pair // max(len(names), 1), pair % max(len(names), 1)
+                score = n / (sizes[query] + np.diff(ends[a : z + 1])[of] - n)
+                for i in range(a, z):
+                    for q in place.get(keys[i], ()):  # a set is not compared with rows of its own key
+                        score[(of == i - a) & (query == q)] = 0
+                np.maximum.at(best, query, score)
+                a = z
+        some = np.flatnonzero(best)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(best[some])], ["k", "j"])
+
+    return sets.mapInArrow(apply, f"k {kind}, j double")

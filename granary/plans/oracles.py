@@ -26,6 +26,9 @@ _SETS = """words AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \
 runs AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END AS r FROM words),
 sets AS (SELECT doc_id, list_sort(list_filter(list_distinct(list_transform(r, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT))), lambda h: h < 144115188075855872)) AS items FROM runs)"""
 
+#: Whole sets of shingles, by the text of each.
+_WHOLE = _SETS.split("\nsets AS")[0] + "\nsets AS (SELECT doc_id, list_sort(list_distinct(r)) AS items FROM runs)"
+
 _PAIRS = """heads AS (SELECT min(doc_id) AS doc_id, items FROM sets WHERE len(items) > 0 GROUP BY items),
 flat AS (SELECT doc_id, len(items) AS n, unnest(items) AS x FROM heads),
 shared AS (SELECT a.doc_id AS "left", b.doc_id AS "right", a.n AS nl, b.n AS nr, count(*) AS s FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -37,7 +40,7 @@ ORACLES = {
       CASE WHEN contains(lower(url), 'softmask') THEN 'softmasked' WHEN contains(lower(url), 'genome_main') THEN 'main' WHEN contains(lower(url), '_genomic.fna') THEN 'ncbi_genomic' ELSE 'generic_genome' END AS genome_role FROM pages""",
     "url_normalise": "SELECT page_id, trim(regexp_replace(regexp_replace(lower(trim(' DOI: https://doi.org/' || url)), '^doi:\\s*', ''), '^https?://(?:dx\\.)?doi\\.org/', '')) AS doi FROM pages",
     "html_meta_extract": """SELECT page_id, regexp_extract(html, '(?i)<meta charset=["'']([^"'']*)', 1) AS charset,
-      coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]*content=["'']([^"'']*)', 1), ''), regexp_extract(html, '(?is)<meta[^>]+content=["'']([^"'']*)["''][^>]*name=["'']description["'']', 1)) AS description FROM pages""",
+      trim(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]*content=["'']([^"'']*)', 1), ''), regexp_extract(html, '(?is)<meta[^>]+content=["'']([^"'']*)["''][^>]*name=["'']description["'']', 1)), '\\s+', ' ', 'g')) AS description FROM pages""",
     "title_normalise_ascii": "SELECT p_partkey, array_to_string(regexp_extract_all(lower(regexp_replace(p_name, '<[^>]+>', ' ', 'g')), '([a-z0-9_]+)', 1), ' ') AS title FROM part",
     "material_keys": """SELECT 'supplier' AS kind, s_suppkey AS id, regexp_replace(lower(regexp_replace(s_name || '_T2T', '(?i)(?:[_-]?t2t(?:-?2)?|\\.v\\d+)$', '')), '[^a-z0-9]+', '', 'g') AS material_key FROM supplier
       UNION ALL SELECT 'part', p_partkey, regexp_replace(lower(regexp_replace(p_name || '.v2', '(?i)(?:[_-]?t2t(?:-?2)?|\\.v\\d+)$', '')), '[^a-z0-9]+', '', 'g') FROM part""",
@@ -64,13 +67,13 @@ ORACLES = {
       SELECT doc_id, coalesce(lang, v) AS lang, CASE WHEN lang IS NULL AND v IS NOT NULL THEN 'source' ELSE lang_source END AS lang_source FROM a3 LEFT JOIN u3 USING (source)""",
     "audit_status": """SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') THEN 'PASS'
       WHEN o_orderkey IN (SELECT event_id FROM events WHERE event_type = 'error') THEN 'FAIL' ELSE 'MISSING' END AS status FROM orders""",
-    "missing_extras": """WITH o AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 50 <> 0) SELECT id, 'missing' AS side FROM o WHERE id NOT IN (SELECT l_orderkey FROM lineitem)
+    "missing_extras": """WITH o AS (SELECT o_orderkey AS id FROM orders) SELECT id, 'missing' AS side FROM o WHERE id NOT IN (SELECT l_orderkey FROM lineitem)
       UNION ALL SELECT DISTINCT l_orderkey, 'extra' FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM o)""",
     "set_equality": """SELECT *, 'left' AS side FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT n_nationkey FROM nation)
       UNION ALL SELECT *, 'right' FROM (SELECT n_nationkey FROM nation EXCEPT ALL SELECT c_nationkey FROM customer)""",
     "first_failure": "SELECT user_id, event_id, value FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "fallback_pairing": """WITH s AS (SELECT s_suppkey, n_name || '|' || CAST(CAST(floor(s_acctbal / 1000) AS BIGINT) AS VARCHAR) AS pk, n_name AS fk FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-      c AS (SELECT c_custkey, n_name || '|' || CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS pk, n_name AS fk FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'),
+      c AS (SELECT c_custkey, n_name || '|' || CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS pk, n_name AS fk FROM customer JOIN nation ON c_nationkey = n_nationkey),
       a AS (SELECT pk, string_agg(CAST(c_custkey AS VARCHAR), ';' ORDER BY c_custkey) AS l FROM c GROUP BY pk), b AS (SELECT fk, string_agg(CAST(c_custkey AS VARCHAR), ';' ORDER BY c_custkey) AS l FROM c GROUP BY fk)
       SELECT s_suppkey, coalesce(a.l, b.l, '') AS paired FROM s LEFT JOIN a USING (pk) LEFT JOIN b USING (fk)""",
     "union_catalog": "SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, '.' FROM supplier",
@@ -108,7 +111,7 @@ ORACLES = {
     "symbol_counts": "SELECT lang, s.symbol AS symbol, CAST(sum(length(upper(text)) - length(replace(upper(text), s.symbol, ''))) AS BIGINT) AS n FROM documents, (SELECT unnest(['A','C','G','T','N']) AS symbol) s GROUP BY lang, s.symbol",
     "summary_rollup": """SELECT count(*) AS documents, count(quality) AS labelled, CAST(count_if(quality = 1 AND toxic = 0) AS BIGINT) AS clean, count(DISTINCT source) AS sources, count(DISTINCT sha256(text)) AS texts,
       CAST(sum(n_chars) AS BIGINT) AS characters, max(n_chars) AS longest FROM documents LEFT JOIN labels USING (doc_id)""",
-    "orientation_groups": """WITH s AS (SELECT doc_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', 'N', 'g') AS f FROM documents WHERE lang = 'en'), r AS (SELECT doc_id, f, reverse(translate(f, 'ACGT', 'TGCA')) AS c FROM s),
+    "orientation_groups": """WITH s AS (SELECT doc_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', 'N', 'g') AS f FROM documents), r AS (SELECT doc_id, f, reverse(translate(f, 'ACGT', 'TGCA')) AS c FROM s),
       k AS (SELECT doc_id, length(f) || ':' || least(sha256(f), sha256(c)) AS signature FROM r)
       SELECT doc_id, signature, count(*) OVER (PARTITION BY signature) AS group_size, min(doc_id) OVER (PARTITION BY signature) AS representative FROM k""",
     "merge_half_open": f"WITH {_SPANS}, {_HALF} SELECT * FROM merged",
@@ -132,14 +135,14 @@ ORACLES = {
       SELECT doc_id, chunk_start, chunk_start + length(chunk) AS chunk_end, sha256(chunk) AS chunk_sha256 FROM c
       WHERE length(chunk) >= 300 AND length(regexp_replace(chunk, '[^ETAOINSHR]', '', 'g')) >= 0.5 * length(chunk)""",
     "bottom_scaled_sketch": f"WITH {_SETS} SELECT doc_id, len(items) AS hashes, array_to_string(items, ',') AS sketch FROM sets",
-    "shingle_jaccard": f"""WITH {_SETS}, {_PAIRS} SELECT "left", "right", round(jaccard, 9) AS jaccard, CASE WHEN jaccard >= 0.95 THEN 'near_duplicate' ELSE 'related' END AS classification FROM pairs""",
-    "near_dup_components": f"""WITH RECURSIVE {_SETS}, {_PAIRS}, links AS (SELECT "left" AS a, "right" AS b FROM pairs UNION SELECT "right", "left" FROM pairs),
+    "shingle_jaccard": f"""WITH {_WHOLE}, {_PAIRS} SELECT "left", "right", round(jaccard, 9) AS jaccard, CASE WHEN jaccard >= 0.95 THEN 'near_duplicate' ELSE 'related' END AS classification FROM pairs""",
+    "near_dup_components": f"""WITH RECURSIVE {_WHOLE}, {_PAIRS}, links AS (SELECT "left" AS a, "right" AS b FROM pairs UNION SELECT "right", "left" FROM pairs),
       walk AS (SELECT doc_id AS a, doc_id AS b FROM heads UNION SELECT w.a, e.b FROM walk w JOIN links e ON w.b = e.a), comp AS (SELECT a, min(b) AS component FROM walk GROUP BY a),
       member AS (SELECT s.doc_id, coalesce(c.component, s.doc_id) AS component FROM sets s LEFT JOIN heads h ON s.items = h.items LEFT JOIN comp c ON h.doc_id = c.a)
       SELECT doc_id, component, count(*) OVER (PARTITION BY component) AS component_size FROM member""",
-    "max_jaccard_per_row": """WITH s AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 5)) AS items FROM benchmark),
-      f AS (SELECT item_id, len(items) AS n, unnest(items) AS x FROM s), p AS (SELECT a.item_id, a.n, b.item_id AS o, b.n AS m, count(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.item_id <> b.item_id GROUP BY ALL)
-      SELECT s.item_id, round(coalesce(max(CAST(c AS DOUBLE) / (n + m - c)), 0.0), 9) AS max_jaccard FROM s LEFT JOIN p USING (item_id) GROUP BY s.item_id""",
+    "max_jaccard_per_row": f"""WITH {_WHOLE}, f AS (SELECT doc_id, len(items) AS n, unnest(items) AS x FROM sets),
+      p AS (SELECT a.doc_id, a.n, b.doc_id AS o, b.n AS m, count(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY ALL)
+      SELECT s.doc_id, round(coalesce(max(CAST(c AS DOUBLE) / (n + m - c)), 0.0), 9) AS max_jaccard FROM sets s LEFT JOIN p USING (doc_id) WHERE s.doc_id % 50 = 0 GROUP BY s.doc_id""",
     "sampling_weights": """WITH c AS (SELECT c_custkey, c_nationkey AS nation, c_mktsegment, greatest(CAST(floor(c_acctbal) AS BIGINT), 1) AS size, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS near FROM customer),
       l AS (SELECT *, sqrt(size) / sqrt(greatest(near, c_custkey % 3 + 1)) AS loc FROM c WHERE nation > 2), g AS (SELECT nation, pow(sum(size), 0.3) AS mass, sum(loc) AS s FROM l GROUP BY nation)
       SELECT c.c_custkey, round(coalesce(mass / (SELECT sum(mass) FROM g) * loc / s, 0.0) * 1000, 9) AS weight_permille FROM c LEFT JOIN l ON c.c_custkey = l.c_custkey LEFT JOIN g ON l.nation = g.nation""",

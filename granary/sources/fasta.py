@@ -15,13 +15,19 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(path, header, name, sequence) of every record of plain or .gz files under ``path``.
 
     A record separator splits files at records, so plain files are read by many tasks.  A
-    file that does not begin with a header line is an error.
+    file that does not begin with a header line (blank lines aside) is an error, which one scan
+    finds before any record is returned.  A name is the header up to its first white space.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("at"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    # Only the first piece of a file keeps its mark; the separator took that of the others.
+    headed = F.max(F.col("value").startswith(">") | (F.trim(F.regexp_replace("value", r"\s", "")) == ""))
+    bare = raw.groupBy("path").agg(headed.alias("headed")).filter("not headed").limit(3).collect()
+    if bare:
+        raise ValueError(f"sequence before first header: {', '.join(r['path'] for r in bare)}")
     bare = F.regexp_replace("value", "^>", "")
     header = F.trim(F.regexp_replace(F.split_part(bare, F.lit("\n"), F.lit(1)), "\r", ""))
     body = F.when(F.instr(bare, "\n") > 0, F.expr("substring(regexp_replace(value, '^>', ''), instr(regexp_replace(value, '^>', ''), '\n') + 1)")).otherwise(F.lit(""))
-    records = raw.filter(F.trim("value") != "").select("path", header.alias("header"), F.split_part(header, F.lit(" "), F.lit(1)).alias("name"), F.regexp_replace(body, r"\s", "").alias("sequence"))
+    records = raw.filter(F.trim("value") != "").select("path", header.alias("header"), F.regexp_extract(header, r"^(\S*)", 1).alias("name"), F.regexp_replace(body, r"\s", "").alias("sequence"))
     return records
 
 

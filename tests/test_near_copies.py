@@ -67,12 +67,12 @@ def test_whole_sets_of_shingles(spark, tmp_path, near_rows):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     empty = {k for k, t in rows if not (t or "").split()}
     want = {k: k if k in empty else c for k, c in brute(rows).items()}
-    got = QUERIES["near_dup_components_whole"](spark, str(tmp_path)).collect()
+    got = QUERIES["near_dup_components"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.component for r in got} == want and len(got) == len(rows)
     assert all(r.component_size == list(want.values()).count(r.component) for r in got)
     heads = {}
     for k, t in sorted(r for r in rows if r[0] not in empty):
         heads.setdefault(frozenset(shingle_set(t)), k)
     pairs = {(min(a, b), max(a, b)): len(x & y) / len(x | y) for x, a in heads.items() for y, b in heads.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
-    found = {(r.left, r.right): r.jaccard for r in QUERIES["shingle_jaccard_whole"](spark, str(tmp_path)).collect()}
+    found = {(r.left, r.right): r.jaccard for r in QUERIES["shingle_jaccard"](spark, str(tmp_path)).collect()}
     assert found == pytest.approx(pairs, abs=1e-9) and len(pairs) > 20

@@ -87,7 +87,7 @@ def test_keys(spark):
     names = {"ok/a.txt": True, "/abs": False, "a/../b": False, "C:/x": False, "": False, ".": False, "..\\x": False, "C:x": True}
     df = spark.createDataFrame([(p,) for p in names], "p string")
     assert {r[0]: r[1] for r in df.select("p", keys.safe_path(F.col("p"))).collect()} == names
-    df = spark.createDataFrame([("Wm82.gnm4.abc", "Zh13_T2T-2", "x.v3", " Glycine  max L. ", "TRUE", ".", "12")], "a string, b string, c string, d string, e string, f string, g string")
+    df = spark.createDataFrame([("Wm82.gnm4.abc", "Zh13_T2T-2", "x.v3", " Glycine  max L. ", "TRUE", "", "12")], "a string, b string, c string, d string, e string, f string, g string")
     r = df.select(keys.assembly_stem(F.col("a")), keys.material_key(F.col("b"), True), keys.material_key(F.col("c"), True), keys.binomial(F.col("d")), keys.text_bool(F.col("e")), keys.nullable_int(F.col("f")), keys.nullable_int(F.col("g"))).first()
     assert tuple(r) == ("Wm82.gnm4", "zh13", "x", "Glycine max", True, None, 12)
     layouts = [("family/alpha", 5, 2, 3, 4), ("family/beta", 4, 2, None, 3), ("gamma", 1, None, None, 1)]
