@@ -2,8 +2,10 @@
 
 Test items are cut into word n-grams.  One pass over the corpus counts the documents
 that hold each of them; the rare ones, and the rarest of every ``SPACING`` neighbouring
-n-grams of an item, become seeds, so no item loses all its seeds however common its
-passage is.  A second pass finds seeds in whole documents, takes the passage around
+n-grams of an item, become its seeds, so no item loses all its seeds however common its
+passage is.  N-grams that more than ``SHARED`` items have (a common lead) are no seeds of an
+item unless they cover ``threshold`` of its words, since a passage that has nothing else of
+the item cannot reach its score.  Items of equal words are aligned once.  A second pass finds seeds in whole documents, takes the passage around
 each, and aligns its words with the item's (match +2, mismatch and gap -1).  A pair is
 reported when the score reaches ``threshold`` of the item's own score, which passages
 with replaced, dropped or added words still do.
@@ -14,7 +16,8 @@ Words are compared by 64-bit hashes; equal passages met again in a task are not
 again.
 
 Defined results: null and empty texts and items match nothing; items shorter than an
-n-gram seed by their whole sequence; repeated items and rows are each reported; extra
+n-gram seed by their whole sequence; repeated items and rows are each reported; item ids must
+be whole numbers (anything else is an error), items without an id are ignored; extra
 columns are kept by ``with_hits`` whatever their names; empty tables give no hits.
 """
 
@@ -39,6 +42,8 @@ RARE, FEW = 0.001, 64
 #: Unrelated passages of the given tables score below 0.35; copies with two fifths of their words replaced score 0.4.
 THRESHOLD = 0.4
 MATCH, OTHER = 2, 1
+#: Items that may share a seed, unless what they share covers the threshold of an item.
+SHARED = 32
 MOST_BLOCK_BYTES = 16 << 20
 #: Aligned passages that a task remembers.
 REMEMBERED = 4096
@@ -54,9 +59,9 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Items:
-    """A block of test items: words as numbers of a small vocabulary, and the n-grams."""
+    """A block of test items: words as numbers of a small vocabulary, and the n-grams; items of equal words are one."""
 
-    ids: np.ndarray
+    ids: list[list[int]]
     vocabulary: np.ndarray
     words: list[np.ndarray]
     grams: np.ndarray
@@ -66,10 +71,14 @@ class Items:
     def build(cls, ids: list[int], texts: list[str]) -> Items:
         h, text = words(pa.array(texts, pa.string()))
         vocabulary, number = np.unique(h, return_inverse=True)
-        own = [number[text == i].astype(np.int64) for i in range(len(ids))]
+        cuts = np.searchsorted(text, np.arange(len(ids) + 1))
+        same: dict[bytes, list[int]] = {}
+        for i, w in zip(ids, np.split(number.astype(np.int64), cuts[1:-1]), strict=True):
+            same.setdefault(w.tobytes(), []).append(i)
+        own = [np.frombuffer(w, np.int64) for w in same]
         keys = [_grams(w, len(vocabulary)) for w in own]
         grams = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]))
-        return cls(np.array(ids, np.int64), vocabulary, own, grams, [np.searchsorted(grams, k) for k in keys])
+        return cls(list(same.values()), vocabulary, own, grams, [np.searchsorted(grams, k) for k in keys])
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of word hashes, -1 for other words."""
@@ -147,13 +156,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Aligner:
-    """Seeds and alignments for a block of items, with a bounded memory of passages."""
+    """Seeds and alignments for a block of items, with a bounded memory of passages.
 
-    def __init__(self, items: Items, seeds: np.ndarray, threshold: float):
-        self.items, self.seeds, self.threshold, self.known = items, seeds, threshold, {}
-        owner = np.concatenate([np.full(len(g), i) for i, g in enumerate(items.gram_of)] + [np.zeros(0, np.int64)]).astype(np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in items.gram_of] + [np.zeros(0, np.int64)]).astype(np.int64)
-        gram = np.concatenate([*items.gram_of, np.zeros(0, np.int64)])
+    ``seeds`` has, for each item, the places whose n-grams are its seeds.
+    """
+
+    def __init__(self, items: Items, seeds: list[np.ndarray], threshold: float):
+        self.items, self.threshold, self.known = items, threshold, {}
+        owner = np.concatenate([np.full(len(p), i) for i, p in enumerate(seeds)] + [np.zeros(0, np.int64)]).astype(np.int64)
+        place = np.concatenate([*seeds, np.zeros(0, np.int64)]).astype(np.int64)
+        gram = np.concatenate([*(g[p] for g, p in zip(items.gram_of, seeds, strict=True)), np.zeros(0, np.int64)])
         order = np.argsort(gram, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.start = np.searchsorted(gram[order], np.arange(len(items.grams) + 1))
@@ -171,7 +183,7 @@ class Aligner:
         """For each text, its items at or above the threshold with their best passage."""
         out: list[list[dict]] = [[] for _ in range(len(part))]
         w, text, grams, at = _found(self.items, part)
-        seeded = self.seeds[grams]
+        seeded = self.start[grams + 1] > self.start[grams]
         grams, at = grams[seeded], at[seeded]
         if not len(at):
             return out
@@ -199,7 +211,7 @@ class Aligner:
             if share >= self.threshold and share > best.get((d, i), (0.0,))[0]:
                 best[d, i] = (share, low + s - int(first[d]), low + e - int(first[d]))
         for (d, i), (share, s, e) in sorted(best.items()):
-            out[d].append({"item_id": int(self.items.ids[i]), "score": share, "first_word": s, "last_word": e})
+            out[d] += [{"item_id": k, "score": share, "first_word": s, "last_word": e} for k in self.items.ids[i]]
         return out
 
 
@@ -215,8 +227,8 @@ def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
             yield Items.build([r["i"] for r in here], [r["t"] for r in here])
 
 
-def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE) -> np.ndarray:
-    """Which n-grams are seeds: the rare ones, and the rarest of every few neighbours of an item."""
+def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE, threshold: float = THRESHOLD) -> list[np.ndarray]:
+    """For each item, the places of its seeds: rare n-grams, and the rarest of every few neighbours."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(items.grams), np.int64), 0
@@ -232,12 +244,24 @@ def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE) -> np.nd
     counts = np.zeros(len(items.grams) + 1, np.int64)
     for r in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["gram"]] = r["n"]
-    chosen = counts[:-1] <= max(FEW, rare * counts[-1])
-    for g in items.gram_of:
-        for at in range(0, len(g), SPACING):
-            near = g[at : at + SPACING]
-            chosen[near[counts[near].argmin()]] = True
-    return chosen
+    rare_ones = counts[:-1] <= max(FEW, rare * counts[-1])
+    holders = np.bincount(np.concatenate([*(np.unique(g) for g in items.gram_of), np.zeros(0, np.int64)]), minlength=len(items.grams))
+    return [_places(g, len(w), counts, rare_ones, holders, threshold) for g, w in zip(items.gram_of, items.words, strict=True)]
+
+
+def _places(g: np.ndarray, words: int, counts: np.ndarray, rare: np.ndarray, holders: np.ndarray, threshold: float) -> np.ndarray:
+    few = holders[g] <= SHARED
+    covered = np.zeros(words, bool)
+    for j in range(min(NGRAM, words)):
+        covered[j : j + len(g)] |= ~few
+    if covered.sum() >= threshold * words:
+        few[:] = True
+    chosen = rare[g] & few
+    for at in range(0, len(g), SPACING):
+        near = at + np.flatnonzero(few[at : at + SPACING])
+        if len(near):
+            chosen[near[counts[g[near]].argmin()]] = True
+    return np.flatnonzero(chosen)
 
 
 def with_hits(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, name: str = "hits", threshold: float = THRESHOLD, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -246,9 +270,9 @@ def with_hits(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_
     schema = T.StructType([T.StructField("__text", T.StringType()), *features.schema(docs, kept, f"`{name}` {HIT}").fields])
     out = docs.select(F.col(text).alias("__text"), *kept).withColumn(name, F.array().cast(HIT))
     for items in item_blocks(benchmark, item, item_text):
-        chosen = seeds(docs, text, items)
+        chosen = seeds(docs, text, items, threshold=threshold)
 
-        def find(batches: Iterator[pa.RecordBatch], items: Items = items, chosen: np.ndarray = chosen) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], items: Items = items, chosen: list[np.ndarray] = chosen) -> Iterator[pa.RecordBatch]:
             aligner = Aligner(items, chosen, threshold)
             for batch in batches:
                 hits = [a + b for a, b in zip((h for part in features.parts(batch.column(0)) for h in aligner.hits(part)), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]

@@ -94,15 +94,11 @@ def tokens(texts: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.ndarray]
 
 
 def pairs(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each pair of neighbouring tokens of a text, index of the text).
-
-    A token followed by itself counts as one feature, "repeated token", whatever it is.
-    """
+    """(hash of each pair of neighbouring tokens of a text, index of the text)."""
     if len(h) < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     left, right = h[:-1], h[1:]
     both = mix(left * np.uint64(0xA24BAED4963EE407) + right)
-    both[left == right] = np.uint64(0x5265706561746564)
     inside = text[:-1] == text[1:]
     return both[inside], text[1:][inside]
 

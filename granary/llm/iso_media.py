@@ -352,11 +352,11 @@ def media_column(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(store, f"`{key}` {dict(df.dtypes)[key]}, media binary")
 
 
-_DIGEST = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_keyframes", pa.int64())]
+_DIGEST = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_keyframes", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))]
 
 
 def text_media(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Stores each text as a media file, reads the stored bytes back and digests both."""
+    """Stores each text as a media file, reads the stored bytes back and digests both; all keyframe ranges are kept."""
     name = dict(df.dtypes)[key]
 
     def digest(content: bytes) -> tuple:
@@ -365,14 +365,17 @@ def text_media(df: DataFrame, key: str, text: str) -> DataFrame:
         back = sample_bytes(media, track)
         return (
             len(content), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(),
-            feature(track, back), track.codec.strip(), track.duration / track.timescale, int(track.sync.sum()),
+            feature(track, back), track.codec.strip(), track.duration / track.timescale, int(track.sync.sum()), (track.offsets[track.sync], track.sizes[track.sync]),
         )
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [digest(bytes(x.as_buffer()) if x.is_valid else b"") for x in batch.column(1)]
             columns = list(zip(*rows, strict=True)) or [()] * len(_DIGEST)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, _DIGEST, strict=True))], [key, *(n for n, _ in _DIGEST)])
+            ends = np.append(0, np.cumsum([len(a) for a, _ in columns[-1]])).astype(np.int32)
+            ranges = [pa.array(np.concatenate([np.zeros(0, np.int64), *(r[i] for r in columns[-1])]).astype(np.int64)) for i in (0, 1)]
+            keyframes = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(ranges, ["offset", "size"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns[:-1], _DIGEST[:-1], strict=True)), keyframes], [key, *(n for n, _ in _DIGEST)])
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.float64(): "double"}
-    return df.select(key, text).mapInArrow(store, f"`{key}` {name}, " + ", ".join(f"{n} {kinds[t]}" for n, t in _DIGEST))
+    return df.select(key, text).mapInArrow(store, f"`{key}` {name}, " + ", ".join(f"{n} {kinds.get(t, 'array<struct<offset:long,size:long>>')}" for n, t in _DIGEST))

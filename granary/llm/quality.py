@@ -4,7 +4,7 @@ Two bag-of-n-grams models over hashed buckets are estimated: ``raw`` over all
 documents, ``target`` over labelled good documents.  A document's log importance
 weight is the sum over its unigrams and bigrams of log(target / raw).  Adding Gumbel
 noise and keeping the ``k`` largest sums draws ``k`` documents without replacement with
-chances that follow the weights.  ``k`` is the expected number of documents that plain
+chances that follow the weights.  ``k`` is a parameter; where it is not given, it is the expected number of documents that plain
 acceptance with probability min(1, weight * exp(3)) would keep: the slack leaves alone
 documents that the noise of rare n-grams puts just below weight 1.
 
@@ -136,7 +136,7 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
             k -= r["n"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str, text: str, good: Column, seed: int = 11, keep: tuple[str, ...] | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str, text: str, good: Column, seed: int = 11, keep: tuple[str, ...] | None = None, target_rows: int = TARGET_ROWS, k: int | None = None) -> DataFrame:
     """``keep`` (the key, where not given), log_weight, gumbel_key and selected for every document.
 
     ``labels`` has ``key``; rows of it where ``good`` holds are the target sample.  Sums are
@@ -153,7 +153,8 @@ def resample(docs: DataFrame, labels: DataFrame, key: str, text: str, good: Colu
         return log_weights(docs, text, ratio, columns).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col(key), seed))
 
     sums = written(scored((key,)), "quality")
-    k = sums.agg(F.sum(F.least(F.lit(1.0), F.exp(F.least(F.col("log_weight") - F.lit(SLACK), F.lit(0.0)))))).first()[0]
-    least = kth_largest(sums, "gumbel_key", round(k or 0))
+    if k is None:
+        k = round(sums.agg(F.sum(F.least(F.lit(1.0), F.exp(F.least(F.col("log_weight") - F.lit(SLACK), F.lit(0.0)))))).first()[0] or 0)
+    least = kth_largest(sums, "gumbel_key", k)
     out = sums if keep is None else scored(keep)
     return out.withColumn("selected", F.col("gumbel_key") >= F.lit(least) if least is not None else F.lit(False))

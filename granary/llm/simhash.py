@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.components import connected_components
 from granary.operators.lineage import written
+from granary.operators.skew import splittable
 
 SEED = 42
 SHINGLE = 3
@@ -172,5 +173,5 @@ def near_duplicates(df: DataFrame, key: str, text: str, blocks: int = BLOCKS, di
     groups = connected_components(bucket_links(buckets, distance), "a", "b").withColumnRenamed("node", "fp")
     roots = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = roots.select("fp", "root").join(splittable(least, "root"), "root").select("fp", "component_id")
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.lineage import written
+
 #: Fixed value: the split pattern published with the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A vocabulary file is shipped to the executors only up to this size.
@@ -75,8 +77,11 @@ def _band(n: Column) -> Column:
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """One row per encoded length, ascending sums below it and what truncation to it leaves."""
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("documents")).withColumn("band", _band(F.col("n_tokens")))
+    """One row per encoded length, ascending sums below it and what truncation to it leaves.
+
+    The counts by length are written once, so texts are encoded once.
+    """
+    counts = written(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("documents")), "lengths").withColumn("band", _band(F.col("n_tokens")))
     bands = counts.groupBy("band").agg(F.sum("documents").alias("d"), F.sum(F.col("documents") * F.col("n_tokens")).alias("t"))
     over = "over (order by band rows between unbounded preceding and 1 preceding)"
     bands = bands.select(

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from granary.llm import decontaminate as dc
 
@@ -83,3 +84,25 @@ def test_edges(spark):
     assert kept.columns == ["doc_id", "text", "hits"] and kept.count() == 7
     assert dc.contaminated(docs.limit(0), "doc_id", "text", bench, "item_id", "text").count() == 0
     assert dc.contaminated(docs, "doc_id", "text", bench.limit(0), "item_id", "text").count() == 0
+
+
+def test_a_lead_that_many_items_share_is_aligned_only_where_the_rest_matters(spark, monkeypatch):
+    """All pairs by brute force; alignments grow with documents, not with documents times items."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    lead = [word() for _ in range(8)]
+    aligned = []
+    monkeypatch.setattr(dc, "align", lambda i, p, plain=dc.align: aligned.append(1) or plain(i, p))
+    for n in (60, 240):
+        items = [" ".join(lead + [word() for _ in range(24)]) for _ in range(n)]
+        docs = [" ".join([*(word() for _ in range(20)), *(items[d * 3].split() if d % 2 else lead), *(word() for _ in range(20))]) for d in range(20)]
+        block = dc.Items.build(list(range(n)), items)
+        chosen = [dc._places(g, len(w), np.full(len(block.grams), 20), np.zeros(len(block.grams), bool), np.bincount(np.concatenate(block.gram_of), minlength=len(block.grams)), dc.THRESHOLD) for g, w in zip(block.gram_of, block.words)]
+        assert all(len(p) for p in chosen)
+        aligned.clear()
+        hits = dc.Aligner(block, chosen, dc.THRESHOLD).hits(pa.array(docs))
+        assert len(aligned) <= 20
+        _, text, _, _ = dc._found(block, pa.array(docs))
+        w = dc._found(block, pa.array(docs))[0]
+        want = {(d, i) for d in range(20) for i in range(n) if plain_align(block.words[i].tolist(), w[text == d].tolist()) >= dc.THRESHOLD * dc.MATCH * len(block.words[i])} if n == 60 else {(d, d * 3) for d in range(1, 20, 2)}
+        assert {(d, h["item_id"]) for d, found in enumerate(hits) for h in found} == want

@@ -53,6 +53,9 @@ def test_spark_operators(spark):
     for r, (k, text, _) in zip(sorted(got, key=lambda r: (r.n_bytes, str(r.doc_id))), sorted(rows, key=lambda r: (len((r[1] or "").encode()), str(r[0]))), strict=True):
         payload = m.padded((text or "").encode())
         assert (r.doc_id, r.payload_sha256, r.tail_crc32) == (k, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = m.mux(payload)
+        assert len(r.keyframes) == r.n_keyframes == -(-len(payload) // (192 * 12))
+        assert all(media[f.offset : f.offset + f.size] == payload[i * 192 * 12 :][:192] for i, f in enumerate(r.keyframes))
     files = m.media_column(df, "doc_id", "text")
     index = m.media_index(files, "doc_id", "media").collect()
     assert len(index) == 5 and all(r.error is None and r.keyframes[0]["size"] == 192 for r in index)

@@ -92,3 +92,14 @@ def test_labelled_accuracy(spark, sf_dir):
     good = [r.selected for r in rows if r.quality == 1]
     bad = [r.selected for r in rows if r.quality == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.15
+
+
+def test_accuracy_on_labels_that_were_not_learned_and_a_given_k(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    learned = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    got = quality.resample(docs, learned, "doc_id", "text", F.col("quality") == 1)
+    rows = got.join(labels.join(learned, "doc_id", "left_anti"), "doc_id").collect()
+    good, bad = ([r.selected for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 1000 and sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
+    assert quality.resample(docs, learned, "doc_id", "text", F.col("quality") == 1, k=100).filter("selected").count() == 100
