@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.keys import present, text_bool
+from granary.plans import policy
 
 STATUSES = ("REJECTED_HARD_GATE", "REJECTED_ORIENTATION_ALTERNATIVE", "REJECTED_MATERIAL_ALTERNATIVE", "SELECTED")
 
@@ -39,7 +40,8 @@ def select_unique(df: DataFrame, key: str, passes: str, orientation: str, materi
     return df.join(marks, key, "left").withColumn("status", status).drop("__first", "__second")
 
 
-def assembly_tier(level: Column, t2t: Column, n50: Column, share: Column, least_n50: int = 10_000_000, least_share: float = 0.80) -> Column:
+#: The labels and ranks below are those of the curated catalogs.
+def assembly_tier(level: Column, t2t: Column, n50: Column, share: Column, least_n50: int = policy.LEAST_N50, least_share: float = policy.LEAST_LONG_FRACTION) -> Column:
     """Struct (label, tier, pending); a complete official level wins before any label."""
 
     def tier(label: str, rank: int, pending: bool) -> Column:
@@ -71,7 +73,7 @@ def chromosome_evidence(prefix: Column, texts: list[Column]) -> Column:
     return F.coalesce(F.trim(prefix) != "", F.lit(False)) | words.rlike("chromosome|pseudomolecule|telomere-to-telomere|telomere to telomere|t2t")
 
 
-def license_allows(access: Column, license_: Column, accesses: tuple[str, ...] = ("public",), licenses: tuple[str, ...] = ("open",)) -> Column:
+def license_allows(access: Column, license_: Column, accesses: tuple[str, ...] = policy.ACCESS_LEVELS, licenses: tuple[str, ...] = policy.LICENSES) -> Column:
     """Both on their lists after trimming, in any case."""
     return F.lower(F.trim(access)).isin(*(a.lower() for a in accesses)) & F.lower(F.trim(license_)).isin(*(x.lower() for x in licenses))
 
@@ -95,6 +97,7 @@ def meets_rules(length: Column, identity: Column, rules: list[tuple[int, float]]
 def primary_nuclear(name: Column, length: Column, role: Column, location: Column, least: int) -> Column:
     """Not an organelle by name; assembled chromosome by its report, or long enough without one."""
     low = F.lower(name)
+    # Names of organelles.
     organelle = low.rlike(r"mitochond|chloroplast|plastid") | low.rlike(r"(^|[._-])(mt|cp|pt)([._-]|$)")
     told = present(role) | present(location)
     official = (F.lower(F.trim(role)) == "assembled-molecule") & F.lower(F.trim(location)).isin("chromosome", "linkage group")

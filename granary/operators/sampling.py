@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.skew import splittable
+from granary.plans import policy
 
 
-def two_level_weights(df: DataFrame, group: str, size: str, penalties: list[str], group_power: float = 0.3, member_power: float = 0.5, eligible: Column | None = None) -> DataFrame:
+def two_level_weights(df: DataFrame, group: str, size: str, penalties: list[str], group_power: float = policy.SPECIES_POWER, member_power: float = policy.MEMBER_POWER, eligible: Column | None = None) -> DataFrame:
     """Adds ``sampling_weight``: share of the group's tempered size, times the member's share within it.
 
     A member counts with its tempered size over the root of its largest penalty; rows that
@@ -150,7 +151,7 @@ def span_starts(n: int, probability: float, mean_span: float, rng: np.random.Gen
     return bars + ends - lengths, lengths
 
 
-def span_mask(df: DataFrame, keys: list[str], ids: str, seed: int, probability: float = 0.15, mean_span: float = 3.0, mask: int = 1, low: int = 2, high: int = 6) -> DataFrame:
+def span_mask(df: DataFrame, keys: list[str], ids: str, seed: int, probability: float = policy.MASK_SHARE, mean_span: float = policy.MEAN_SPAN, mask: int = 1, low: int = 2, high: int = 6) -> DataFrame:
     """Adds ``masked`` and ``labels`` (-100 where not chosen): geometric spans up to an exact share.
 
     Of the chosen positions 80 % become the mask, 10 % a random symbol, 10 % stay.  The

@@ -18,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.sequences import canonical, normalised
 from granary.operators.components import connected_components
 from granary.operators.lineage import written
 from granary.operators.skew import splittable
+from granary.plans import policy
 
-RELATED, NEAR = 0.80, 0.95
+RELATED, NEAR = policy.RELATED, policy.NEAR_DUPLICATE
 
 
 def shingles(words: Column, size: int) -> Column:
@@ -39,6 +41,26 @@ def kmers(sequence: Column, size: int) -> Column:
     return F.when(n >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
+def canonical_kmers(sequence: Column, size: int, chunk: int = 1 << 20) -> Column:
+    """Distinct canonical substrings of ``size`` symbols, none over a symbol that is unknown.
+
+    Long sequences are cut into chunks that overlap by ``size - 1``, so each substring is seen
+    once and no list is longer than a chunk before it is made distinct.
+    """
+    plain = normalised(sequence)
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain), F.lit(1)), F.lit(chunk)), lambda i: F.substring(plain, i, F.lit(chunk + size - 1)))
+    clean = lambda c: F.filter(kmers(c, size), lambda x: F.instr(x, "N") == 0)
+    return F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.array_distinct(F.transform(clean(c), canonical)))))
+
+
+def sequence_sketches(records: DataFrame, key: str, sequence: str, size: int, scale: int) -> DataFrame:
+    """(key, hashes): the scaled sketch of all records of each key, ascending; no substring spans two records."""
+    each = records.select(key, F.explode(scaled_sketch(canonical_kmers(F.col(sequence), size), scale)).alias("h")).distinct()
+    found = each.groupBy(key).agg(F.array_sort(F.collect_list("h")).alias("hashes"))
+    none = F.array().cast("array<bigint>")
+    return records.select(key).distinct().join(found, key, "left").select(key, F.coalesce("hashes", none).alias("hashes"))
+
+
 def portable_hash(value: Column) -> Column:
     """60 bits of MD5 as a number: the same in any engine."""
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("bigint")

@@ -172,4 +172,43 @@ ORACLES = {
       SELECT doc_id AS candidate_id, bases, a // 128 + (n - b) // 128 AS capacity_128, a // 1024 + (n - b) // 1024 AS capacity_1024, CASE WHEN held THEN 'cold_genus_holdout' ELSE 'pretrain' END AS split,
         round(CASE WHEN held THEN 0.0 ELSE mass / (SELECT sum(mass) FROM g) * sqrt(bases) / loc END * 1000, 9) AS weight_permille FROM z LEFT JOIN g USING (species)""",
     "unreferenced_stores": "SELECT c_custkey AS candidate_id, CAST(floor(abs(c_acctbal)) AS BIGINT) AS bytes FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
+    "audit_totals": """WITH l AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id),
+      a AS (SELECT sha256(text) AS g, n_chars AS c, CASE WHEN q = 1 THEN 'PASS' WHEN q = 0 THEN 'FAIL' ELSE 'MISSING' END AS status FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id),
+      u AS (SELECT count(*) AS n, min(c) AS c FROM a WHERE status = 'PASS' GROUP BY g)
+      SELECT count(*) AS candidate_count, count(*) FILTER (status = 'PASS') AS pass_count, count(*) FILTER (status = 'FAIL') AS fail_count, count(*) FILTER (status = 'MISSING') AS missing_count,
+        CAST(coalesce(sum(c) FILTER (status = 'PASS'), 0) AS BIGINT) AS total_symbols, (SELECT count(*) FROM u) AS unique_count, (SELECT count(*) FROM u WHERE n > 1) AS duplicate_group_count,
+        (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM u WHERE n > 1) AS duplicate_member_count, (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) FROM u) AS unique_symbols FROM a""",
+    "feature_maps": """WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+      SELECT user_id, '{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS counts, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY user_id""",
+    "taxa_compatibility": """WITH t AS (SELECT DISTINCT p_brand || '|' || p_size AS "group", string_split(p_type, ' ')[1] AS genus, p_type AS species, array_to_string(string_split(p_type, ' ')[1:2], ' ') AS two FROM part)
+      SELECT "group", count(*) AS taxa, count(*) <= 1 OR (count(DISTINCT genus) = 1 AND count(DISTINCT two) = 1) AS compatible FROM t GROUP BY "group" """,
+    "quality_rank_top": """SELECT c_nationkey, c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS base_count FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey
+      ORDER BY c_custkey % 3 DESC, c_custkey % 7 DESC, c_custkey % 5, c_custkey % 2 DESC, c_custkey % 11 DESC, c_custkey % 4, floor(c_acctbal) DESC, c_custkey DESC) = 1""",
+    "annotation_catalog": """SELECT 'file' AS source_kind, 's' || s_suppkey AS annotation_id, s_name AS relative_path, 'annotation' AS annotation_role, CAST(s_nationkey AS VARCHAR) AS gene_count, '.' AS member_name FROM supplier
+      UNION ALL SELECT 'zip_member', 'c' || c_custkey, c_mktsegment, 'archive_gene_models', CAST(c_nationkey AS VARCHAR), c_name FROM customer""",
+    "defaulted_join": """SELECT c_custkey, coalesce(CAST(o.n AS VARCHAR), '.') AS orders, coalesce(CAST(e.n AS VARCHAR), '.') AS errors FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey
+      LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) e ON c_custkey = user_id""",
+    "list_members": "SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS member, l_orderkey FROM lineitem",
+    "subset_check": """WITH a AS (SELECT DISTINCT user_id AS k FROM events), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
+      SELECT CAST(k AS VARCHAR) AS key, 'not in whole' AS rule FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT 'all', 'not proper' WHERE NOT EXISTS (SELECT 1 FROM b WHERE k NOT IN (SELECT k FROM a))""",
+    "queries_unseen": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "literature_keys": """WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(lower(trim(url))) END AS doi, array_to_string(regexp_extract_all(lower(regexp_replace(substr(html, 1, 80), '<[^>]+>', ' ', 'g')), '[a-z0-9_]+'), ' ') AS title,
+        CASE WHEN page_id % 4 > 0 THEN CAST(2000 + page_id % 20 AS VARCHAR) ELSE '' END AS y FROM pages)
+      SELECT page_id, CASE WHEN coalesce(doi, '') <> '' THEN 'doi|' || doi ELSE 'title|' || title || '|' || y END AS literature_key FROM p""",
+    "date_texts": "SELECT o_orderkey, year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) AS date_text FROM orders",
+    "similarity_summary": f"""WITH RECURSIVE {_WHOLE}, {_PAIRS}, links AS (SELECT "left" AS a, "right" AS b FROM pairs UNION SELECT "right", "left" FROM pairs),
+      walk AS (SELECT doc_id AS a, doc_id AS b FROM heads UNION SELECT w.a, e.b FROM walk w JOIN links e ON w.b = e.a), comp AS (SELECT a, min(b) AS component FROM walk GROUP BY a),
+      member AS (SELECT coalesce(c.component, s.doc_id) AS component FROM sets s LEFT JOIN heads h ON s.items = h.items LEFT JOIN comp c ON h.doc_id = c.a), g AS (SELECT component, count(*) AS n FROM member GROUP BY component HAVING count(*) > 1)
+      SELECT (SELECT count(*) FROM documents) AS candidate_count, (SELECT CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) FROM documents) AS compared_pair_count, (SELECT count(*) FROM pairs) AS related_pair_count,
+        (SELECT count(*) FROM pairs WHERE jaccard >= 0.95) AS near_duplicate_pair_count, count(*) AS group_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS group_member_count FROM g""",
+    "kmer_sketch": """WITH r AS (SELECT c_custkey, translate(sha256(c_name), '0123456789abcdef', 'ACGTACGTACGTACGN') AS s FROM customer UNION ALL SELECT c_custkey, translate(sha256(c_mktsegment), '0123456789abcdef', 'ACGTACGTACGTACGN') FROM customer),
+      k AS (SELECT c_custkey, substr(s, CAST(i AS INTEGER), 7) AS x FROM r, range(1, 59) t(i)), h AS (SELECT DISTINCT c_custkey, CAST('0x' || substr(md5(least(x, reverse(translate(x, 'ACGT', 'TGCA')))), 1, 15) AS BIGINT) AS h FROM k WHERE NOT contains(x, 'N'))
+      SELECT c.c_custkey, coalesce(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h), '') AS sketch FROM customer c LEFT JOIN h ON c.c_custkey = h.c_custkey AND h < 288230376151711744 GROUP BY c.c_custkey""",
+    "orientation_sets": """WITH s AS (SELECT p_brand, translate(sha256(p_name), '0123456789abcdef', 'ACGTACGTACGTACGN') AS f FROM part), d AS (SELECT p_brand, length(f) AS n, sha256(length(f) || ':' || least(sha256(f), sha256(reverse(translate(f, 'ACGT', 'TGCA'))))) AS d FROM s),
+      x AS (SELECT p_brand, n, CAST('0x' || substr(d, 1, 12) AS BIGINT) AS a, CAST('0x' || substr(d, 13, 12) AS BIGINT) AS b, CAST('0x' || substr(d, 25, 12) AS BIGINT) AS c, CAST('0x' || substr(d, 37, 12) AS BIGINT) AS e FROM d)
+      SELECT p_brand, sha256('orientation-multiset-' || sum(a) || '-' || sum(b) || '-' || sum(c) || '-' || sum(e)) AS signature, count(*) AS record_count, CAST(sum(n) AS BIGINT) AS total_symbols FROM x GROUP BY p_brand""",
+    "sketch_candidates": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_custkey % 5 <> 0 AND floor(o_totalprice) > 0 AND o_orderkey % 100000 <= 0.2 * floor(o_totalprice)",
+    "task_preparation": f"WITH {_GATED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS task_index FROM gated WHERE len(reasons) = 0",
+    "receipt_check": """WITH s AS (SELECT s_name AS path, CAST(floor(s_acctbal) AS BIGINT) AS n, s_suppkey AS k FROM supplier), a AS (SELECT path, n FROM s WHERE k % 13 <> 0), b AS (SELECT path, n + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS n FROM s WHERE k % 7 <> 0)
+      SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN b.path IS NULL THEN 'unexpected' ELSE 'changed' END AS rule FROM a FULL JOIN b ON a.path = b.path WHERE a.n IS DISTINCT FROM b.n""",
 }

@@ -11,7 +11,8 @@ from granary.functions import keys, sequences, text
 from granary.operators import audit, gates, intervals, near_copies, profile, resolve, sampling, shards, similarity
 from granary.operators.lineage import written
 from granary.operators.skew import splittable
-from granary.plans import curation, rollups
+from granary.plans import audits, curation, rollups
+from granary.sources.fasta import record_digests
 from granary.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,3 +538,123 @@ def release_plan(spark, sf):
 def unreferenced_stores(spark, sf):
     stores = table(spark, sf, "customer").select(F.col("c_custkey").alias("candidate_id"), big(F.floor(F.abs("c_acctbal"))).alias("bytes"))
     return rollups.unreferenced(stores, table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("candidate_id")))
+
+
+# ---------------------------------------------------------------- audit summaries and manifests
+
+
+@query
+def audit_totals(spark, sf):
+    docs = table(spark, sf, "documents")
+    lab = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    results = docs.join(lab.filter("q = 1"), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("digest"), big("n_chars").alias("symbols"))
+    audited = audits.sequence_audit(docs.select("doc_id"), written(results, "results"), lab.filter("q = 0").select("doc_id"), "doc_id", "digest")
+    return audits.audit_summary(written(audited, "audited"), "digest", ["symbols"])
+
+
+@query
+def feature_maps(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_type", F.lit(1).alias("one"))
+    return audits.map_text(events, ["user_id"], "event_type", "one")
+
+
+@query
+def taxa_compatibility(spark, sf):
+    part = table(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_size").alias("group"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("genus"), "p_type")
+    return audits.compatible_taxa(part, "group", "genus", "p_type")
+
+
+@query
+def quality_rank_top(spark, sf):
+    k = F.col("c_custkey")
+    df = table(spark, sf, "customer").select(
+        "c_custkey", "c_nationkey", (k % 3).alias("assembly_tier"), (k % 7 / 8).alias("long_callable_fraction"), (k % 5 / 16).alias("n_fraction"), (k % 2 / 2).alias("large_sequence_fraction"),
+        (k % 11).alias("n50"), (k % 4).alias("contig_count"), big(F.floor("c_acctbal")).alias("base_count"),
+    )
+    return gates.best(df, ["c_nationkey"], audits.quality_rank("c_custkey")).select("c_nationkey", "c_custkey", "base_count")
+
+
+@query
+def annotation_catalog(spark, sf):
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("annotation_id"), F.col("s_name").alias("relative_path"), F.lit("annotation").alias("annotation_role"), F.col("s_nationkey").alias("gene_count"))
+    members = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("annotation_id"), F.col("c_mktsegment").alias("relative_path"), F.col("c_name").alias("member_name"), F.col("c_nationkey").alias("gene_count"))
+    return audits.annotation_catalog(files, members, "annotation_id", {"annotation_role": "archive_gene_models"})
+
+
+@query
+def defaulted_join(spark, sf):
+    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders")).withColumnRenamed("o_custkey", "c_custkey")
+    events = table(spark, sf, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("errors")).withColumnRenamed("user_id", "c_custkey")
+    return audits.with_defaults(table(spark, sf, "customer").select("c_custkey"), "c_custkey", orders, events)
+
+
+@query
+def list_members(spark, sf):
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(";", F.array_sort(F.collect_set(F.col("l_partkey").cast("string")))).alias("parts"))
+    return audits.by_list(lists, "l_orderkey", "parts")
+
+
+@query
+def subset_check(spark, sf):
+    return audits.subset_violations(table(spark, sf, "events").select(F.col("user_id").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query
+def queries_unseen(spark, sf):
+    return audits.unseen(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query
+def literature_keys(spark, sf):
+    page = table(spark, sf, "pages").select("page_id", F.when(big("page_id") % 3 == 0, text.doi(F.col("url"))).alias("doi"), text.ascii_title(F.substring("html", 1, 80)).alias("title"), F.when(big("page_id") % 4 > 0, 2000 + big("page_id") % 20).alias("year"))
+    return page.select("page_id", audits.literature_key(F.col("doi"), F.col("title"), F.col("year")).alias("literature_key"))
+
+
+@query
+def date_texts(spark, sf):
+    day = F.col("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", text.date_parts(F.array(F.year(day), F.month(day), F.dayofmonth(day))).alias("date_text"))
+
+
+@query
+def similarity_summary(spark, sf):
+    return audits.similarity_summary(table(spark, sf, "documents").select("doc_id"), shingle_jaccard(spark, sf), near_dup_components(spark, sf))
+
+
+def _strand(c: Column) -> Column:
+    """A sequence of 64 symbols from the digest of a text."""
+    return F.translate(F.sha2(c, 256), "0123456789abcdef", "ACGTACGTACGTACGN")
+
+
+@query
+def kmer_sketch(spark, sf):
+    customer = table(spark, sf, "customer")
+    records = customer.select("c_custkey", F.explode(F.array(_strand(F.col("c_name")), _strand(F.col("c_mktsegment")))).alias("s"))
+    got = similarity.sequence_sketches(records, "c_custkey", "s", 7, 4)
+    return got.select("c_custkey", F.array_join(F.col("hashes").cast("array<string>"), ",").alias("sketch"))
+
+
+@query
+def orientation_sets(spark, sf):
+    part = table(spark, sf, "part").select("p_brand", "p_partkey", _strand(F.col("p_name")).alias("s"))
+    turned = part.select("p_brand", F.when(big("p_partkey") % 2 == 0, sequences.reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("sequence"))
+    return record_digests(turned, ["p_brand"])
+
+
+@query
+def sketch_candidates(spark, sf):
+    o = table(spark, sf, "orders")
+    keep = audits.sketch_candidate(F.when(F.col("o_orderstatus") == "F", "PASS"), big("o_orderkey") % 2 == 0, big("o_custkey") % 5 == 0, big(F.floor("o_totalprice")), big("o_orderkey") % 100_000)
+    return o.filter(keep).select("o_orderkey")
+
+
+@query
+def task_preparation(spark, sf):
+    return audits.tasks(_gated(spark, sf), "doc_id", "reasons")[0]
+
+
+@query
+def receipt_check(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_name").alias("path"), big(F.floor("s_acctbal")).alias("size_bytes"), big("s_suppkey").alias("k"))
+    told = s.filter("k % 7 <> 0").select("path", (F.col("size_bytes") + F.when(F.col("k") % 11 == 0, 1).otherwise(0)).alias("size_bytes"))
+    return audits.receipt_violations(s.filter("k % 13 <> 0").select("path", "size_bytes"), told)

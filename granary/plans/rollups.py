@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators import audit, gates, intervals
+from granary.plans import policy
 
 #: Classes whose chunks are masked; "unknown" is not among them.
 MASKED = ("archaea", "bacteria", "prokarya", "organelle", "mitochondria", "plastid")
 PROKARYOTIC = ("archaea", "bacteria", "prokarya")
 
 
-def record_quality(records: DataFrame, classes: DataFrame, vector: DataFrame, least_evaluated: float = 0.95, most_prokaryotic: float = 0.005, most_vector: float = 0.0001, least_nuclear: float = 0.90) -> DataFrame:
+def record_quality(records: DataFrame, classes: DataFrame, vector: DataFrame, least_evaluated: float = policy.LEAST_EVALUATED, most_prokaryotic: float = policy.MOST_PROKARYOTIC, most_vector: float = policy.MOST_VECTOR, least_nuclear: float = policy.LEAST_NUCLEAR_FRACTION) -> DataFrame:
     """One row per candidate: primary bases and what was evaluated, prokaryotic and vector shares, reasons, status.
 
     ``records`` has candidate_id, record_id, length and is_primary; ``classes`` has
@@ -45,7 +46,7 @@ def masks(chunks: DataFrame, vector: DataFrame) -> DataFrame:
     return intervals.merge_sources(a.unionByName(b), ["candidate_id", "record_id"], "source")
 
 
-def completeness(tasks: DataFrame, results: DataFrame, modes: tuple[str, ...] = ("annotation", "genome"), least: float = 90.0) -> DataFrame:
+def completeness(tasks: DataFrame, results: DataFrame, modes: tuple[str, ...] = ("annotation", "genome"), least: float = policy.LEAST_COMPLETE_GENOME) -> DataFrame:
     """Nested completeness results as flat columns by mode, with a gate and a status.
 
     ``results`` has candidate_id, elapsed_seconds, error and one struct per mode with

@@ -71,3 +71,12 @@ def bibliography(items: DataFrame, query: Column) -> DataFrame:
         F.coalesce(F.trim(j["publisher"]), F.lit("")).alias("publisher"), F.coalesce(authors, F.lit("")).alias("authors"), F.coalesce(F.trim(j["URL"]), F.lit("")).alias("url"),
         F.coalesce(F.trim(j["type"]), F.lit("")).alias("publication_type"), F.array(query).alias("query_ids"), F.array(F.lit("crossref")).alias("sources"),
     )
+
+
+def single_json(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The one JSON object in the one file of that name below ``folder``; none or several are an error."""
+    found = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder, mode="FAILFAST")
+    n = found.limit(2).count()
+    if n != 1:
+        raise ValueError(f"{'no' if not n else 'more than one'} {pattern} below {folder}")
+    return found

@@ -21,8 +21,12 @@ def write_with_summary(df: DataFrame, path: str, version: str) -> DataFrame:
     return write_table(summary, f"{path}/summary")
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated text with a header; arrays must be joined first, nulls are empty."""
+def write_tsv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Tab-separated text with a header; arrays must be joined first, nulls are empty.
+
+    With ``order``, rows ascend within each file and from file to file.
+    """
+    df = df.orderBy(*order) if order else df
     df.write.mode("errorifexists").options(sep="\t", header=True, lineSep="\n", emptyValue="", quote="").csv(path)
 
 

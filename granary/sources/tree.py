@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import stat
 from collections.abc import Iterator
@@ -40,3 +41,25 @@ def scan_store(spark: SparkSession, path: str) -> DataFrame:
     """(path, size_bytes, modified, file_type) of files in any store Spark reads; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), file_type(F.col("path")).alias("file_type"))
+
+
+def confined(root: str, path: str) -> str:
+    """The real path of ``path`` below ``root``; absolute paths, parents and links that lead out are an error."""
+    real = os.path.realpath(os.path.join(root, path))
+    if os.path.isabs(path) or ".." in path.split("/") or os.path.commonpath([real, os.path.realpath(root)]) != os.path.realpath(root):
+        raise ValueError(f"path leads out of its folder: {path}")
+    return real
+
+
+def archives(inventory: DataFrame) -> DataFrame:
+    """Plain files that are archives, by path."""
+    return inventory.filter("kind = 'file' AND file_type = 'archive'").orderBy("relative_path")
+
+
+def implementation_digest(*modules: object) -> str:
+    """SHA-256 over the sources of modules: the version part of a cache key."""
+    digest = hashlib.sha256()
+    for module in modules:
+        with open(module.__file__, "rb") as f:
+            digest.update(hashlib.sha256(f.read()).digest())
+    return digest.hexdigest()

@@ -101,3 +101,60 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         lineage.shared_dir(Session())
+
+
+def test_audit_tables(spark):
+    from granary.plans import audits
+
+    registry = spark.createDataFrame([(i,) for i in range(6)], "id int")
+    results = spark.createDataFrame([(0, "aa" * 32, 5), (1, "aa" * 32, 5), (2, "bb" * 32, 7)], "id int, digest string, n long")
+    audited = audits.sequence_audit(registry, results, spark.createDataFrame([(3,)], "id int"), "id", "digest")
+    assert audits.audit_summary(audited, "digest", ["n"]).first().asDict() == {
+        "candidate_count": 6, "pass_count": 3, "fail_count": 1, "missing_count": 2, "total_n": 17, "unique_count": 2, "duplicate_group_count": 1, "duplicate_member_count": 2, "unique_n": 12,
+    }
+    with pytest.raises(Exception, match="both"):
+        audits.sequence_audit(registry, results, results.select("id"), "id", "digest").collect()
+    counts = spark.createDataFrame([(1, 'b"', 2), (1, "a", 1), (1, "a", 4)], "k int, f string, n int")
+    assert audits.map_text(counts, ["k"], "f", "n").first()[1:] == ('{"a":5,"b\\"":2}', 7)
+    taxa = spark.createDataFrame([("x", "G", "G max"), ("x", "G", "G max var"), ("y", "G", "G a"), ("y", "H", "H a"), ("z", "G", "G a")], "g string, genus string, s string")
+    assert {r.g: r.compatible for r in audits.compatible_taxa(taxa, "g", "genus", "s").collect()} == {"x": True, "y": False, "z": True}
+    lists = spark.createDataFrame([(1, "a; b;"), (2, "."), (3, None), (4, "b")], "k int, l string")
+    assert sorted(map(tuple, audits.by_list(lists, "k", "l").collect())) == [("a", 1), ("b", 1), ("b", 4)]
+    one, two = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("a", "m")], "id string, member string")
+    with pytest.raises(Exception, match="not unique"):
+        audits.annotation_catalog(one, two, "id", {}).collect()
+    whole = spark.createDataFrame([(1,), (2,)], "k int")
+    assert [r.rule for r in audits.subset_violations(whole, whole, "k").collect()] == ["not proper"]
+    assert audits.subset_violations(whole.limit(1), whole, "k").count() == 0
+    order = spark.createDataFrame([("b", None, None), ("a", 2001, None), ("a", 2000, "x")], "t string, y int, d string").orderBy(*audits.literature_order("t", "y", "d")).collect()
+    assert [(r.t, r.y) for r in order] == [("b", None), ("a", 2000), ("a", 2001)]
+
+
+def test_sketches_of_records_with_long_chunks(spark):
+    text = "".join(random.Random(1).choice("ACGTN" if i % 9 == 0 else "ACGT") for i in range(300))
+    turn = str.maketrans("ACGT", "TGCA")
+    want = {min(x, x[::-1].translate(turn)) for s in (text, "acgtacca") for x in (s.upper()[i : i + 5] for i in range(len(s) - 4)) if "N" not in x}
+    df = spark.createDataFrame([(text,), ("acgtacca",), ("AC",), (None,)], "s string")
+    for chunk in (7, 1 << 20):
+        got = [x for r in df.select(similarity.canonical_kmers(F.col("s"), 5, chunk)).collect() for x in r[0] or []]
+        assert set(got) == want
+
+
+def test_files(spark, tmp_path):
+    from granary.sources import delimited, sinks, tree
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "s.json").write_text('{"x": 1}')
+    assert delimited.single_json(spark, str(tmp_path), "s.json").first().x == 1
+    (tmp_path / "s.json").write_text('{"x": 2}')
+    with pytest.raises(ValueError, match="more than one"):
+        delimited.single_json(spark, str(tmp_path), "s.json")
+    assert tree.confined(str(tmp_path), "a/s.json").endswith("a/s.json")
+    (tmp_path / "out").symlink_to("/")
+    for bad in ("/etc", "../x", "out/etc"):
+        with pytest.raises(ValueError):
+            tree.confined(str(tmp_path), bad)
+    assert len(tree.implementation_digest(tree, sinks)) == 64 and tree.implementation_digest(tree) != tree.implementation_digest(sinks)
+    sinks.write_tsv(spark.range(50).selectExpr("50 - id as n"), f"{tmp_path}/t", ["n"])
+    rows = [int(x) for f in sorted((tmp_path / "t").glob("part-*")) for x in f.read_text().split("\n")[1:] if x]
+    assert rows == list(range(1, 51))
