@@ -3,12 +3,20 @@
 Test items are cut into word n-grams.  One pass over the corpus counts the documents
 that hold each of them; the rare ones, and the rarest of every ``SPACING`` neighbouring
 n-grams of an item, become its seeds, so no item loses all its seeds however common its
-passage is.  N-grams that more than ``SHARED`` items have (a common lead) are no seeds of an
-item unless they cover ``threshold`` of its words, since a passage that has nothing else of
-the item cannot reach its score.  Items of equal words are aligned once.  A second pass finds seeds in whole documents, takes the passage around
-each, and aligns its words with the item's (match +2, mismatch and gap -1).  A pair is
-reported when the score reaches ``threshold`` of the item's own score, which passages
-with replaced, dropped or added words still do.
+passage is.  Items of equal words are aligned once.  A second pass finds seeds in whole
+documents, takes the passage around each, and aligns its words with the item's (match +2,
+mismatch and gap -1).  A pair is reported when the score reaches ``threshold`` of the item's
+own score, which passages with replaced, dropped or added words still do.
+
+N-grams that more than ``SHARED`` items have (a common lead) would align each of these items
+with every document that quotes the lead.  An item that such n-grams cover to less than
+``threshold`` needs words of its own in the passage as well: at least so many that one of its
+``own words`` (all but as many as it needs, less one; the rarest) must be there.  So a shared
+n-gram is a seed of it only with one of these words near it.  A pair is looked at if the passage
+has as many of the item's words as the threshold takes.  All
+such items of a passage are scored side by side, and only those that reach the threshold are
+aligned.  No item and no passage is left out by this, since a score is at most twice the number
+of matches.
 
 Both passes are maps over Arrow batches.  Test items travel to the executors in blocks
 of at most ``MOST_BLOCK_BYTES``; a larger benchmark takes one pair of passes per block.
@@ -42,9 +50,11 @@ RARE, FEW = 0.001, 64
 #: Unrelated passages of the given tables score below 0.35; copies with two fifths of their words replaced score 0.4.
 THRESHOLD = 0.4
 MATCH, OTHER = 2, 1
-#: Items that may share a seed, unless what they share covers the threshold of an item.
+#: Items that may share an n-gram before it takes a word of their own to align them.
 SHARED = 32
 MOST_BLOCK_BYTES = 16 << 20
+#: Cells of a column of all items that are scored side by side.
+CELLS = 1 << 16
 #: Aligned passages that a task remembers.
 REMEMBERED = 4096
 
@@ -155,6 +165,118 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, first, last
 
 
+def best_scores(items: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """Smith-Waterman scores of items of one length (rows of word numbers) with a passage, side by side."""
+    steps = np.arange(len(passage) + 1, dtype=np.int32) * OTHER
+    score, best = np.zeros((len(items), len(passage) + 1), np.int32), np.zeros(len(items), np.int32)
+    now = np.zeros_like(score)
+    for k in range(items.shape[1]):
+        diagonal = score[:, :-1] + np.where(items[:, k, None] == passage[None, :], np.int32(MATCH), np.int32(-OTHER))
+        np.maximum(np.maximum(diagonal, score[:, 1:] - OTHER), 0, out=now[:, 1:])
+        score = np.maximum.accumulate(now + steps, axis=1) - steps
+        best = np.maximum(best, score.max(axis=1))
+    return best
+
+
+def _shared(items: Items) -> np.ndarray:
+    """Of each n-gram, whether more than ``SHARED`` items have it."""
+    return np.bincount(np.concatenate([*(np.unique(g) for g in items.gram_of), np.zeros(0, np.int64)]), minlength=len(items.grams)) > SHARED
+
+
+def _led(g: np.ndarray, words: int, shared: np.ndarray) -> np.ndarray:
+    """Which words of an item shared n-grams cover."""
+    covered = np.zeros(words, bool)
+    for j in range(min(NGRAM, words)):
+        covered[j : j + len(g)] |= shared[g]
+    return covered
+
+
+class _Leads:
+    """Items with a shared lead, by the n-grams of it and by their own words."""
+
+    def __init__(self, items: Items, threshold: float):
+        self.items, self.threshold = items, threshold
+        self.shared = _shared(items)
+        self.sizes = np.array([len(w) for w in items.words], np.int64)
+        often = np.bincount(np.concatenate([*(np.unique(w) for w in items.words), np.zeros(0, np.int64)]), minlength=len(items.vocabulary))
+        self.free = np.zeros(len(items.words), bool)  # of items that their lead alone may report
+        own, owner, gram, holder = [], [], [], []
+        for i, (g, w) in enumerate(zip(items.gram_of, items.words, strict=True)):
+            covered = _led(g, len(w), self.shared)
+            if not covered.any():
+                continue
+            spare = w[~covered]
+            needed = int(np.ceil(threshold * len(w) - 1e-9)) - int(covered.sum())
+            chosen = np.unique(spare[np.argsort(often[spare], kind="stable")][: len(spare) - needed + 1]) if needed > 0 else spare[:0]
+            self.free[i] = needed <= 0
+            own.append(chosen), owner.append(np.full(len(chosen), i))
+            led = np.unique(g[self.shared[g]])
+            gram.append(led), holder.append(np.full(len(led), i))
+        none = np.zeros(0, np.int64)
+        own, owner, gram, holder = (np.concatenate([none, *x]) for x in (own, owner, gram, holder))
+        by = np.argsort(own, kind="stable")
+        self.by_word, self.word_at = owner[by], np.searchsorted(own[by], np.arange(len(items.vocabulary) + 1))
+        by = np.argsort(gram, kind="stable")
+        self.by_gram, self.gram_at = holder[by], np.searchsorted(gram[by], np.arange(len(items.grams) + 1))
+        # Words around an n-gram that the passage of any of its items can have.
+        reach = np.zeros(len(items.grams), np.int64)
+        np.maximum.at(reach, gram[by], self.sizes[self.by_gram] + _slack(self.sizes[self.by_gram]))
+        self.reach = reach
+        self.flat = np.concatenate([none, *items.words])
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def passages(self, w: np.ndarray, text: np.ndarray, grams: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, end) of passages around shared n-grams that may reach the threshold."""
+        led = self.gram_at[grams + 1] > self.gram_at[grams]
+        grams, at = grams[led], at[led]
+        if not len(at):
+            return []
+        by = np.argsort(at, kind="stable")
+        grams, at = grams[by], at[by]
+        cuts = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (text[at[1:]] != text[at[:-1]])))
+        first = np.searchsorted(text, np.arange(text[-1] + 2))
+        out = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+            run, places, doc = grams[a:b], at[a:b], int(text[at[a]])
+            lo, hi = first[doc], first[doc + 1]
+            reach = int(self.reach[run].max())
+            near = np.unique(w[max(lo, places[0] - reach) : min(hi, places[-1] + NGRAM + reach)])
+            near = near[near >= 0]
+            lead = np.unique(np.concatenate([self.by_gram[self.gram_at[g] : self.gram_at[g + 1]] for g in np.unique(run)]))
+            some = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.by_word[self.word_at[x] : self.word_at[x + 1]] for x in near.tolist())]))
+            some = np.union1d(np.intersect1d(some, lead, assume_unique=True), lead[self.free[lead]])
+            if not len(some):
+                continue
+            sizes = self.sizes[some]
+            start = np.cumsum(sizes) - sizes
+            there = np.isin(self.flat[np.repeat(self.begin[some] - start, sizes) + np.arange(sizes.sum())], near)
+            some = some[np.add.reduceat(there, start) >= self.threshold * sizes - 1e-9]
+            for i in self._reach(some, w[max(lo, places[0] - reach) : min(hi, places[-1] + NGRAM + reach)]):
+                g, n = self.items.gram_of[i], len(self.items.words[i])
+                begin = np.concatenate([p - np.flatnonzero(g == x) for x, p in zip(run.tolist(), places.tolist(), strict=True)])
+                out += [(doc, i, max(int(lo), x - int(_slack(n))), min(int(hi), x + n + int(_slack(n)))) for x in np.unique(begin).tolist()]
+        return out
+
+
+    def _reach(self, some: np.ndarray, passage: np.ndarray) -> list[int]:
+        """Those of ``some`` items whose score in the whole passage reaches the threshold."""
+        out: list[int] = []
+        sizes = self.sizes[some]
+        for n in np.unique(sizes).tolist():
+            alike = some[sizes == n]
+            step = max(1, CELLS // (len(passage) + 1))
+            for a in range(0, len(alike), step):
+                part = alike[a : a + step]
+                rows = self.flat[self.begin[part][:, None] + np.arange(n)]
+                out += part[best_scores(rows, passage) >= self.threshold * MATCH * n - 1e-9].tolist()
+        return out
+
+
+def _slack(size: np.ndarray | int) -> np.ndarray | int:
+    """Words that a passage may be longer than its item, at either end."""
+    return size // 2 + 4
+
+
 class Aligner:
     """Seeds and alignments for a block of items, with a bounded memory of passages.
 
@@ -163,6 +285,7 @@ class Aligner:
 
     def __init__(self, items: Items, seeds: list[np.ndarray], threshold: float):
         self.items, self.threshold, self.known = items, threshold, {}
+        self.leads, self.aligned = _Leads(items, threshold), 0
         owner = np.concatenate([np.full(len(p), i) for i, p in enumerate(seeds)] + [np.zeros(0, np.int64)]).astype(np.int64)
         place = np.concatenate([*seeds, np.zeros(0, np.int64)]).astype(np.int64)
         gram = np.concatenate([*(g[p] for g, p in zip(items.gram_of, seeds, strict=True)), np.zeros(0, np.int64)])
@@ -177,25 +300,28 @@ class Aligner:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             got = self.known[name] = align(self.items.words[i], passage)
+            self.aligned += 1
         return got
 
     def hits(self, part: pa.Array) -> list[list[dict]]:
         """For each text, its items at or above the threshold with their best passage."""
         out: list[list[dict]] = [[] for _ in range(len(part))]
         w, text, grams, at = _found(self.items, part)
+        led = self.leads.passages(w, text, grams, at)
         seeded = self.start[grams + 1] > self.start[grams]
         grams, at = grams[seeded], at[seeded]
-        if not len(at):
+        if not len(at) and not led:
             return out
         many = self.start[grams + 1] - self.start[grams]
         row = np.repeat(np.arange(len(at)), many)
         entry = self.start[grams][row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
         item, begin = self.owner[entry], at[row] - self.place[entry]
-        sizes = np.array([len(x) for x in self.items.words])
-        slack = sizes[item] // 2 + 4
+        sizes = self.leads.sizes
+        slack = _slack(sizes[item])
         first = np.searchsorted(text, np.arange(len(part) + 1))
         doc = text[at[row]]
         lo, hi = np.maximum(first[doc], begin - slack), np.minimum(first[doc + 1], begin + sizes[item] + slack)
+        doc, item, lo, hi = (np.append(x, np.array([p[k] for p in led], np.int64)) for k, x in enumerate((doc, item, lo, hi)))
         order = np.lexsort((lo, item, doc))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         a = 0
@@ -227,7 +353,7 @@ def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
             yield Items.build([r["i"] for r in here], [r["t"] for r in here])
 
 
-def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE, threshold: float = THRESHOLD) -> list[np.ndarray]:
+def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE) -> list[np.ndarray]:
     """For each item, the places of its seeds: rare n-grams, and the rarest of every few neighbours."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +371,15 @@ def seeds(docs: DataFrame, text: str, items: Items, rare: float = RARE, threshol
     for r in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["gram"]] = r["n"]
     rare_ones = counts[:-1] <= max(FEW, rare * counts[-1])
-    holders = np.bincount(np.concatenate([*(np.unique(g) for g in items.gram_of), np.zeros(0, np.int64)]), minlength=len(items.grams))
-    return [_places(g, len(w), counts, rare_ones, holders, threshold) for g, w in zip(items.gram_of, items.words, strict=True)]
+    shared = _shared(items)
+    return [_places(g, counts, rare_ones, shared) for g in items.gram_of]
 
 
-def _places(g: np.ndarray, words: int, counts: np.ndarray, rare: np.ndarray, holders: np.ndarray, threshold: float) -> np.ndarray:
-    few = holders[g] <= SHARED
-    covered = np.zeros(words, bool)
-    for j in range(min(NGRAM, words)):
-        covered[j : j + len(g)] |= ~few
-    if covered.sum() >= threshold * words:
-        few[:] = True
-    chosen = rare[g] & few
+def _places(g: np.ndarray, counts: np.ndarray, rare: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    alone = ~shared[g]
+    chosen = rare[g] & alone
     for at in range(0, len(g), SPACING):
-        near = at + np.flatnonzero(few[at : at + SPACING])
+        near = at + np.flatnonzero(alone[at : at + SPACING])
         if len(near):
             chosen[near[counts[g[near]].argmin()]] = True
     return np.flatnonzero(chosen)
@@ -270,7 +391,7 @@ def with_hits(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_
     schema = T.StructType([T.StructField("__text", T.StringType()), *features.schema(docs, kept, f"`{name}` {HIT}").fields])
     out = docs.select(F.col(text).alias("__text"), *kept).withColumn(name, F.array().cast(HIT))
     for items in item_blocks(benchmark, item, item_text):
-        chosen = seeds(docs, text, items, threshold=threshold)
+        chosen = seeds(docs, text, items)
 
         def find(batches: Iterator[pa.RecordBatch], items: Items = items, chosen: list[np.ndarray] = chosen) -> Iterator[pa.RecordBatch]:
             aligner = Aligner(items, chosen, threshold)

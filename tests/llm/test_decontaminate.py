@@ -97,7 +97,7 @@ def test_a_lead_that_many_items_share_is_aligned_only_where_the_rest_matters(spa
         items = [" ".join(lead + [word() for _ in range(24)]) for _ in range(n)]
         docs = [" ".join([*(word() for _ in range(20)), *(items[d * 3].split() if d % 2 else lead), *(word() for _ in range(20))]) for d in range(20)]
         block = dc.Items.build(list(range(n)), items)
-        chosen = [dc._places(g, len(w), np.full(len(block.grams), 20), np.zeros(len(block.grams), bool), np.bincount(np.concatenate(block.gram_of), minlength=len(block.grams)), dc.THRESHOLD) for g, w in zip(block.gram_of, block.words)]
+        chosen = [dc._places(g, np.full(len(block.grams), 20), np.zeros(len(block.grams), bool), dc._shared(block)) for g in block.gram_of]
         assert all(len(p) for p in chosen)
         aligned.clear()
         hits = dc.Aligner(block, chosen, dc.THRESHOLD).hits(pa.array(docs))
@@ -106,3 +106,48 @@ def test_a_lead_that_many_items_share_is_aligned_only_where_the_rest_matters(spa
         w = dc._found(block, pa.array(docs))[0]
         want = {(d, i) for d in range(20) for i in range(n) if plain_align(block.words[i].tolist(), w[text == d].tolist()) >= dc.THRESHOLD * dc.MATCH * len(block.words[i])} if n == 60 else {(d, d * 3) for d in range(1, 20, 2)}
         assert {(d, h["item_id"]) for d, found in enumerate(hits) for h in found} == want
+
+
+def test_scores_side_by_side_equal_the_full_table():
+    rng = random.Random(3)
+    for _ in range(60):
+        n, items, passage = rng.randrange(1, 9), rng.randrange(1, 5), [rng.randrange(5) - 1 for _ in range(rng.randrange(1, 25))]
+        rows = [[rng.randrange(4) for _ in range(n)] for _ in range(items)]
+        assert dc.best_scores(np.array(rows), np.array(passage)).tolist() == [plain_align(r, passage) for r in rows]
+
+
+def test_edited_tails_behind_a_shared_lead_equal_brute_force_over_all_pairs():
+    """Tails keep two of three, one of two or one of three of their words, so no three of them stand together."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    leads = [[word() for _ in range(12)] for _ in range(3)]
+    common = ["the", "of", "and"]
+    for n in (200, 400):
+        items = [leads[i % 3] + [rng.choice(common) if k % 5 == 0 else word() for k in range(20)] for i in range(n)]
+        docs = []
+        for d in range(n):
+            item = items[rng.randrange(n)]
+            keep = rng.choice([(1, 1, 0), (1, 0), (1, 0, 0), (0, 0, 0, 1), (0,)])
+            tail = [w if keep[k % len(keep)] else word() for k, w in enumerate(item[12:])]
+            lead = item[:12] if d % 4 else item[3:9]
+            docs.append([*(word() for _ in range(rng.randrange(30))), *lead, *tail, *(rng.choice([word(), rng.choice(common)]) for _ in range(rng.randrange(30)))])
+        block = dc.Items.build(list(range(n)), [" ".join(x) for x in items])
+        chosen = [dc._places(g, np.full(len(block.grams), n), np.zeros(len(block.grams), bool), dc._shared(block)) for g in block.gram_of]
+        aligner = dc.Aligner(block, chosen, dc.THRESHOLD)
+        texts = pa.array([" ".join(x) for x in docs])
+        got = {(d, h["item_id"]) for d, found in enumerate(aligner.hits(texts)) for h in found}
+        w, text, _, _ = dc._found(block, texts)
+        numbers = np.stack(block.words)
+        want = {(d, block.ids[i][0]) for d in range(n) for i in np.flatnonzero(dc.best_scores(numbers, w[text == d]) >= dc.THRESHOLD * dc.MATCH * 32).tolist()}
+        assert got == want and len(want) > n // 4
+        assert aligner.aligned <= len(want) + 2 * n  # what is aligned one by one are hits, or passages of an item's own n-grams
+
+
+def test_a_lead_and_two_of_three_own_words_hit():
+    lead = [f"lead{k}" for k in range(12)]
+    items = [" ".join(lead + [f"own{i}x{k}" for k in range(20)]) for i in range(100)]
+    block = dc.Items.build(list(range(100)), items)
+    chosen = [dc._places(g, np.ones(len(block.grams), np.int64), np.ones(len(block.grams), bool), dc._shared(block)) for g in block.gram_of]
+    doc = " ".join(lead + [f"own5x{k}" if k % 3 else "changed" for k in range(20)])
+    (found,) = dc.Aligner(block, chosen, dc.THRESHOLD).hits(pa.array([doc]))
+    assert [(h["item_id"], h["score"]) for h in found] == [(5, 0.671875)]
