@@ -16,9 +16,13 @@ The automaton of a whole corpus has no size bound, so it is never gathered.  Eac
 documents gets the sub-automaton its own texts can visit (see ``blocks``): exact corpus-wide
 counts of the n-grams and contexts that occur in it.  A block sends the hashes and counts of
 its distinct n-grams; the answer is what other blocks add to each count, in the order in which
-they were sent, so hashes travel once.  Nothing is capped or pruned; what is exchanged grows
-in proportion to the corpus.  Hashes have as many bytes as keep the chance that an n-gram
-meets another one's hash below one in 250,000, whatever the size of the corpus (up to 64 bits).
+they were sent, so hashes travel once, with all their 64 bits.  From the counts a block makes a
+table of states, one of arcs and one of failure arcs, and walks them.  Nothing is capped or
+pruned; what is exchanged grows in proportion to the corpus.
+
+Texts are walked side by side.  A long one is walked in pieces of ``PIECE`` words; as a state is
+the longest known context, reading the words of one context from the root leads to the state in
+which the piece before ends.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z lower-cased;
 null and empty texts are one end token; rows with a null key are trained on; repeated rows
@@ -41,6 +45,8 @@ from granary.llm import blocks as exchange
 from granary.llm.features import mix
 
 BLOCK_BYTES = 8 << 20
+#: Words of a text that are walked from one start.
+PIECE = 256
 #: Weight of the shorter context, from order 2 up.
 MU = (128.0, 128.0)
 ADDED = 0.1
@@ -92,34 +98,109 @@ def grams(seq: Sequence, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@dataclass
+class Level:
+    """Distinct n-grams of one order in a block: training counts, and the index of the one that ends at each position (-1: none)."""
+
+    count: np.ndarray
+    at: np.ndarray
+
+    def example(self) -> np.ndarray:
+        """A position where each n-gram ends."""
+        out = np.zeros(len(self.count), np.int64)
+        here = np.flatnonzero(self.at >= 0)
+        out[self.at[here]] = here
+        return out
+
+
 class Automaton:
     """The part of the automaton that a block's texts can visit.
 
-    ``counts[k - 1]`` has the corpus-wide training count of the n-gram of order ``k`` that
-    ends at each position (0 where there is none).
+    State 0 is the root.  ``left``, ``fail`` and ``fail_weight`` say of each state how often
+    training left it, where its failure arc leads and what that weighs.  Arcs are sorted by
+    ``key`` (state and word) with their ``weight`` and ``target``; the root has an arc for every
+    word, in ``root_weight`` and ``root_target``.
     """
 
-    def __init__(self, counts: list[np.ndarray], tokens: int, words: int, texts: int, mu: tuple[float, ...]):
-        self.counts, self.tokens, self.words, self.texts, self.mu = counts, tokens, words, texts, mu
-
-    def traverse(self, seq: Sequence) -> tuple[np.ndarray, np.ndarray]:
-        """log10 base probability and log10 model probability of each position of ``seq``.
-
-        The state after a word is the longest context known there, so all positions are
-        read side by side; weights are added in the order of the failure arcs.
-        """
-        base = np.log10((self.counts[0] + ADDED) / (self.tokens + ADDED * (self.words + 1)))
-        p = base.copy()
-        context = np.where(seq.scored, self.counts[0], self.texts)  # how often a state was left in training
-        for k, mu in zip(range(2, len(self.counts) + 1), self.mu, strict=False):
-            left = np.append(0, context[:-1])
-            left[seq.place < k - 1] = 0
-            state, seen = left > 0, self.counts[k - 1]
-            failure = np.log10(mu / (left + mu))
-            arc = np.log10((seen + mu * 10.0**p) / (left + mu))
-            p = np.where(state, np.where(seen > 0, arc, failure + p), p)
-            context = seen
-        return base, p
+    def __init__(self, seq: Sequence, levels: list[Level], tokens: int, words: int, texts: int, mu: tuple[float, ...]):
+        self.order, self.words = len(levels), len(levels[0].count)
+        self.base = np.log10((levels[0].count + ADDED) / (tokens + ADDED * (words + 1)))
+        # Contexts by level: an n-gram of training is a state unless it is as long as the order; the mark of a text's start is one.
+        counts = [np.append(levels[0].count, texts), *(x.count for x in levels[1:-1])] if self.order > 1 else []
+        state, n = [], 1
+        for c in counts:
+            known = c > 0
+            state.append(np.where(known, n + np.cumsum(known) - 1, 0))
+            n += int(known.sum())
+        self.left, self.fail, self.fail_weight = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        self.start = int(state[0][-1]) if state else 0
+        before = np.where(seq.place == 0, self.words, levels[0].at)  # the context of one word that ends at each position
+        ends = [before, *(x.at for x in levels[1:-1])]
+        for k, c in enumerate(counts):
+            on = state[k] > 0
+            self.left[state[k][on]] = c[on]
+            self.fail_weight[state[k][on]] = np.log10(mu[k] / (c[on] + mu[k]))
+            if k:
+                shorter = state[k - 1][ends[k - 1][levels[k].example()]]
+                self.fail[state[k][on]] = shorter[on]
+        self.root_weight, self.root_target = self.base, state[0][:-1] if state else np.zeros(self.words, np.int64)
+        log_p, keys, weights, targets = self.base, [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for k in range(1, self.order):
+            example, c = levels[k].example(), levels[k].count
+            source = state[k - 1][ends[k - 1][example - 1]]
+            shorter = log_p[levels[k - 1].at[example]]
+            left, m = self.left[source], mu[k - 1]
+            seen = c > 0
+            log_p = np.where(source > 0, np.where(seen, np.log10((c + m * 10.0**shorter) / np.maximum(left + m, 1)), self.fail_weight[source] + shorter), shorter)
+            follow = state[k] if k < self.order - 1 else state[k - 1][ends[k - 1][example]]
+            keys.append((source * self.words + levels[0].at[example])[seen]), weights.append(log_p[seen]), targets.append(follow[seen])
+        key = np.concatenate(keys)
+        by = np.argsort(key)
+        self.key, self.weight, self.target = key[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading one word in each of many states: failure arcs until there is an arc."""
+        total, state = np.zeros(len(word)), state.copy()
+        after, open_ = np.zeros(len(word), np.int64), np.arange(len(word))
+        for _ in range(self.order):
+            root = state[open_] == 0
+            done = open_[root]
+            total[done] += self.root_weight[word[done]]
+            after[done] = self.root_target[word[done]]
+            open_ = open_[~root]
+            if not len(open_):
+                break
+            key = state[open_] * self.words + word[open_]
+            at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+            arc = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+            done = open_[arc]
+            total[done] += self.weight[at[arc]]
+            after[done] = self.target[at[arc]]
+            open_ = open_[~arc]
+            total[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+        return total, after
+
+    def walk(self, seq: Sequence, word: np.ndarray, piece: int = PIECE) -> np.ndarray:
+        """log10 probability of each position of ``seq`` (0 for start marks); ``word`` has the word at each position."""
+        out = np.zeros(len(word))
+        starts = np.flatnonzero(seq.place == 0)
+        sizes = np.diff(np.append(starts, len(word))) - 1
+        many = -(-sizes // piece)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        first = np.repeat(starts + 1, many) + nth * piece
+        size = np.minimum(np.repeat(sizes, many) - nth * piece, piece)
+        by = np.argsort(-size, kind="stable")
+        first, size, nth = first[by], size[by], nth[by]
+        state = np.where(nth == 0, self.start, 0)
+        later = np.flatnonzero(nth > 0)
+        for back in range(self.order - 1, 0, -1):  # pieces are longer than a context, so this reads words of the piece before
+            _, state[later] = self.step(state[later], word[first[later] - back])
+        for t in range(int(size.max(initial=0))):
+            on = int(np.searchsorted(-size, -t, "left"))  # pieces with more than t words
+            here = first[:on] + t
+            out[here], state[:on] = self.step(state[:on], word[here])
+        return out
 
 
 def _training_counts(hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,12 +209,6 @@ def _training_counts(hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray,
     return known, np.bincount(back, train, minlength=len(known)).astype(np.int64), back
 
 
-def hash_mask(size: int) -> np.uint64:
-    """The bits that hashes of n-grams keep in a corpus of ``size`` bytes: 18 more than the size has, in whole bytes."""
-    kept = min(64, 8 * -(-(int(size).bit_length() + 18) // 8))
-    return np.uint64(((1 << kept) - 1) << (64 - kept))
-
-
 _SENT = "part int, block int, texts long, grams array<binary>, counts array<binary>"
 _BACK = "block int, part int, tokens long, words long, texts long, added array<binary>"
 
@@ -145,15 +220,15 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
     number of weights ``mu``.
     """
     order = len(mu) + 1
-    dealt, n, size, opened = exchange.deal(df, key, text, block_bytes, train=F.coalesce(train, F.lit(True)))
-    binaries, mask = pa.list_(pa.binary()), hash_mask(size)
+    dealt, n, _, opened = exchange.deal(df, key, text, block_bytes, train=F.coalesce(train, F.lit(True)))
+    binaries = pa.list_(pa.binary())
 
     def send(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         table = opened(table)
         seq = read(table["text"].combine_chunks())
         learned = table["train"].combine_chunks().to_numpy(zero_copy_only=False)
-        found = [_training_counts(h & mask, learned[seq.text[at]])[:2] for at, h in grams(seq, order)]
+        found = [_training_counts(h, learned[seq.text[at]])[:2] for at, h in grams(seq, order)]
         cuts = [exchange.range_cuts(h, n) for h, _ in found]
         rows = [[], []]
         for p in range(n):
@@ -192,23 +267,26 @@ def score(df: DataFrame, key: str, text: str, train: Column, mu: tuple[float, ..
         seq = read(table["text"].combine_chunks())
         learned = table["train"].combine_chunks().to_numpy(zero_copy_only=False)
         parts = facts["part"].to_pylist()
-        counts = []
+        levels = []
         for k, (at, h) in enumerate(grams(seq, order)):
-            known, total, back = _training_counts(h & mask, learned[seq.text[at]])
+            known, total, back = _training_counts(h, learned[seq.text[at]])
             cuts = exchange.range_cuts(known, n)
             for p, added in zip(parts, facts["added"], strict=True):
                 total[cuts[p] : cuts[p + 1]] += exchange.unpack(added[k].as_py())
-            here = np.zeros(len(seq.hashes), np.int64)
-            here[at] = total[back]
-            counts.append(here)
+            here = np.full(len(seq.hashes), -1, np.int64)
+            here[at] = back
+            levels.append(Level(total, here))
         tokens, words, texts = (int(pc.sum(facts[c]).as_py() or 0) for c in ("tokens", "words", "texts"))
-        base, p = Automaton(counts, tokens, words, texts, mu).traverse(seq)
-        rows = table.num_rows
-        by_text = lambda v: np.bincount(seq.text[seq.scored], v[seq.scored], minlength=rows)
+        automaton = Automaton(seq, levels, tokens, words, texts, mu)
+        word = levels[0].at
+        p, base = automaton.walk(seq, word), np.where(seq.scored, automaton.base[word], 0.0)
+        known = np.where(seq.scored, levels[0].count[word] > 0, 0)
+        rows, first = table.num_rows, np.flatnonzero(seq.place == 0)
+        exact = lambda v: np.add.reduceat(v.astype(np.longdouble), first).astype(np.float64)
         return pa.table({
             key: table["key"], "held_out": pc.invert(table["train"]), "n_tokens": pa.array(np.bincount(seq.text[seq.scored], minlength=rows)),
-            "n_known": pa.array(by_text((counts[0] > 0).astype(np.float64)).astype(np.int64)), "train_tokens": pa.array(np.full(rows, tokens)),
-            "base_score": pa.array(by_text(base)), "score": pa.array(by_text(p)),
+            "n_known": pa.array(np.add.reduceat(known, first)), "train_tokens": pa.array(np.full(rows, tokens)),
+            "base_score": pa.array(exact(base)), "score": pa.array(exact(p)),
         })
 
     sent = dealt.groupBy("block").applyInArrow(send, _SENT)

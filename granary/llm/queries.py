@@ -32,11 +32,12 @@ MIX = {"clean": 0.80, "low": 0.15, "toxic": 0.05}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domain posterior, token count and fitted rate of every document."""
+    """Domain posterior, token count and fitted rate of every document, and how the fit ended."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated, domains, _ = mixing.mix(docs, labels, "doc_id", "text", F.expr(DOMAIN), MIX)
+    rated, domains, report = mixing.mix(docs, labels, "doc_id", "text", F.expr(DOMAIN), MIX)
     shares = [F.round(F.col("mix_posterior")[domains.index(d)] if d in domains else F.lit(0.0), 9).alias(f"p_{d}") for d in MIX]
-    return rated.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *shares, F.round("mix_rate", 6).alias("rate"))
+    fit = [F.lit(report[0][c] if report else None).alias(f"fit_{c}") for c in ("steps", "rest", "met")]
+    return rated.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *shares, F.round("mix_rate", 6).alias("rate"), *fit)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and backoff-automaton scores of all documents, learned from nine tenths of them."""
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    return language_model.score(table(spark, sf_dir, "documents"), "doc_id", "text", train)
+    scored = language_model.score(table(spark, sf_dir, "documents"), "doc_id", "text", train)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +160,20 @@ def _license_sql() -> str:
 
 ORACLES: dict[str, str] = {
     "op11_license_scan": _license_sql(),
+    # Words as positions of a list with a mark (one space, two spaces) at either end; counts of one to three words.
+    "op8_language_model": f"""WITH d AS (SELECT doc_id, {_crc("CAST(doc_id AS VARCHAR)")} % 10 <> 0 AS train, list_concat(['  '], regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+'), [' ']) AS w FROM documents),
+      t AS (SELECT doc_id, train, w[i] AS w, w[i - 1] AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q FROM (SELECT doc_id, train, w, unnest(range(2, len(w) + 1)) AS i FROM d)),
+      c1 AS (SELECT w, count(*) AS c1 FROM t WHERE train GROUP BY w), c2 AS (SELECT p, w, count(*) AS c2 FROM t WHERE train GROUP BY p, w),
+      c3 AS (SELECT q, p, w, count(*) AS c3 FROM t WHERE train AND q IS NOT NULL GROUP BY q, p, w),
+      n AS (SELECT coalesce(sum(c1), 0)::BIGINT AS n, count(*) AS v, (SELECT count(*) FROM d WHERE train) AS texts FROM c1),
+      x AS (SELECT t.doc_id, coalesce(c1.c1, 0) AS c1, coalesce(c2.c2, 0) AS c2, coalesce(c3.c3, 0) AS c3, CASE WHEN t.p = '  ' THEN texts ELSE coalesce(l1.c1, 0) END AS l1, CASE WHEN t.q IS NULL THEN 0 ELSE coalesce(l2.c2, 0) END AS l2,
+        (coalesce(c1.c1, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p1
+        FROM t CROSS JOIN n LEFT JOIN c1 ON t.w = c1.w LEFT JOIN c2 ON t.p = c2.p AND t.w = c2.w LEFT JOIN c3 ON t.q = c3.q AND t.p = c3.p AND t.w = c3.w
+        LEFT JOIN c1 AS l1 ON t.p = l1.w LEFT JOIN c2 AS l2 ON t.q = l2.p AND t.p = l2.w),
+      y AS (SELECT *, CASE WHEN l1 > 0 THEN (c2 + 128 * p1) / (l1 + 128) ELSE p1 END AS p2 FROM x),
+      z AS (SELECT *, CASE WHEN l2 > 0 THEN (c3 + 128 * p2) / (l2 + 128) ELSE p2 END AS p3 FROM y),
+      s AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, round(fsum(log10(p1)), 6) AS base_score, round(fsum(log10(p3)), 6) AS score FROM z GROUP BY doc_id)
+      SELECT d.doc_id, NOT train AS held_out, n_tokens, n_known, n AS train_tokens, base_score, score FROM d JOIN s ON d.doc_id = s.doc_id CROSS JOIN n""",
     # Every feature as a string; the checksum of each distinct one.
     "op12_target_resampling": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
       df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2]))) AS f FROM d),

@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,46 @@ def test_registered_model_has_contexts_of_two_words(spark):
     want = sorted((str(k), model.score(t)) for k, t in ROWS)
     assert [k for k, _ in got] == [k for k, _ in want]
     assert [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def block(texts, mu):
+    """The automaton of one block that has the whole corpus, its sequence and its words by position."""
+    seq, levels = lm.read(pa.array(texts)), []
+    for at, h in lm.grams(seq, len(mu) + 1):
+        known, total, back = lm._training_counts(h, np.ones(len(h)))
+        here = np.full(len(seq.hashes), -1, np.int64)
+        here[at] = back
+        levels.append(lm.Level(total, here))
+    n = levels[0].count
+    return lm.Automaton(seq, levels, int(n.sum()), int((n > 0).sum()), len(texts), mu), seq, levels[0].at
+
+
+@pytest.mark.parametrize("mu", [(4.0,), (4.0, 2.0), (4.0, 2.0, 3.0)])
+@pytest.mark.parametrize("piece", [4, 7, 256])
+def test_a_walk_in_pieces_equals_one_walk(mu, piece):
+    texts = [t or "" for _, t in ROWS]
+    automaton, seq, word = block(texts, mu)
+    model, got = Sequential(texts, mu), automaton.walk(seq, word, piece)
+    for i, t in enumerate(texts):
+        assert got[seq.text == i].sum() == pytest.approx(model.score(t))
+
+
+def test_states_fail_to_shorter_ones_and_arcs_are_the_ngrams_seen():
+    texts = ["a b a b c", "b a b", ""]
+    automaton, seq, word = block(texts, (4.0, 2.0))
+    grams = Sequential(texts, (4.0, 2.0)).grams
+    assert len(automaton.key) == sum(len(g) > 1 for g in grams)
+    states = {g for g in grams if len(g) < 3} | {("<s>",)}
+    assert len(automaton.left) == 1 + len(states)
+    for s in range(len(automaton.left)):  # failure arcs end at the root
+        steps = 0
+        while s:
+            s, steps = automaton.fail[s], steps + 1
+        assert steps <= 2
+
+
+def test_a_long_text_among_short_ones(spark):
+    rows = [(1, "w1 w2 w3 " * 20_000), (2, "w1 w2"), (3, None)]
+    model = Sequential([t for _, t in rows], (128.0, 128.0))
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", F.lit(True)).collect()}
+    assert got == pytest.approx({k: model.score(t) for k, t in rows})
