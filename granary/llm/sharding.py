@@ -3,16 +3,16 @@
 ``jump_shard`` is a pure projection: no ring table, no shuffle.  Growing from
 ``n`` to ``n + 1`` shards moves rows only into the new shard.
 
-``shard_slots`` numbers the rows of each shard from 0 without gaps.  One shard
-may hold billions of rows, so a shard is never sorted in one task: rows are cut
-into ranges of the key, ranges are counted first, and a running sum of the counts
-gives each range its first slot.  Rows that are equal in every numbered column
-are counted before they are shuffled and expanded afterwards, so a row repeated
-any number of times costs one row in the shuffle.
+``shard_slots`` numbers the rows of each shard from 0 without gaps.  One shard may hold
+billions of rows, so a shard is never sorted in one task: rows are numbered in the order of
+shard and key over ranges at sampled quantiles (``numbering``), whatever type keys have and
+however far one lies from the others, and a shard's first number is taken off.  Rows that are
+equal in every numbered column are counted before they are shuffled and expanded afterwards in
+chunks, so a row repeated any number of times costs one row in the shuffle.
 
 Defined results: a null key hashes as -1; a null text has size 16 and CRC 0;
 an empty table gives an empty result; repeated rows get slots of their own in
-one shard; extra columns are ignored by ``shard_slots`` and kept by
+one shard; texts of any length are read whole, by one task; extra columns are ignored by ``shard_slots`` and kept by
 ``with_shard``.
 """
 
@@ -21,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.lineage import written
+from granary.operators.numbering import expanded, numbered
+
 #: Fixed values of the published jump hash: the multiplier of its generator, and 2 ** 64.
 MULTIPLIER, WORD = 2862933555777941757, 18446744073709551616
 
@@ -67,42 +70,24 @@ def with_shard(df: DataFrame, key: str, shards: int, name: str = "shard") -> Dat
     return df.withColumn(name, jump_shard(F.col(key), dict(df.dtypes)[key], shards)["shard"])
 
 
-def shard_slots(df: DataFrame, key: str, text: str, shards: int, rows_per_range: int = 50_000) -> DataFrame:
+def shard_slots(df: DataFrame, key: str, text: str, shards: int, rows_per_range: int = 1_000_000) -> DataFrame:
     """One row per row of ``df``: key, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``rows_per_range`` is the expected number of rows that one task numbers at a time
-    per shard; it bounds the sort of a task, whatever the number of rows.
+    ``rows_per_range`` is the number of different rows that one task numbers at a time; it
+    bounds the sort of a task, whatever the number of rows.
     """
-    ids = df.select(F.col(key).alias("id"))
-    dtype = dict(df.dtypes)[key]
     text_col = F.coalesce(F.col(text), F.lit(""))
-    span = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    ranges = max(1, -(-span["n"] // (rows_per_range * shards)))
-    width = max(1, ((span["hi"] or 0) - (span["lo"] or 0)) // ranges + 1) if dtype in ("tinyint", "smallint", "int", "bigint") else None
-    # In doubles: whole ids may be further apart than a bigint reaches, and the order of ranges is all that counts.
-    cut = F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(span["lo"] or 0))) / F.lit(float(width))), F.lit(-1)) if width else F.lit(0)
     seen = (
         df.select(F.col(key).alias("id"), (F.octet_length(text_col).cast("bigint") + 16).alias("size"), F.crc32(text_col.cast("binary")).alias("crc"))
         .groupBy("id", "size", "crc")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("to", jump_shard(F.col("id"), dtype, shards))
-        .select("id", "size", "crc", "copies", "to.shard", "to.grown", cut.cast("bigint").alias("cut"))
+        .withColumn("to", jump_shard(F.col("id"), dict(df.dtypes)[key], shards))
+        .select("id", "size", "crc", "copies", "to.shard", "to.grown")
     )
-    # Counted from the key alone: this branch reads one column.
-    counted = (
-        ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        .select(jump_shard(F.col("id"), dtype, shards)["shard"].alias("shard"), cut.cast("bigint").alias("cut"), "n")
-        .groupBy("shard", "cut").agg(F.sum("n").alias("n"))
-    )
-    first = counted.select("shard", "cut", F.expr("coalesce(sum(n) over (partition by shard order by cut rows between unbounded preceding and 1 preceding), 0)").alias("first"))
-    in_cut = F.expr("coalesce(sum(copies) over (partition by shard, cut order by id, size, crc rows between unbounded preceding and 1 preceding), 0)")
-    placed = seen.withColumn("before", in_cut).join(first, ["shard", "cut"]).withColumn("from", F.col("first") + F.col("before"))
-    return placed.select(
-        F.col("id").alias(key),
-        "size",
-        F.col("crc").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        F.explode(F.sequence(F.col("from"), F.col("from") + F.col("copies") - 1)).alias("slot"),
-        F.col("grown").alias("grown_shard"),
+    rows = df.count()  # no fewer than there are different ones, and no text is read for it
+    placed = written(numbered(seen, ["shard", "id", "size", "crc"], "at", "copies", rows, rows_per_range), "placed")
+    first = placed.groupBy("shard").agg(F.min("at").alias("first"))
+    slots = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("at") - F.col("first")).drop("at", "first")  # one row a shard
+    return expanded(slots, "slot", "copies").select(
+        F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", F.col("grown").alias("grown_shard")
     )

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 from granary.llm import sharding
+from granary.operators import numbering
 
 
 def jump(key, shards):
@@ -44,3 +45,13 @@ def test_main_path_has_no_python(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = sharding.shard_slots(df, "doc_id", "text", 40)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_a_row_repeated_often_and_string_keys_far_apart(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "CHUNK", 50)
+    rows = [("same", "t")] * 400 + [(f"k{i}", "t") for i in range(100)] + [(None, "t")] * 120 + [("\U0010ffff" * 9, "far")]
+    got = sharding.shard_slots(spark.createDataFrame(rows, "key string, text string"), "key", "text", 3, 20).collect()
+    assert len(got) == len(rows)
+    for s in range(3):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
