@@ -15,8 +15,10 @@ everything else covers all rows.
 Defined results: null and empty texts have no tokens, the prior posterior, and rate 1
 until steps move it; rows with the same text share posterior and rate; labels that are
 null or have no document are ignored, a document labelled twice takes the smaller domain
-name; targets of domains that no document resembles cannot be met and show as a rest;
-with no labels at all every document gets rate 1 and a uniform posterior.
+name; targets of domains that no document resembles cannot be met and show as a rest in the report;
+with no labels at all every document gets rate 1 and a uniform posterior; texts of any length
+are read whole, by one task, in parts; columns ``keep`` come through whatever their names, but
+for the three of the result; an empty table gives an empty result and a report without tokens.
 """
 
 from __future__ import annotations
@@ -41,17 +43,11 @@ TOLERANCE = 1e-7
 
 
 def _present(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, text) of the distinct features of each text, and tokens by text."""
+    """(bucket, text) of the distinct tokens and pairs of neighbouring tokens of each text, and tokens by text."""
     h, text = features.tokens(part)
-    _, repeats = _repeated(h, text)
-    both = np.unique(np.append(text * BUCKETS + features.bucket(h, BUCKETS), repeats * BUCKETS))
-    return both % BUCKETS, both // BUCKETS, np.bincount(text, minlength=len(part))
-
-
-def _repeated(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in which a token follows itself at once; they share bucket 0."""
-    same = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
-    return h[1:][same], text[1:][same]
+    both, of = features.pairs(h, text)
+    found = np.unique(np.append(text * BUCKETS + features.bucket(h, BUCKETS), of * BUCKETS + features.bucket(both, BUCKETS)))
+    return found % BUCKETS, found // BUCKETS, np.bincount(text, minlength=len(part))
 
 
 @dataclass
@@ -159,6 +155,9 @@ def rate_column(history: list[np.ndarray], most: float | None) -> Column:
 def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, anchor: str | None = None, most: float | None = None) -> tuple[Column, list[dict]]:
     """Rate column for a table with mix_tokens and mix_posterior, and a report by domain.
 
+    Steps end when the largest rest of a domain is ``TOLERANCE`` of all tokens, when a step no
+    longer lowers it (no rates meet the targets: the report's ``met`` is false), or after ``STEPS``.
+
     ``weights`` are target shares of tokens.  Their total is ``total``; with ``anchor``, the
     total at which that domain's expected tokens are all used; else all tokens.  ``most``
     bounds rates from above (1: no document is repeated) and targets by what there is.
@@ -189,7 +188,8 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], t
         history.append(inverse @ rest)
         got = table.select("mix_tokens", "mix_posterior", rate_column(history, most).alias("r")).agg(*(F.sum(F.col("mix_tokens") * p[i] * F.col("r")).alias(f"e{i}") for i in range(k))).first()
         reached = np.array([got[f"e{i}"] or 0.0 for i in range(k)])
-    report = [{"domain": d, "available": float(a), "target": float(t), "expected": float(e), "steps": len(history)} for d, a, t, e in zip(domains, have, target, reached, strict=True)]
+    rest = float(np.abs(reached - target).max() / max(tokens, 1.0)) if k else 0.0
+    report = [{"domain": d, "available": float(a), "target": float(t), "expected": float(e), "steps": len(history), "rest": rest, "met": rest <= TOLERANCE} for d, a, t, e in zip(domains, have, target, reached, strict=True)]
     return rate_column(history, most), report
 
 
