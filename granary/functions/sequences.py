@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
@@ -36,6 +37,18 @@ def tokens(sequence: Column) -> Column:
     return F.transform(F.filter(F.split(ascii_upper(sequence), ""), lambda c: c != ""), lambda c: F.when(F.instr(place, c) > 0, F.instr(place, c) + 1).otherwise(F.lit(6)))
 
 
+def token_arrays(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all sequences, where each begins, one entry more): what ``tokens`` gives, by a table of bytes."""
+    table = np.full(256, 6, np.int64)
+    for i, c in enumerate(SYMBOLS):
+        table[[ord(c), ord(c.lower())]] = i + 2
+    values = values.fill_null("").cast(pa.large_string())
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    first = (data & 0xC0) != 0x80  # a character of several bytes is one unknown symbol
+    return table[data[first]], np.append(0, np.cumsum(first))[at - at[0]]
+
+
 def reverse_complement_tokens(ids: Column) -> Column:
     """Token ids of the reverse complement; padding and mask stay."""
     table = F.array(*(F.lit(i) for i in [PAD, MASK, *(SYMBOLS.index(c) + 2 for c in COMPLEMENTS)]))

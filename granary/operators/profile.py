@@ -85,11 +85,22 @@ def max_end(features: DataFrame, keys: list[str]) -> DataFrame:
     return sound.groupBy(*keys, "seqid").agg(F.max("end").alias("max_end"))
 
 
+def smallest(df: DataFrame, keys: list[str], value: str, most: int, name: str) -> DataFrame:
+    """(keys, ``name``): the ``most`` smallest values of each key, ascending.
+
+    A rank that is bounded by a number is cut in each task before rows are shuffled, so a key
+    with very many values sends ``most`` from each task.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    return df.withColumn("__rank", rank).filter(F.col("__rank") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def closure(features: DataFrame, contigs: DataFrame, keys: list[str], seqid: str = "seqid", start: str = "start", end: str = "end", kind: Column | None = None, preview: int = 20) -> DataFrame:
     """Do all features lie on known records and within them?  One row per key with counts and a status.
 
-    ``contigs`` has keys, seqid and length, one row each.  Unknown names are counted
-    distinct before any is listed; the preview holds the first few.
+    ``contigs`` has keys, seqid and length, one row each.  Unknown names are counted distinct
+    first.  The preview holds the ``preview`` smallest of them, which each task picks before any
+    is shuffled; ``unknown_digest`` is a sum over all of them, equal for equal sets in any order.
     """
     gene = F.lower("type") == "gene" if kind is None else kind
     known = contigs.select(*keys, F.col(seqid).alias("__seq"), F.col("length").alias("__len"))
@@ -99,10 +110,16 @@ def closure(features: DataFrame, contigs: DataFrame, keys: list[str], seqid: str
         cond = cond & c
     joined = features.join(known, cond, "left").select(*(features[k] for k in keys), features[seqid].alias("__id"), gene.alias("__gene"), F.col("__len"), ((features[start] < 1) | (features[end] < features[start]) | (features[end] > F.col("__len"))).alias("__out"))
     by_name = joined.groupBy(*keys, "__id", F.col("__len").isNull().alias("__unknown")).agg(F.count(F.lit(1)).alias("n"), F.count_if("__gene").alias("g"), F.count_if(F.col("__out")).alias("o"))
-    names = F.array_sort(F.collect_list(F.when(F.col("__unknown"), F.col("__id"))))
+    number = F.conv(F.substring(F.md5(F.col("__id").cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")
     sums = by_name.groupBy(*keys).agg(
         F.sum("n").cast("bigint").alias("feature_count"), F.sum("g").cast("bigint").alias("gene_count"), F.count_if(~F.col("__unknown")).alias("matched_seqid_count"),
-        F.count_if("__unknown").alias("unknown_seqid_count"), F.sum("o").cast("bigint").alias("out_of_bounds_feature_count"), F.slice(names, 1, preview).alias("unknown_preview"),
+        F.count_if("__unknown").alias("unknown_seqid_count"), F.sum("o").cast("bigint").alias("out_of_bounds_feature_count"),
+        F.coalesce(F.sum(F.when(F.col("__unknown"), number)), F.lit(0)).cast("string").alias("unknown_digest"),
     )
+    few = smallest(by_name.filter("__unknown"), keys, "__id", preview, "unknown_preview")
+    few = few.withColumnsRenamed({k: f"__few_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__few_{k}")) for k in keys]
+    sums = sums.join(few, same, "left").drop(*(f"__few_{k}" for k in keys))
+    sums = sums.withColumn("unknown_preview", F.coalesce("unknown_preview", F.array().cast(sums.schema["unknown_preview"].dataType)))
     good = (F.col("feature_count") > 0) & (F.col("gene_count") > 0) & (F.col("unknown_seqid_count") == 0) & (F.col("out_of_bounds_feature_count") == 0)
     return sums.withColumn("status", F.when(good, "PASS").otherwise("FAIL"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.gates import best
+from granary.operators.profile import smallest
 from granary.operators.skew import splittable
 
 
@@ -69,13 +70,31 @@ def canonical_alias(df: DataFrame, aliases: DataFrame, scope: str, key: str) ->
     return df.join(table, [scope, key], "left").withColumn(key, F.coalesce("__to", key)).drop("__to")
 
 
-def fallback_pairing(left: DataFrame, right: DataFrame, key: tuple[str, str], fallback: tuple[str, str], right_id: str, name: str = "paired_ids") -> DataFrame:
-    """Sorted ids of right rows by a precise key, else by a wider one; none gives an empty array."""
-    lists = []
-    for i, (_, r) in enumerate((key, fallback)):
-        lists.append(right.groupBy(F.col(r).alias(f"__k{i}")).agg(F.array_sort(F.collect_list(right_id)).alias(f"__l{i}")))
-    out = left.join(lists[0], F.col(key[0]) == F.col("__k0"), "left").join(lists[1], F.col(fallback[0]) == F.col("__k1"), "left")
-    return out.withColumn(name, F.coalesce("__l0", "__l1", F.array().cast(left.sparkSession.createDataFrame([], right.select(F.array(right_id).alias("a")).schema).schema["a"].dataType))).drop("__k0", "__k1", "__l0", "__l1")
+def pair_members(right: DataFrame, key: str, fallback: str, right_id: str) -> DataFrame:
+    """(pair_level, pair_key, ``right_id``): each right row under its precise key (level 1) and its wider one (level 2)."""
+    levels = F.explode(F.array(F.struct(F.lit(1).alias("l"), F.col(key).cast("string").alias("k")), F.struct(F.lit(2).alias("l"), F.col(fallback).cast("string").alias("k")))).alias("p")
+    return right.select(levels, right_id).select(F.col("p.l").alias("pair_level"), F.col("p.k").alias("pair_key"), right_id).filter("pair_key IS NOT NULL")
+
+
+def fallback_pairing(left: DataFrame, right: DataFrame, key: tuple[str, str], fallback: tuple[str, str], right_id: str, preview: int = 20) -> DataFrame:
+    """``left`` with the group of right rows it pairs with: by a precise key, else by a wider one.
+
+    Adds pair_level (1, 2 or null), pair_key, paired_count and paired_ids, the ``preview``
+    smallest ids.  All ids of a group are the rows of ``pair_members`` with its level and key;
+    they are not repeated for each left row, as a wide key may have any number of them on
+    either side.
+    """
+    members = pair_members(right, key[1], fallback[1], right_id)
+    counts = members.groupBy("pair_level", "pair_key").agg(F.count(F.lit(1)).alias("paired_count"))
+    few = smallest(members, ["pair_level", "pair_key"], right_id, preview, "paired_ids")
+    groups = counts.join(few, ["pair_level", "pair_key"])
+    out = left
+    for level, (own, _) in enumerate((key, fallback), 1):
+        named = groups.filter(F.col("pair_level") == level).select(F.col("pair_key").alias(f"__k{level}"), F.struct("pair_level", "pair_key", "paired_count", "paired_ids").alias(f"__g{level}"))
+        out = out.join(splittable(named, f"__k{level}"), F.col(own).cast("string") == F.col(f"__k{level}"), "left")
+    out = out.withColumn("__g", F.coalesce("__g1", "__g2"))
+    ids = F.coalesce("__g.paired_ids", F.array().cast(few.schema["paired_ids"].dataType))
+    return out.select(*left.columns, "__g.pair_level", "__g.pair_key", F.coalesce("__g.paired_count", F.lit(0)).cast("bigint").alias("paired_count"), ids.alias("paired_ids"))
 
 
 def alias_rows(df: DataFrame, aliases: list[str], name: str = "alias") -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.sequences import token_arrays
 from granary.operators.skew import splittable
 from granary.plans import policy
 
@@ -156,18 +157,24 @@ def span_mask(df: DataFrame, keys: list[str], ids: str, seed: int, probability:
 
     Of the chosen positions 80 % become the mask, 10 % a random symbol, 10 % stay.  The
     generator is seeded by ``seed`` and the keys, so a row's masks do not depend on its place.
+    ``ids`` are token ids, or sequences, which are read as ids in the same pass.  Null and empty
+    rows have no ids.
     """
     if not 0 < probability < 1 or mean_span < 1:
         raise ValueError("probability must be between 0 and 1 and mean span at least 1")
     kinds = dict(df.dtypes)
+    text = kinds[ids] == "string"
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{ids}` array<bigint>, masked array<bigint>, labels array<bigint>"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1).fill_null([])
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy()[ends[0] : ends[-1]].copy()
-            ends -= ends[0]
+            if text:
+                values, ends = token_arrays(batch.column(1))
+            else:
+                lists = batch.column(1).fill_null([])
+                ends = lists.offsets.to_numpy().astype(np.int64)
+                values = lists.values.to_numpy()[ends[0] : ends[-1]].copy()
+                ends -= ends[0]
             out, labels = values.copy(), np.full(len(values), -100, np.int64)
             for a, b, row in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column(0).to_pylist(), strict=True):
                 rng = np.random.default_rng(row % (1 << 64))
@@ -181,4 +188,4 @@ def span_mask(df: DataFrame, keys: list[str], ids: str, seed: int, probability:
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (values, out, labels))], [*keys, ids, "masked", "labels"])
 
     row = F.xxhash64(F.lit(seed), *keys).alias("__row")
-    return df.select(row, F.col(ids).cast("array<bigint>").alias("__ids"), *keys).mapInArrow(apply, schema)
+    return df.select(row, (F.col(ids) if text else F.col(ids).cast("array<bigint>")).alias("__ids"), *keys).mapInArrow(apply, schema)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.numbering import numbered
+
 #: Balancing by size is sequential; registries above this are refused.
 MOST_ITEMS = 1_000_000
 
@@ -31,18 +33,16 @@ def lpt_shards(df: DataFrame, key: str, size: str, shards: int) -> DataFrame:
     return df.sparkSession.createDataFrame(out, f"`{key}` {dict(df.dtypes)[key]}, `{size}` {dict(df.dtypes)[size]}, shard int")
 
 
-def task_index(df: DataFrame, order: str, name: str = "task_index", bands: int = 4096) -> DataFrame:
-    """Numbers from 1 in the order of a bigint column with distinct values.
+def task_index(df: DataFrame, order: str, name: str = "task_index") -> DataFrame:
+    """Numbers from 1 in the order of a column with distinct values of any type, by ranges at sampled quantiles."""
+    return numbered(df, [order], name).withColumn(name, (F.col(name) + 1).cast("bigint"))
 
-    Numbers are counted by band of the value first, so no task sorts the whole table.
-    """
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, width = span["lo"] or 0, max(1, ((span["hi"] or 0) - (span["lo"] or 0)) // bands + 1)
-    cut = df.withColumn("__band", F.floor((F.col(order) - F.lit(lo)) / F.lit(width)))
-    sums = cut.groupBy("__band").agg(F.count(F.lit(1)).alias("n"))
-    first = sums.select("__band", (F.sum("n").over(Window.orderBy("__band")) - F.col("n")).alias("__first"))
-    inner = F.row_number().over(Window.partitionBy("__band").orderBy(order))
-    return cut.withColumn("__in", inner).join(first, "__band").withColumn(name, (F.col("__first") + F.col("__in")).cast("bigint")).drop("__band", "__in", "__first")
+
+def at_task_index(df: DataFrame, index: int, name: str = "task_index") -> DataFrame:
+    """The one row of a task number; none, or more than one, is an error where it is read."""
+    one = df.filter(F.col(name) == index)
+    found = one.agg(F.count(F.lit(1)).alias("__n")).select(F.when(F.col("__n") != 1, F.raise_error(F.concat(F.lit(f"rows with {name} {index}: "), F.col("__n").cast("string")))).otherwise(F.col("__n")).alias("__n"))
+    return one.join(F.broadcast(found), F.col("__n") == 1, "right").drop("__n")  # one row on either side
 
 
 def tiered_batch(df: DataFrame, tier: Column, order: list[Column], limits: dict[int, int]) -> DataFrame:

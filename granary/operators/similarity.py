@@ -1,27 +1,18 @@
-"""Set similarity: scaled sketches, exact Jaccard joins by prefix filtering, and clusters.
-
-A Jaccard of at least ``t`` forces two sets to share one of the rarest
-``n - ceil(t n) + 1`` elements of each.  Only those prefixes are joined, so an element
-that very many sets share (a licence line, a common phrase) is never a join key unless a
-set has nothing rarer; candidate pairs are then verified on whole sets.  Rows with equal
-sets are one node, so copies never make pairs.
-"""
+"""Set similarity: scaled sketches, classes of scores, and the best score of each query set."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.sequences import canonical, normalised
-from granary.operators.components import connected_components
 from granary.operators.lineage import written
-from granary.operators.skew import splittable
 from granary.plans import policy
 
 RELATED, NEAR = policy.RELATED, policy.NEAR_DUPLICATE
@@ -71,47 +62,11 @@ def scaled_sketch(items: Column, scale: int) -> Column:
     return F.array_sort(F.filter(F.array_distinct(F.transform(items, portable_hash)), lambda h: h < F.lit((1 << 60) // scale)))
 
 
-def jaccard_pairs(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
-    """(left, right, jaccard) for all pairs of sets with at least ``threshold`` (above 0), left < right.
-
-    Keys and elements within a set must be distinct; empty sets pair with nothing.  Sets are
-    visited several times, so they are written once to the shared folder.
-    """
-    sets = written(sets.select(key, items), "sets")
-    flat = sets.select(F.col(key).alias("k"), F.size(items).alias("n"), F.explode(items).alias("x"))
-    counts = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(splittable(counts.filter("df > 1"), "x"), "x")  # an element that one set has joins nothing
-    missing = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("k"))
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "x")) + missing  # lone elements are the rarest
-    prefix = ranked.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    a = prefix.select("x", F.col("k").alias("left"), F.col("n").alias("nl"))
-    b = prefix.select("x", F.col("k").alias("right"), F.col("n").alias("nr"))
-    near_size = (F.col("nl") >= F.lit(threshold) * F.col("nr")) & (F.col("nr") >= F.lit(threshold) * F.col("nl"))
-    candidates = a.join(b, "x").filter((F.col("left") < F.col("right")) & near_size).select("left", "right").distinct()
-    left, right = (sets.select(F.col(key).alias(s), F.col(items).alias(f"{s}_x")) for s in ("left", "right"))
-    both = candidates.join(left, "left").join(right, "right")
-    shared = F.size(F.array_intersect("left_x", "right_x"))
-    score = shared / (F.size("left_x") + F.size("right_x") - shared)
-    return both.select("left", "right", score.alias("jaccard")).filter(F.col("jaccard") >= F.lit(threshold))
-
-
 def classify(jaccard: Column, near: float = NEAR) -> Column:
     """near_duplicate or related; compare the number itself, not its rendering."""
     return F.when(jaccard >= near, "near_duplicate").otherwise("related")
 
 
-def similarity_clusters(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
-    """(key, component, component_size): components of pairs at or above ``threshold``; empty sets stay alone."""
-    sets = written(sets.select(key, items), "sets")
-    groups = sets.filter(F.size(items) > 0).groupBy(items).agg(F.min(key).alias("__head"))
-    heads = groups.select("__head", items)
-    links = connected_components(jaccard_pairs(heads, "__head", items, threshold), "left", "right")
-    named = groups.join(links, F.col("__head") == F.col("node"), "left").select(items, F.coalesce("component", "__head").alias("component"))
-    members = sets.join(splittable(named, items), items, "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).cast("bigint").alias("component_size"))
-    return members.join(splittable(sizes, "component"), "component").select(key, "component", "component_size")
-
-
 #: Elements of the sets of one block of queries at most (one set at least), and pairs of elements counted at once.
 QUERY_ELEMENTS, AT_ONCE = 2_000_000, 4_000_000
 
@@ -127,20 +82,27 @@ def best_jaccard(sets: DataFrame, queries: DataFrame, key: str, items: str) -> D
     total = asked.agg(F.sum(F.size("x"))).first()[0] or 0
     blocks = max(1, -(-total // QUERY_ELEMENTS))
     kind = dict(sets.dtypes)[key]
-    found = []
+    best = None
     for b in range(blocks):
         block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        found.append(_best_of_block(sets.select(F.col(key).alias("k"), F.col(items).alias("x")), block.toArrow(), kind))
-    best = functools.reduce(DataFrame.unionAll, found).groupBy("k").agg(F.max("j").alias("j"))
+        shared = sets.sparkSession.sparkContext.broadcast(_packed_block(block.toArrow()))
+        of_block = written(_best_of_block(sets.select(F.col(key).alias("k"), F.col(items).alias("x")), shared, kind).groupBy("k").agg(F.max("j").alias("j")), "best")
+        shared.destroy()  # the driver and executors hold one block at a time
+        best = of_block if best is None else best.unionAll(of_block)
     return asked.select("k").distinct().join(best, "k", "left").select(F.col("k").alias(key), F.coalesce("j", F.lit(0.0)).alias("max_jaccard"))
 
 
-def _best_of_block(sets: DataFrame, block: pa.Table, kind: str) -> DataFrame:
+def _packed_block(block: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of queries, sizes of their sets, and all elements, sorted, with the query of each."""
     lists = block["x"].combine_chunks()
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().to_numpy()
     by = np.argsort(flat, kind="stable")
-    shared = sets.sparkSession.sparkContext.broadcast((block["k"].combine_chunks(), sizes, flat[by], np.repeat(np.arange(len(sizes)), sizes)[by]))
+    return block["k"].combine_chunks(), sizes, flat[by], np.repeat(np.arange(len(sizes)), sizes)[by]
+
+
+def _best_of_block(sets: DataFrame, shared: Broadcast, kind: str) -> DataFrame:
+    """(k, j): the best score of each query of a block in each task."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes, values, owner = shared.value

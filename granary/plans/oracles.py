@@ -74,18 +74,19 @@ ORACLES = {
     "first_failure": "SELECT user_id, event_id, value FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "fallback_pairing": """WITH s AS (SELECT s_suppkey, n_name || '|' || CAST(CAST(floor(s_acctbal / 1000) AS BIGINT) AS VARCHAR) AS pk, n_name AS fk FROM supplier JOIN nation ON s_nationkey = n_nationkey),
       c AS (SELECT c_custkey, n_name || '|' || CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS pk, n_name AS fk FROM customer JOIN nation ON c_nationkey = n_nationkey),
-      a AS (SELECT pk, string_agg(CAST(c_custkey AS VARCHAR), ';' ORDER BY c_custkey) AS l FROM c GROUP BY pk), b AS (SELECT fk, string_agg(CAST(c_custkey AS VARCHAR), ';' ORDER BY c_custkey) AS l FROM c GROUP BY fk)
-      SELECT s_suppkey, coalesce(a.l, b.l, '') AS paired FROM s LEFT JOIN a USING (pk) LEFT JOIN b USING (fk)""",
+      a AS (SELECT pk, count(*) AS n, array_to_string(list_slice(list(c_custkey ORDER BY c_custkey), 1, 20), ';') AS l FROM c GROUP BY pk), b AS (SELECT fk, count(*) AS n, array_to_string(list_slice(list(c_custkey ORDER BY c_custkey), 1, 20), ';') AS l FROM c GROUP BY fk)
+      SELECT s_suppkey, CASE WHEN a.pk IS NOT NULL THEN 1 WHEN b.fk IS NOT NULL THEN 2 END AS pair_level, coalesce(a.pk, b.fk) AS pair_key, coalesce(a.n, b.n, 0) AS paired_count, coalesce(a.l, b.l, '') AS paired
+      FROM s LEFT JOIN a ON s.pk = a.pk LEFT JOIN b ON s.fk = b.fk""",
     "union_catalog": "SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, '.' FROM supplier",
     "style_majority": """WITH n AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
       SELECT user_id, event_type AS style FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1""",
     "closure_audit": """WITH p AS (SELECT p_partkey % 10 AS k, p_partkey AS seqid, CAST(floor(p_retailprice) AS BIGINT) AS length FROM part WHERE p_size < 48),
       f AS (SELECT l_partkey % 10 AS k, l_partkey AS seqid, l_linenumber AS s, l_linenumber + floor(l_quantity * 30) AS e, l_returnflag = 'N' AS gene FROM lineitem),
       j AS (SELECT f.k, f.seqid, gene, length, s < 1 OR e < s OR e > length AS bad FROM f LEFT JOIN p ON f.k = p.k AND f.seqid = p.seqid),
-      u AS (SELECT k, array_to_string(list_slice(list(DISTINCT seqid ORDER BY seqid), 1, 20), ';') AS preview FROM j WHERE length IS NULL GROUP BY k),
+      u AS (SELECT k, array_to_string(list_slice(list(seqid ORDER BY seqid), 1, 20), ';') AS preview, CAST(sum(CAST('0x' || substr(md5(CAST(seqid AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM (SELECT DISTINCT k, seqid FROM j WHERE length IS NULL) GROUP BY k),
       a AS (SELECT k, count(*) AS feature_count, count_if(gene) AS gene_count, count(DISTINCT seqid) FILTER (length IS NOT NULL) AS matched_seqid_count,
         count(DISTINCT seqid) FILTER (length IS NULL) AS unknown_seqid_count, count_if(bad) AS out_of_bounds_feature_count FROM j GROUP BY k)
-      SELECT a.k, feature_count, CAST(gene_count AS BIGINT) AS gene_count, matched_seqid_count, unknown_seqid_count, CAST(out_of_bounds_feature_count AS BIGINT) AS out_of_bounds_feature_count, coalesce(preview, '') AS unknown_preview,
+      SELECT a.k, feature_count, CAST(gene_count AS BIGINT) AS gene_count, matched_seqid_count, unknown_seqid_count, CAST(out_of_bounds_feature_count AS BIGINT) AS out_of_bounds_feature_count, coalesce(preview, '') AS unknown_preview, coalesce(digest, '0') AS unknown_digest,
         CASE WHEN feature_count > 0 AND gene_count > 0 AND unknown_seqid_count = 0 AND out_of_bounds_feature_count = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM a LEFT JOIN u USING (k)""",
     "longest_field_merge": """WITH t AS (SELECT conv_id, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) = 1)
       SELECT conv_id, text, (SELECT string_agg(DISTINCT role, ';' ORDER BY role) FROM conversations c WHERE c.conv_id = t.conv_id) AS roles FROM t""",
@@ -192,7 +193,7 @@ ORACLES = {
     "subset_check": """WITH a AS (SELECT DISTINCT user_id AS k FROM events), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
       SELECT CAST(k AS VARCHAR) AS key, 'not in whole' AS rule FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT 'all', 'not proper' WHERE NOT EXISTS (SELECT 1 FROM b WHERE k NOT IN (SELECT k FROM a))""",
     "queries_unseen": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "literature_keys": """WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(lower(trim(url))) END AS doi, array_to_string(regexp_extract_all(lower(regexp_replace(substr(html, 1, 80), '<[^>]+>', ' ', 'g')), '[a-z0-9_]+'), ' ') AS title,
+    "literature_keys": """WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(lower(trim(url))) END AS doi, array_to_string(regexp_extract_all(lower(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')), '[a-z0-9_]+'), ' ') AS title,
         CASE WHEN page_id % 4 > 0 THEN CAST(2000 + page_id % 20 AS VARCHAR) ELSE '' END AS y FROM pages)
       SELECT page_id, CASE WHEN coalesce(doi, '') <> '' THEN 'doi|' || doi ELSE 'title|' || title || '|' || y END AS literature_key FROM p""",
     "date_texts": "SELECT o_orderkey, year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) AS date_text FROM orders",

@@ -174,7 +174,7 @@ def fallback_pairing(spark, sf):
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat("n_name", F.lit("|"), F.floor(F.col("s_acctbal") / 1000).cast("string")).alias("pk"), F.col("n_name").alias("fk"))
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit("|"), F.floor(F.col("c_acctbal") / 1000).cast("string")).alias("pk2"), F.col("n_name").alias("fk2"))
     paired = resolve.fallback_pairing(s, c, ("pk", "pk2"), ("fk", "fk2"), "c_custkey")
-    return paired.select("s_suppkey", F.concat_ws(";", F.col("paired_ids").cast("array<string>")).alias("paired"))
+    return paired.select("s_suppkey", F.col("pair_level"), "pair_key", "paired_count", F.concat_ws(";", F.col("paired_ids").cast("array<string>")).alias("paired"))
 
 
 @query
@@ -473,7 +473,7 @@ def task_index(spark, sf):
 
 @query
 def span_mask(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", sequences.tokens(F.col("text")).alias("ids"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("ids"))
     masked = sampling.span_mask(docs, ["doc_id"], "ids", 3)
     return masked.select("doc_id", big(F.size("ids")).alias("tokens"), big(F.size(F.filter("labels", lambda x: x != -100))).alias("chosen"), big(F.size(F.filter("masked", lambda x: x == 1))).alias("masked"))
 
@@ -606,7 +606,7 @@ def queries_unseen(spark, sf):
 
 @query
 def literature_keys(spark, sf):
-    page = table(spark, sf, "pages").select("page_id", F.when(big("page_id") % 3 == 0, text.doi(F.col("url"))).alias("doi"), text.ascii_title(F.substring("html", 1, 80)).alias("title"), F.when(big("page_id") % 4 > 0, 2000 + big("page_id") % 20).alias("year"))
+    page = table(spark, sf, "pages").select("page_id", F.when(big("page_id") % 3 == 0, text.doi(F.col("url"))).alias("doi"), text.ascii_title(text.title_element("html")).alias("title"), F.when(big("page_id") % 4 > 0, 2000 + big("page_id") % 20).alias("year"))
     return page.select("page_id", audits.literature_key(F.col("doi"), F.col("title"), F.col("year")).alias("literature_key"))
 
 

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there and holds data files, on any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(folder) and any(not f.getPath().getName().startswith(("_", ".")) for f in store.listStatus(folder))
+
+
 def run_available(spark: SparkSession, source: str, schema: str, results: str, checkpoint: str, identity: list[str], work: Callable[[DataFrame], DataFrame], files_per_trigger: int = 64) -> None:
     """Runs ``work`` over rows of new Parquet files under ``source`` whose identity ``results`` does not have.
 
@@ -17,11 +25,8 @@ def run_available(spark: SparkSession, source: str, schema: str, results: str, c
 
     def batch(rows: DataFrame, _: int) -> None:
         fresh = rows.dropDuplicates(identity)
-        try:
+        if has_data(spark, results):
             fresh = fresh.join(spark.read.parquet(results).select(*identity).distinct(), identity, "left_anti")
-        except Exception as e:  # the first batch finds no results yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         work(fresh).write.mode("append").parquet(results)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)

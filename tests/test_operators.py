@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary.functions import keys, sequences, text
-from granary.operators import audit, gates, intervals, profile, resolve, sampling, shards, similarity
+from granary.operators import audit, gates, intervals, profile, resolve, sampling, shards
 from granary.operators.components import connected_components
 
 
@@ -167,9 +167,12 @@ def test_resolve(spark):
     clash = alias.union(spark.createDataFrame([("s", "d", "a1")], alias.schema))
     with pytest.raises(PySparkException):
         resolve.canonical_alias(df, clash, "scope", "m").collect()
-    left = spark.createDataFrame([(1, "x", "f"), (2, "q", "f"), (3, "q", "g")], "id int, k string, f string")
+    left = spark.createDataFrame([(1, "x", "f"), (2, "q", "f"), (3, "q", "g"), (4, None, None)], "id int, k string, f string")
     right = spark.createDataFrame([("x", "f", 9), ("x", "f", 8), ("y", "f", 7)], "k2 string, f2 string, rid int")
-    assert {r.id: r.paired_ids for r in resolve.fallback_pairing(left, right, ("k", "k2"), ("f", "f2"), "rid").collect()} == {1: [8, 9], 2: [7, 8, 9], 3: []}
+    paired = resolve.fallback_pairing(left, right, ("k", "k2"), ("f", "f2"), "rid", preview=2).collect()
+    assert {r.id: (r.pair_level, r.pair_key, r.paired_count, r.paired_ids) for r in paired} == {1: (1, "x", 2, [8, 9]), 2: (2, "f", 3, [7, 8]), 3: (None, None, 0, []), 4: (None, None, 0, [])}
+    members = resolve.pair_members(right, "k2", "f2", "rid").filter("pair_level = 2 AND pair_key = 'f'")
+    assert sorted(r.rid for r in members.collect()) == [7, 8, 9]
     lit = spark.createDataFrame([(1, "d", "ab", ["q1"]), (2, "d", "cd", ["q2"]), (3, "d", "abc", ["q1"]), (4, "e", None, ["q3"])], "ord int, doi string, t string, q array<string>")
     merged = {r.merge_key: (r.t, r.q) for r in resolve.longest_fields(lit, F.col("doi"), "ord", ["t"], ["q"]).collect()}
     assert merged == {"d": ("abc", ["q1", "q2"]), "e": (None, ["q3"])}
@@ -204,32 +207,6 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_jaccard_pairs_against_brute_force(spark):
-    rng = random.Random(7)
-    base = [[rng.randrange(60) for _ in range(12)] for _ in range(15)]
-    sets = {}
-    for i in range(120):
-        s = set(rng.choice(base))
-        for _ in range(rng.randrange(4)):
-            s.discard(rng.randrange(60))
-            s.add(rng.randrange(60))
-        sets[i] = sorted(s | ({999} if i % 3 else set()))
-    sets[500], sets[501] = [], [1]
-    df = spark.createDataFrame(list(sets.items()), "id int, items array<int>")
-    for t in (0.5, 0.8, 1.0):
-        got = {(r.left, r.right): r.jaccard for r in similarity.jaccard_pairs(df, "id", "items", t).collect()}
-        want = {}
-        for a in sets:
-            for b in sets:
-                if a < b and sets[a] and sets[b]:
-                    x, y = set(sets[a]), set(sets[b])
-                    if len(x & y) / len(x | y) >= t:
-                        want[a, b] = len(x & y) / len(x | y)
-        assert got == pytest.approx(want)
-    clusters = {r.id: r.component for r in similarity.similarity_clusters(df, "id", "items", 0.8).collect()}
-    assert len(clusters) == len(sets) and clusters[500] == 500
-
-
 def test_sampling(spark):
     items = spark.createDataFrame([(i, w) for i, w in enumerate([5, 0, 1, 10, 3, 7, 2])], "id int, w int")
     draws = spark.range(500).select("id", (F.col("id") / 500).alias("u")).withColumnRenamed("id", "d")
