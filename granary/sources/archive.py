@@ -2,58 +2,18 @@
 
 from __future__ import annotations
 
-import gzip
-import hashlib
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.keys import member_type, safe_path
+from granary.sources import streamed
 
-#: Uncompressed bytes read at once.
-STEP = 4 << 20
 HIGH_RATIO = 1000
 
-_MEMBER = "path string, file_size_bytes long, file_sha256 string, entries long, member_name string, uncompressed_bytes long, compressed_bytes long, crc32_hex string, compression_method int, encrypted boolean, compression_ratio double, crc_verified boolean, error_type string, error_message string"
-
 
 def read_zip_members(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
     """One row per file member of the archives under ``path``; a file that is no archive is one row with an error."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _MEMBER.split(", ")]
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                head = (path, len(content), hashlib.sha256(content).hexdigest())
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile as e:
-                    rows.append((*head, 0, None, None, None, None, None, None, None, None, type(e).__name__, str(e)))
-                    continue
-                infos = sorted(archive.infolist(), key=lambda i: i.filename)
-                for info in infos:
-                    if info.is_dir():
-                        continue
-                    sealed, fine, error = bool(info.flag_bits & 1), False, ("", "")
-                    if verify and not sealed:
-                        try:
-                            with archive.open(info) as member:
-                                while member.read(STEP):
-                                    pass
-                            fine = True
-                        except (zipfile.BadZipFile, RuntimeError, EOFError, OSError) as e:
-                            error = (type(e).__name__, str(e))
-                    ratio = round(info.file_size / max(info.compress_size, 1), 6)
-                    rows.append((*head, len(infos), info.filename, info.file_size, info.compress_size, f"{info.CRC:08x}", info.compress_type, sealed, ratio, fine, *error))
-            yield pd.DataFrame(rows, columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    members = files.mapInPandas(scan, _MEMBER)
+    members = streamed.read(spark, streamed.ArchiveMembers, path, verify=str(verify).lower())
     return members.withColumns({"member_type": member_type(F.col("member_name")), "safe_path": safe_path(F.col("member_name"))})
 
 
@@ -71,17 +31,4 @@ def archive_summary(members: DataFrame) -> DataFrame:
 
 def read_member_text(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, member_name, line_number, value) of members whose name matches; .gz members are unpacked, text is strict UTF-8."""
-
-    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in sorted(n for n in archive.namelist() if re.search(pattern, n)):
-                        data = archive.read(name)
-                        text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8").splitlines()
-                        yield pd.DataFrame({"path": path, "member_name": name, "line_number": range(1, len(text) + 1), "value": text})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(lines, "path string, member_name string, line_number long, value string")
+    return streamed.read(spark, streamed.ArchiveLines, path, pattern=pattern)

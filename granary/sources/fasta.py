@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources import streamed
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(path, header, name, sequence) of every record of plain or .gz files under ``path``.
@@ -32,36 +29,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_profile(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, compression, file_sha256, canonical_sha256, error) by file.
+    """(path, size_bytes, compression, file_sha256, canonical_sha256, error) by file, read as a stream.
 
     The canonical digest covers a zero byte per header and the upper-cased sequence, in
     file order: it ignores names, case and wrapping.  Compression is told by content.
     """
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                packed = content[:2] == b"\x1f\x8b"
-                digest, headers, error = hashlib.sha256(), 0, None
-                try:
-                    for line in (gzip.decompress(content) if packed else content).splitlines():
-                        if line.startswith(b">"):
-                            headers += 1
-                            digest.update(b"\0")
-                        elif line.strip():
-                            if not headers:
-                                raise ValueError("sequence before first header")
-                            digest.update(b"".join(line.split()).upper())
-                    if not headers:
-                        raise ValueError("no header")
-                except (ValueError, OSError, EOFError) as e:
-                    error = str(e)
-                rows.append((path, len(content), "gzip" if packed else "none", hashlib.sha256(content).hexdigest(), None if error else digest.hexdigest(), error))
-            yield pd.DataFrame(rows, columns=["path", "size_bytes", "compression", "file_sha256", "canonical_sha256", "error"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(scan, "path string, size_bytes long, compression string, file_sha256 string, canonical_sha256 string, error string")
+    rows = streamed.read(spark, streamed.SequenceChunks, path).filter("kind = 'file'")
+    return rows.select("path", "size_bytes", "compression", "file_sha256", "canonical_sha256", "error")
 
 
 def record_digests(records: DataFrame, keys: list[str]) -> DataFrame:

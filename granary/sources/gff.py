@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources import streamed
+
 _PAIR = r'(?:^|;)\s*([A-Za-z0-9_.:-]+)\s+"([^"]*)"'
 
 
@@ -20,15 +22,18 @@ def attributes(value: Column) -> tuple[Column, Column]:
     return F.map_from_entries(last), style
 
 
-def parse(lines: DataFrame, keys: list[str], order: str, line: str = "value") -> DataFrame:
+def parse(lines: DataFrame, keys: list[str], order: str, line: str = "value", embedded: bool = True) -> DataFrame:
     """Feature, comment and malformed rows of line tables ordered by ``order`` within ``keys``.
 
-    Lines from ``##FASTA`` on are dropped.  Coordinates that are not whole numbers are
+    Lines from ``##FASTA`` on are dropped, unless there are none (``embedded``).  Coordinates that are not whole numbers are
     null; lines without nine fields are malformed, not an error.
     """
     stripped = lines.withColumn("__l", F.regexp_replace(line, r"[\r\n]+$", ""))
-    cut = F.max(F.when(F.col("__l").startswith("##FASTA"), 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    body = stripped.withColumn("__cut", cut).filter((F.col("__cut") == 0) & (F.col("__l") != ""))
+    body = stripped.filter(F.col("__l") != "")
+    if embedded:
+        # The first such line of each key, joined back: lines are not sorted, and a key may have any number of them.
+        first = stripped.filter(F.col("__l").startswith("##FASTA")).groupBy(*keys).agg(F.min(order).alias("__stop"))
+        body = body.join(first, keys, "left").filter(F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))).drop("__stop")
     field = F.split("__l", "\t", -1)
     kind = F.when(F.col("__l").startswith("#"), "comment").when(F.size(field) == 9, "feature").otherwise("malformed")
     table, style = attributes(F.get(field, F.lit(8)))
@@ -43,10 +48,8 @@ def parse(lines: DataFrame, keys: list[str], order: str, line: str = "value") ->
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    """All files under ``path``; each is read whole, since only its start tells where embedded sequence begins."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\n", -1)).alias("line_number", "value"))
-    return parse(lines, ["path"], "line_number")
+    """All plain or .gz files under ``path``, read as streams that end where embedded sequence begins."""
+    return parse(streamed.read(spark, streamed.TextLines, path, stop="##FASTA"), ["path"], "line_number", embedded=False)
 
 
 def strict_features(features: DataFrame) -> DataFrame:
