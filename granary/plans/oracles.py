@@ -34,6 +34,9 @@ flat AS (SELECT doc_id, len(items) AS n, unnest(items) AS x FROM heads),
 shared AS (SELECT a.doc_id AS "left", b.doc_id AS "right", a.n AS nl, b.n AS nr, count(*) AS s FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
 pairs AS (SELECT "left", "right", CAST(s AS DOUBLE) / (nl + nr - s) AS jaccard FROM shared WHERE CAST(s AS DOUBLE) / (nl + nr - s) >= 0.8)"""
 
+#: Whole texts as symbols, one for each half byte.
+_CODED = "translate(hex(coalesce(text, '')), '0123456789ABCDEF', 'ACGTACGTACGNACGT')"
+
 ORACLES = {
     "content_ids": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents",
     "classify_urls": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'fasta' WHEN 1 THEN 'annotation' WHEN 2 THEN 'archive' ELSE 'other' END AS file_type,
@@ -202,12 +205,20 @@ ORACLES = {
       member AS (SELECT coalesce(c.component, s.doc_id) AS component FROM sets s LEFT JOIN heads h ON s.items = h.items LEFT JOIN comp c ON h.doc_id = c.a), g AS (SELECT component, count(*) AS n FROM member GROUP BY component HAVING count(*) > 1)
       SELECT (SELECT count(*) FROM documents) AS candidate_count, (SELECT CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) FROM documents) AS compared_pair_count, (SELECT count(*) FROM pairs) AS related_pair_count,
         (SELECT count(*) FROM pairs WHERE jaccard >= 0.95) AS near_duplicate_pair_count, count(*) AS group_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS group_member_count FROM g""",
-    "kmer_sketch": """WITH r AS (SELECT c_custkey, translate(sha256(c_name), '0123456789abcdef', 'ACGTACGTACGTACGN') AS s FROM customer UNION ALL SELECT c_custkey, translate(sha256(c_mktsegment), '0123456789abcdef', 'ACGTACGTACGTACGN') FROM customer),
-      k AS (SELECT c_custkey, substr(s, CAST(i AS INTEGER), 7) AS x FROM r, range(1, 59) t(i)), h AS (SELECT DISTINCT c_custkey, CAST('0x' || substr(md5(least(x, reverse(translate(x, 'ACGT', 'TGCA')))), 1, 15) AS BIGINT) AS h FROM k WHERE NOT contains(x, 'N'))
-      SELECT c.c_custkey, coalesce(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h), '') AS sketch FROM customer c LEFT JOIN h ON c.c_custkey = h.c_custkey AND h < 288230376151711744 GROUP BY c.c_custkey""",
-    "orientation_sets": """WITH s AS (SELECT p_brand, translate(sha256(p_name), '0123456789abcdef', 'ACGTACGTACGTACGN') AS f FROM part), d AS (SELECT p_brand, length(f) AS n, sha256(length(f) || ':' || least(sha256(f), sha256(reverse(translate(f, 'ACGT', 'TGCA'))))) AS d FROM s),
-      x AS (SELECT p_brand, n, CAST('0x' || substr(d, 1, 12) AS BIGINT) AS a, CAST('0x' || substr(d, 13, 12) AS BIGINT) AS b, CAST('0x' || substr(d, 25, 12) AS BIGINT) AS c, CAST('0x' || substr(d, 37, 12) AS BIGINT) AS e FROM d)
-      SELECT p_brand, sha256('orientation-multiset-' || sum(a) || '-' || sum(b) || '-' || sum(c) || '-' || sum(e)) AS signature, count(*) AS record_count, CAST(sum(n) AS BIGINT) AS total_symbols FROM x GROUP BY p_brand""",
+    "kmer_sketch": f"""WITH r AS (SELECT doc_id, {_CODED} AS s FROM documents), c AS (SELECT doc_id, substr(s, 1000 * i + 1, 1030) AS s FROM (SELECT doc_id, s, unnest(range(length(s) // 1000 + 1)) AS i FROM r)),
+      k AS (SELECT doc_id, substr(s, i, 31) AS x FROM (SELECT doc_id, s, unnest(range(1, length(s) - 29)) AS i FROM c)), h AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(least(x, reverse(translate(x, 'ACGT', 'TGCA')))), 1, 15) AS BIGINT) AS h FROM k WHERE NOT contains(x, 'N'))
+      SELECT d.doc_id, coalesce(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h), '') AS sketch FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id AND h < 1152921504606846976 // 10000 GROUP BY d.doc_id""",
+    "orientation_sets": f"""WITH s AS (SELECT source, {_CODED} AS f FROM documents), d AS (SELECT source, length(f) AS n, sha256(length(f) || ':' || least(sha256(f), sha256(reverse(translate(f, 'ACGT', 'TGCA'))))) AS d FROM s),
+      x AS (SELECT source, n, CAST('0x' || substr(d, 1, 12) AS BIGINT) AS a, CAST('0x' || substr(d, 13, 12) AS BIGINT) AS b, CAST('0x' || substr(d, 25, 12) AS BIGINT) AS c, CAST('0x' || substr(d, 37, 12) AS BIGINT) AS e FROM d)
+      SELECT source, sha256('orientation-multiset-' || sum(a) || '-' || sum(b) || '-' || sum(c) || '-' || sum(e)) AS signature, count(*) AS record_count, CAST(sum(n) AS BIGINT) AS total_symbols FROM x GROUP BY source""",
+    "store_decode": f"""WITH w AS (SELECT coalesce(lang, 'und') AS source, string_agg(replace({_CODED}, 'N', 'A'), '' ORDER BY doc_id) AS s FROM documents GROUP BY 1),
+      r AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 'en' WHEN 'R' THEN 'de' ELSE 'fr' END AS source, CAST(l_orderkey * 13 AS BIGINT) AS a, CAST(l_quantity AS BIGINT) * 20 AS n FROM lineitem),
+      b AS (SELECT source, k, substr(s, k * 4096 + 1, 8192) AS s, length(s) AS whole FROM (SELECT source, s, unnest(range(length(s) // 4096 + 1)) AS k FROM w))
+      SELECT l_orderkey, l_linenumber, r.source, CASE WHEN n > 0 AND a + n <= whole THEN md5(substr(b.s, CAST(a % 4096 + 1 AS BIGINT), n)) END AS bases_md5 FROM r LEFT JOIN b ON r.source = b.source AND b.k = a // 4096""",
+    "callable_spans": f"""WITH d AS (SELECT coalesce(lang, 'und') AS source, doc_id AS record, {_CODED} AS s FROM documents),
+      p AS (SELECT source, record, s, coalesce(sum(length(s)) OVER (PARTITION BY source ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM d),
+      r AS (SELECT source, record, f, s, regexp_extract_all(s, '[ACGT]+') AS runs FROM p)
+      SELECT source, record, CAST(len(runs) AS BIGINT) AS runs, CAST(list_sum(list_transform(runs, lambda x: length(x))) AS BIGINT) AS bases, list_max(list_transform(runs, lambda x: length(x))) AS longest, CAST(f + length(s) - length(ltrim(s, 'N')) AS BIGINT) AS first FROM r WHERE len(runs) > 0""",
     "sketch_candidates": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_custkey % 5 <> 0 AND floor(o_totalprice) > 0 AND o_orderkey % 100000 <= 0.2 * floor(o_totalprice)",
     "task_preparation": f"WITH {_GATED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS task_index FROM gated WHERE len(reasons) = 0",
     "receipt_check": """WITH s AS (SELECT s_name AS path, CAST(floor(s_acctbal) AS BIGINT) AS n, s_suppkey AS k FROM supplier), a AS (SELECT path, n FROM s WHERE k % 13 <> 0), b AS (SELECT path, n + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS n FROM s WHERE k % 7 <> 0)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import keys, sequences, text
-from granary.operators import audit, gates, intervals, near_copies, profile, resolve, sampling, shards, similarity
+from granary.operators import audit, gates, intervals, kmers, near_copies, profile, resolve, sampling, shards, similarity, store, windows
 from granary.operators.lineage import written
 from granary.operators.skew import splittable
-from granary.plans import audits, curation, rollups
+from granary.plans import audits, curation, policy, rollups
 from granary.sources.fasta import record_digests
 from granary.sources.tables import table
 
@@ -478,13 +478,50 @@ def span_mask(spark, sf):
     return masked.select("doc_id", big(F.size("ids")).alias("tokens"), big(F.size(F.filter("labels", lambda x: x != -100))).alias("chosen"), big(F.size(F.filter("masked", lambda x: x == 1))).alias("masked"))
 
 
+def _coded(c: Column) -> Column:
+    """A whole text as symbols, one for each half byte of its UTF-8; one of the 16 half bytes is unknown."""
+    return F.translate(F.hex(F.coalesce(c, F.lit("")).cast("binary")), "0123456789ABCDEF", "ACGTACGTACGNACGT")
+
+
+#: Symbols of a chunk row and of a block of the store, where documents are stored.
+CHUNK, BLOCK = 5000, 4096
+
+
+def _store(spark, sf):
+    """(placed chunks, blocks) of all documents, by language."""
+    docs = table(spark, sf, "documents").select(F.coalesce("lang", F.lit("und")).alias("source"), F.col("doc_id").alias("record"), _coded(F.col("text")).alias("symbols"))
+    placed = written(store.placed(store.chunked(docs, ["source", "record"], "symbols", CHUNK), "source", "record", "chunk", "symbols"), "placed")
+    return placed, written(store.blocks(placed, "source", "symbols", BLOCK), "store")
+
+
+@query
+def store_decode(spark, sf):
+    """A range of the store for each line item, across documents and blocks; null where it leaves the store."""
+    _, blocks = _store(spark, sf)
+    flag = F.col("l_returnflag")
+    ranges = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(flag == "N", "en").when(flag == "R", "de").otherwise("fr").alias("source"), (big("l_orderkey") * 13).alias("start"), (big("l_quantity") * 20).alias("length"))
+    got = store.decode(blocks, ranges, "source", "start", "length", "bases", BLOCK)
+    return got.select("l_orderkey", "l_linenumber", "source", F.md5("bases").alias("bases_md5"))
+
+
+@query
+def callable_spans(spark, sf):
+    """Maximal runs of known symbols of every document, on the axis of its language."""
+    placed, _ = _store(spark, sf)
+    runs = store.callable_intervals(placed, "source", "record", "symbols")
+    return runs.groupBy("source", "record").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col("end") - F.col("start")).alias("bases"), F.max(F.col("end") - F.col("start")).alias("longest"), F.min("start").alias("first"))
+
+
 @query
 def window_sampler(spark, sf):
-    steps = spark.range(0, 64).select(F.col("id").alias("step"), F.lit(0).cast("bigint").alias("rank"))
-    # A manifest of one source a nation (a table of fixed size): weight by region, intervals by key and comment.
-    nations = table(spark, sf, "nation").orderBy("n_nationkey").limit(25).collect()
-    sources = [{"name": r["n_name"], "weight": r["n_regionkey"], "intervals": [(1000 * r["n_nationkey"], 200 + 4 * len(r["n_name"] or "")), (50_000, 900)]} for r in nations]
-    return sampling.sample_windows(steps, sources, 256, 11, 4)
+    """Four windows of 256 symbols for each customer, from the callable runs of all documents, with their tokens."""
+    placed, blocks = _store(spark, sf)
+    runs = written(store.callable_intervals(placed, "source", "record", "symbols").select("source", "start", (F.col("end") - F.col("start")).alias("length")), "runs")
+    sources = runs.groupBy("source").agg(F.pow(F.sum("length").cast("double"), F.lit(policy.SPECIES_POWER)).alias("weight"))
+    steps = table(spark, sf, "customer").select(F.col("c_custkey").alias("step"), F.col("c_nationkey").alias("rank"))
+    made = windows.tables(sources, runs, 256)
+    got = windows.sample(steps, made, blocks, 256, 11, 4, BLOCK)
+    return got.select("step", "rank", "row", "source", "start", "reverse", F.array_join(F.col("ids").cast("array<string>"), "").alias("ids"))
 
 
 @query
@@ -621,24 +658,21 @@ def similarity_summary(spark, sf):
     return audits.similarity_summary(table(spark, sf, "documents").select("doc_id"), shingle_jaccard(spark, sf), near_dup_components(spark, sf))
 
 
-def _strand(c: Column) -> Column:
-    """A sequence of 64 symbols from the digest of a text."""
-    return F.translate(F.sha2(c, 256), "0123456789abcdef", "ACGTACGTACGTACGN")
-
-
 @query
 def kmer_sketch(spark, sf):
-    customer = table(spark, sf, "customer")
-    records = customer.select("c_custkey", F.explode(F.array(_strand(F.col("c_name")), _strand(F.col("c_mktsegment")))).alias("s"))
-    got = similarity.sequence_sketches(records, "c_custkey", "s", 7, 4)
-    return got.select("c_custkey", F.array_join(F.col("hashes").cast("array<string>"), ",").alias("sketch"))
+    """The scaled sketch of every document, from chunk rows that its k-mers cross."""
+    docs = table(spark, sf, "documents").select("doc_id", _coded(F.col("text")).alias("symbols"))
+    chunks = store.chunked(docs, ["doc_id"], "symbols", CHUNK)
+    got = kmers.chunk_sketches(chunks, ["doc_id"], ["doc_id"], "chunk", "symbols", policy.KMER, policy.SCALE)
+    return got.select("doc_id", F.array_join(F.col("hashes").cast("array<string>"), ",").alias("sketch"))
 
 
 @query
 def orientation_sets(spark, sf):
-    part = table(spark, sf, "part").select("p_brand", "p_partkey", _strand(F.col("p_name")).alias("s"))
-    turned = part.select("p_brand", F.when(big("p_partkey") % 2 == 0, sequences.reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("sequence"))
-    return record_digests(turned, ["p_brand"])
+    """The orientation-free identity of all documents of a source, every second one of which is turned."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", _coded(F.col("text")).alias("s"))
+    turned = docs.select("source", F.when(big("doc_id") % 2 == 0, sequences.reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("sequence"))
+    return record_digests(turned, ["source"])
 
 
 @query
