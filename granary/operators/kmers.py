@@ -8,11 +8,23 @@ many chunks as it takes.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.operators.similarity import canonical_kmers, scaled_sketch
 
+#: Bases of a k-mer that a 64-bit number holds.
+WORD = 32
+_CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate("ACGT"):
+    _CODE[[ord(_c), ord(_c.lower())]] = _i
+
 
 def with_following(chunks: DataFrame, record: list[str], number: str, symbols: str, size: int, name: str = "window") -> DataFrame:
     """``chunks`` with column ``name``: a chunk's symbols and the ``size - 1`` symbols that follow it in its record.
@@ -37,12 +49,53 @@ def with_following(chunks: DataFrame, record: list[str], number: str, symbols: s
     return chunks.join(tails, [*record, number], "left").withColumn(name, F.concat(F.col(symbols), F.coalesce("__tail", F.lit("")))).drop("__tail")
 
 
+def canonical_codes(symbols: bytes, size: int) -> np.ndarray:
+    """Distinct canonical k-mers of at most ``WORD`` symbols as numbers, two bits a base, in the order of their texts."""
+    code = _CODE[np.frombuffer(symbols, np.uint8)]
+    n = len(code) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    forward, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(size):
+        here = code[j : j + n].astype(np.uint64)
+        forward = (forward << np.uint64(2)) | (here & np.uint64(3))
+        back |= (np.uint64(3) - (here & np.uint64(3))) << np.uint64(2 * j)
+    unknown = np.append(0, np.cumsum(code > 3))
+    return np.unique(np.minimum(forward, back)[unknown[size:] == unknown[:-size]])
+
+
+def _window_hashes(windows: DataFrame, keys: list[str], size: int, scale: int) -> DataFrame:
+    """(keys, h): hashes of the scaled sketch of each window."""
+    most = (1 << 60) // scale
+    shifts = np.arange(2 * (size - 1), -1, -2, dtype=np.uint64)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    schema = T.StructType([*(windows.schema[k] for k in keys), T.StructField("h", T.LongType())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes = [], []
+            for i, value in enumerate(batch.column(len(keys))):
+                codes = canonical_codes(value.as_py().encode("ascii", "replace"), size)
+                for at in range(0, len(codes), 1 << 16):
+                    text = letters[((codes[at : at + (1 << 16), None] >> shifts) & np.uint64(3)).astype(np.int64)].tobytes()
+                    found = [h for j in range(0, len(text), size) if (h := int(hashlib.md5(text[j : j + size]).hexdigest()[:15], 16)) < most]
+                    hashes += found
+                    rows += [i] * len(found)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[: len(keys)]), pa.array(hashes, pa.int64())], [*keys, "h"])
+
+    return windows.select(*keys, "__window").mapInArrow(apply, schema)
+
+
 def chunk_sketches(chunks: DataFrame, keys: list[str], record: list[str], number: str, symbols: str, size: int, scale: int) -> DataFrame:
     """(keys, hashes): the scaled sketch of all records of each key, ascending, whatever the length of chunks.
 
     No substring spans two records, or has a symbol that is unknown.
     """
     windows = with_following(chunks.select(*dict.fromkeys([*keys, *record, number, symbols])), record, number, symbols, size, "__window")
-    each = windows.select(*keys, F.explode(scaled_sketch(canonical_kmers(F.col("__window"), size), scale)).alias("h")).distinct()
+    if size > WORD:
+        each = windows.select(*keys, F.explode(scaled_sketch(canonical_kmers(F.col("__window"), size), scale)).alias("h"))
+    else:
+        each = _window_hashes(windows, keys, size, scale)
+    each = each.distinct()
     found = each.groupBy(*keys).agg(F.array_sort(F.collect_list("h")).alias("hashes"))
     return chunks.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes"))
