@@ -136,3 +136,24 @@ def _best_of_block(sets: DataFrame, shared: Broadcast, kind: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(best[some])], ["k", "j"])
 
     return sets.mapInArrow(apply, f"k {kind}, j double")
+
+
+def sketch_violations(sketches: DataFrame, key: str, hashes: str, scale: int, sizes: DataFrame | None = None) -> DataFrame:
+    """(key, rule): sketches that no scaled sketch can be, and keys that have more than one or none.
+
+    Rules are null, unsorted (which repeats are, too), out_of_range and repeated_key; with
+    ``sizes`` (key, hash_count) also other_size and missing.
+    """
+    h = F.col(hashes)
+    steps = F.sequence(F.lit(2), F.size(h))
+    unsorted = F.when(F.size(h) > 1, F.exists(steps, lambda i: F.element_at(h, i.cast("int")) <= F.element_at(h, (i - 1).cast("int")))).otherwise(False)
+    beyond = F.exists(h, lambda x: x.isNull() | (x < 0) | (x >= F.lit((1 << 60) // scale)))
+    rules = F.array_compact(F.array(F.when(h.isNull(), "null"), F.when(unsorted, "unsorted"), F.when(beyond, "out_of_range")))
+    found = sketches.select(key, F.explode(rules).alias("rule"))
+    twice = sketches.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, F.lit("repeated_key").alias("rule"))
+    out = found.unionByName(twice)
+    if sizes is not None:
+        own = sketches.select(key, F.coalesce(F.size(h), F.lit(-1)).alias("__n"))
+        both = sizes.select(key, "hash_count").join(own, key, "left").filter(~F.col("__n").eqNullSafe(F.col("hash_count")))
+        out = out.unionByName(both.select(key, F.when(F.col("__n").isNull(), "missing").otherwise("other_size").alias("rule")))
+    return out.distinct()
