@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.sequences import AMBIGUOUS, symbol_count
+from granary.plans import policy
 
 
 def n50(df: DataFrame, keys: list[str], length: str) -> DataFrame:
@@ -27,6 +28,29 @@ def symbol_histogram(df: DataFrame, keys: list[str], text: str, symbols: str) ->
     return sums.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.symbol", "p.n")
 
 
+def chunk_profile(chunks: DataFrame, keys: list[str], record: str = "record", symbols: str = "symbols", long: int = policy.LONG_SEQUENCE, most_n: float = policy.MOST_N_FRACTION) -> DataFrame:
+    """Statistics by file of records that are stored as chunk rows (keys, record, name, symbols), as ``sources.streamed`` reads them.
+
+    Beside those of ``sequence_profile``: the share of symbols in records of at least ``long``,
+    the share of N, and whether that is at most ``most_n``.  Chunks are counted where they are
+    read; only sums are shuffled.
+    """
+    s = F.coalesce(F.col(symbols), F.lit(""))
+    upper = F.upper(s)
+    each = chunks.groupBy(*keys, record).agg(
+        F.min("name").alias("name"), F.sum(F.length(s)).cast("bigint").alias("n"), F.sum(symbol_count(upper, "ACGT")).alias("acgt"), F.sum(symbol_count(upper, "GC")).alias("gc"),
+        F.sum(symbol_count(upper, "N")).alias("unknown"), F.sum(symbol_count(upper, AMBIGUOUS)).alias("ambiguous"), F.sum(symbol_count(s, "abcdefghijklmnopqrstuvwxyz")).alias("lower"),
+    )
+    sums = each.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("bigint").alias("sequence_count"), (F.count("name") - F.countDistinct("name")).cast("bigint").alias("duplicate_header_count"), F.count_if(F.col("n") == 0).cast("bigint").alias("empty_sequence_count"),
+        F.sum("n").alias("total_symbols"), F.min("n").alias("min_sequence_length"), F.max("n").alias("max_sequence_length"), F.sum("acgt").alias("acgt_count"), F.sum("gc").alias("gc_count"), F.sum("unknown").alias("n_count"),
+        F.sum("ambiguous").alias("iupac_ambiguous_count"), F.sum("lower").alias("lowercase_count"), F.coalesce(F.sum(F.when(F.col("n") >= long, F.col("n"))), F.lit(0)).alias("large_symbols"),
+    )
+    total = F.nullif(F.col("total_symbols"), F.lit(0))
+    sums = sums.withColumns({"invalid_symbol_count": F.col("total_symbols") - F.col("acgt_count") - F.col("n_count") - F.col("iupac_ambiguous_count"), "large_sequence_fraction": F.coalesce(F.col("large_symbols") / total, F.lit(0.0)), "n_fraction": F.coalesce(F.col("n_count") / total, F.lit(0.0))})
+    return sums.withColumn("n_fraction_passes", F.col("n_fraction") <= most_n).drop("large_symbols").join(n50(each, keys, "n"), keys)
+
+
 def sequence_profile(records: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics by file of a record table (keys, name, sequence), as ``sources.fasta`` reads it."""
     plain = records.withColumn("__s", F.regexp_replace(F.coalesce("sequence", F.lit("")), r"\s", ""))

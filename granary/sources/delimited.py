@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.gates import meets_rules
 from granary.operators.intervals import merge_inclusive
+from granary.plans import policy
 
 #: Columns of tabular alignment output with the query length last.
 ALIGNMENT = "query_id string, subject_id string, percent_identity double, alignment_length long, mismatches long, gap_opens long, query_start long, query_end long, subject_start long, subject_end long, e_value double, bit_score double, query_length long"
@@ -36,7 +39,7 @@ def report_table(lines: DataFrame, keys: list[str], columns: list[str], line: st
     return lines.filter(~F.col(line).startswith("#") & (F.trim(line) != "")).select(*keys, *(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)))
 
 
-def vector_hits(hits: DataFrame, rules: list[tuple[int, float]]) -> DataFrame:
+def vector_hits(hits: DataFrame, rules: Sequence[tuple[int, float]] = policy.VECTOR_RULES) -> DataFrame:
     """(query_id, hits, longest, bases): confident alignments by query, their merged length, longest first."""
     good = hits.filter(meets_rules(F.col("alignment_length"), F.col("percent_identity"), rules))
     spans = merge_inclusive(good.select("query_id", F.col("query_start").alias("start"), F.col("query_end").alias("end")), ["query_id"])

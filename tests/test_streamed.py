@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary.functions.sequences import normalised
-from granary.operators import kmers, similarity
+from granary.operators import kmers, profile, similarity
 from granary.sources import archive, fasta, gff, streamed
 
 
@@ -133,3 +133,16 @@ def test_sketches_do_not_depend_on_chunks(spark, tmp_path, chunk):
     whole = spark.createDataFrame([("k", s) for _, s in rows], "path string, s string")
     assert got == similarity.sequence_sketches(whole, "path", "s", 11, 3).first().hashes and len(got) > 50
     assert chunks.select(F.sum(F.length(normalised(F.col("symbols"))))).first()[0] == sum(len(s) for _, s in rows)
+
+
+@pytest.mark.parametrize("chunk", [7, 10_000])
+def test_profile_of_chunks_is_that_of_records(spark, tmp_path, chunk):
+    (tmp_path / "a.fa").write_text(text_of(records(6)) + ">r1 again\nRYKx\n")
+    got = profile.chunk_profile(streamed.sequence_chunks(spark, str(tmp_path), chunk), ["path"], long=300).first()
+    want = profile.sequence_profile(fasta.read_fasta(spark, str(tmp_path)), ["path"]).first()
+    for c in want.asDict():
+        if c != "path":
+            assert got[c] == want[c], c
+    whole = [s for _, s in records(6)] + ["RYKx"]
+    assert got.large_sequence_fraction == pytest.approx(sum(len(s) for s in whole if len(s) >= 300) / sum(map(len, whole)))
+    assert got.n_fraction == pytest.approx(sum(s.upper().count("N") for s in whole) / sum(map(len, whole))) and not got.n_fraction_passes
