@@ -12,8 +12,9 @@ the memory of a task is that of a block.  Rows of an exchange are blocks times r
 of a block's bytes over the ranges: at 8 MB a block that is 40 million rows at 30 GB; for
 very large corpora blocks must grow with the memory of executors.  The deal of documents is
 one shuffle of compressed texts, which Spark reuses for every later visit in the same query.
-Equal rows are dealt by where they are read as well, so that a row that is repeated very
-often does not land in one block.
+Equal rows are dealt by where they are read as well: those of ``NEIGHBOURS`` input partitions
+share a block, so a row that is repeated very often lands in as many blocks as its partitions
+fill.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ again.
 Defined results: null and empty texts and items match nothing; items shorter than an
 n-gram seed by their whole sequence; repeated items and rows are each reported; item ids must
 be whole numbers (anything else is an error), items without an id are ignored; extra
-columns are kept by ``with_hits`` whatever their names; empty tables give no hits.
+columns are kept by ``with_hits`` whatever their names; of passages that tie in score the first
+is reported; texts of any length are read whole, by one task; empty tables give no hits.
 """
 
 from __future__ import annotations

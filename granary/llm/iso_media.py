@@ -12,7 +12,8 @@ one map over Arrow batches: no shuffle, and memory bounded by one batch.
 
 Defined results: null or empty text is stored as one frame of spaces; null or broken
 media gives one row with null track fields and the reason in ``error``; an empty table
-gives an empty result; repeated rows repeat; other columns are not read.
+gives an empty result; repeated rows repeat, and there are no ties to decide; a text of any
+length is one payload of one task; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

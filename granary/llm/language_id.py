@@ -13,7 +13,9 @@ filter into one or two row lookups.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; with no
 labelled row to learn from every text is ``und``; ties go to the first language in
-alphabetical order; repeated rows repeat; other columns are not read.
+alphabetical order; repeated rows repeat; texts of any length are read whole, window by
+window; columns ``keep`` come through, others are not read; an empty table gives an empty
+result, and nothing to learn from.
 """
 
 from __future__ import annotations

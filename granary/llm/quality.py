@@ -16,8 +16,9 @@ found by counting sums in ever narrower ranges, never by a global sort or a coll
 Defined results: null and empty texts have no features, log weight 0, and count as
 target-like; repeated rows share weight and noise; rows whose sum equals the k-th
 largest are all kept; with no labelled good row all weights are 0 and all rows are
-kept; labels without a document are ignored, repeated labels count once; an empty
-table gives an empty result.
+kept; labels without a document are ignored, repeated labels count once; texts of any length
+are read whole, by one task, in parts; columns ``keep`` come through whatever their names,
+but for the three of the result, others are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -24,8 +24,11 @@ them at its anchor.  Such hot strings are told to the blocks as well, and on the
 100-byte string is exchanged by its own hash: first as a hash, then, if the corpus has it
 twice, as a segment of one start.
 
-No stage holds more than a block or a range of segments, and none expands copies into
-pairs.
+No stage expands copies into pairs.  Known limits: segments meet by their 20-byte seed, while hot
+is judged on 60 bytes, so a seed with very many contexts below ``hot`` gathers all their segments
+in the task of its range; strings on hot sides that one part of a block has twice are told apart
+by 64-bit hashes alone; a row that is repeated very often, in few input partitions, is dealt to
+few blocks.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing; a
 null key sorts before all others; equal rows count as one document and get one result
@@ -333,7 +336,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, blo
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every whole text.
 
     Sides of segments whose shared string occurs ``hot`` times or more are exchanged string by
-    string, so that no anchor gathers more than that many segments.
+    string, so that no such string gathers its contexts at one anchor.
     """
     dealt, n, _, opened = exchange.deal(df, key, text, block_bytes)
 
