@@ -44,10 +44,9 @@ TOLERANCE = 1e-7
 
 
 def _present(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, text) of the distinct tokens and pairs of neighbouring tokens of each text, and tokens by text."""
+    """(bucket, text) of the distinct tokens of each text, and tokens by text."""
     h, text = features.tokens(part)
-    both, of = features.pairs(h, text)
-    found = np.unique(np.append(text * BUCKETS + features.bucket(h, BUCKETS), of * BUCKETS + features.bucket(both, BUCKETS)))
+    found = np.unique(text * BUCKETS + features.bucket(h, BUCKETS))
     return found % BUCKETS, found // BUCKETS, np.bincount(text, minlength=len(part))
 
 
