@@ -6,9 +6,11 @@ prefixes are dealt to buckets.  The order is by hash, with shingles that a sampl
 shows to be common at the end: the sample decides how large buckets get, never which pairs
 are found.  Every candidate is verified on whole sets.
 
-Small buckets give all their pairs.  A large one first links its members to a pivot and to
-their neighbours by size; once components are known, it gives the pairs between different
-components only, so a large group of near copies never makes all its pairs.
+Small buckets give all their pairs.  Buckets are counted before any is gathered: the members
+of a large one are first paired with one of them, drawn by hash; once components are known, a
+bucket that still holds several is dealt into cells of two blocks of its members, which give
+the pairs between different components only.  So a large group of near copies never makes all
+its pairs, and no list is longer than two blocks.
 
 Defined results: words are runs of bytes other than ASCII white space; fewer words than a
 shingle make one shingle; null texts and texts without words are one node; shingles and
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 
 from granary.operators.components import connected_components
 from granary.operators.lineage import written
+from granary.operators.skew import splittable
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Buckets up to this size give all their pairs at once.
-SMALL = 48
+#: Buckets up to this size give all their pairs at once; members of a block of a larger one.
+SMALL, BLOCK = 48, 1024
+#: Chooses the member of a large bucket that all others are paired with; fixed, any will do.
+SALT = 0x38495AB5E6546B64
 #: One node of ``SAMPLE`` is looked at for common shingles; ``COMMON`` of these must hold one; at most ``MOST`` are broadcast.
 SAMPLE, COMMON, MOST = 16, 6, 500_000
 #: Places of the bitmap of nodes to be verified.
@@ -135,22 +140,22 @@ def _prefixes(sets: DataFrame, common: np.ndarray, threshold: float) -> DataFram
 
 
 def _pairs(buckets: DataFrame, threshold: float, how: str) -> DataFrame:
-    """(a, b), a < b, of sizes that can be similar: all of each bucket, its ``star``, or those ``across`` components."""
+    """(a, b), a < b, of sizes that can be similar: ``all`` of each list, or those ``across`` components.
 
-    def of(node: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    Members have a side; a list with two of them gives pairs of different sides only.
+    """
+
+    def of(node: np.ndarray, n: np.ndarray, c: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         by = np.lexsort((node, n))
-        node, n, c = node[by], n[by], c[by]
-        if how == "star":
-            middle = len(n) // 2
-            i, j = np.append(np.arange(len(n) - 1), np.full(len(n), middle)), np.append(np.arange(1, len(n)), np.arange(len(n)))
-            fit = (i != j) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-            yield node[i[fit]], node[j[fit]]
-            return
+        node, n, c, side = node[by], n[by], c[by], side[by]
+        two = side.min() != side.max()
         to = np.searchsorted(n, n / threshold + 1e-6, side="right")
         for i in range(len(n) - 1):
             j = np.arange(i + 1, to[i])
             if how == "across":
                 j = j[c[j] != c[i]]
+            if two:
+                j = j[side[j] != side[i]]
             if len(j):
                 yield np.full(len(j), node[i]), node[j]
 
@@ -158,13 +163,13 @@ def _pairs(buckets: DataFrame, threshold: float, how: str) -> DataFrame:
         for batch in batches:
             lists = batch.column(0)
             ends, values = lists.offsets.to_numpy(), lists.values
-            node, n, c = (values.field(f).to_numpy() for f in ("node", "n", "c"))
+            node, n, c, side = (values.field(f).to_numpy() for f in ("node", "n", "c", "side"))
             sizes = np.diff(ends)
             two = ends[:-1][sizes == 2]
             fit = (np.minimum(n[two], n[two + 1]) >= threshold * np.maximum(n[two], n[two + 1]) - 1e-9) & ((how != "across") | (c[two] != c[two + 1]))
             out, held = [(node[two[fit]], node[two[fit] + 1])], 0
             for at in np.flatnonzero(sizes > 2):
-                for pair in of(*(v[ends[at] : ends[at + 1]] for v in (node, n, c))):
+                for pair in of(*(v[ends[at] : ends[at + 1]] for v in (node, n, c, side))):
                     out.append(pair)
                     held += len(pair[0])
                     if held > 1 << 18:
@@ -223,34 +228,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return score.filter(F.col("jaccard") >= F.lit(threshold))
 
 
-def _buckets(sets: DataFrame, threshold: float, sample: int) -> DataFrame:
-    """(members) of each element that prefixes of several nodes hold."""
-    keyed = _prefixes(sets, _common(sets, sample), threshold)
-    members = F.collect_set(F.struct("node", "n", F.lit(0).cast("bigint").alias("c"))).alias("members")
-    return written(keyed.groupBy("x").agg(members).filter(F.size("members") > 1).select("members"), "buckets")
+def _keyed(sets: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """(x, node, n, m): prefixes of distinct nodes, and how many nodes have each element; at least two."""
+    keyed = written(_prefixes(sets, _common(sets, sample), threshold).distinct(), "prefixes")
+    counted = keyed.groupBy("x").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return written(keyed.join(splittable(counted, "x"), "x"), "keyed")
 
 
-def node_pairs(sets: DataFrame, threshold: float = SIMILAR, sample: int = SAMPLE) -> DataFrame:
-    """(a, b, jaccard) of every similar pair of nodes; ``sets`` (node, items) should be written."""
-    buckets = _buckets(sets, threshold, sample)
-    none = buckets.select(F.lit(0).cast("bigint").alias("node")).limit(0)
-    return _verified(written(_promising(buckets, none, threshold), "candidates"), sets, threshold)
+def _lists(keyed: DataFrame) -> DataFrame:
+    """(members) of each element of ``keyed``, whose elements should have few nodes each."""
+    member = F.struct("node", "n", F.lit(0).cast("bigint").alias("c"), F.lit(0).alias("side"))
+    return keyed.groupBy("x").agg(F.collect_list(member).alias("members")).select("members")
 
 
-def node_components(sets: DataFrame, threshold: float = SIMILAR, small: int = SMALL, sample: int = SAMPLE) -> DataFrame:
+def node_pairs(sets: DataFrame, threshold: float = SIMILAR, sample: int = SAMPLE, small: int = SMALL) -> DataFrame:
+    """(a, b, jaccard) of every similar pair of nodes; ``sets`` (node, items) should be written."""
+    keyed = _keyed(sets, threshold, sample)
+    many = keyed.filter(F.col("m") > small)
+    hot = many.select("node").distinct()
+    few = _promising(_lists(keyed.filter(F.col("m") <= small)), hot, threshold)
+    alone = many.select(F.col("x").alias("k"), "node", "n", "m", F.col("node").alias("c"))  # each its own component: all pairs
+    pairs = written(few.unionAll(_across(alone, threshold)).distinct(), "candidates")
+    return _verified(pairs, sets, threshold)
+
+
+def _across(named: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) between components ``c`` of the nodes that share an element ``k`` (m of them), cell by cell."""
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("node", "k"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    spread = named.select("k", F.struct("node", "n", "c", own.alias("side")).alias("member"), F.explode(cells).alias("cell"))
+    lists = spread.groupBy("k", "cell").agg(F.collect_list("member").alias("members"), F.min("member.c").alias("lo"), F.max("member.c").alias("hi")).filter("lo <> hi")
+    return _pairs(lists, threshold, "across")
+
+
+def node_components(sets: DataFrame, threshold: float = SIMILAR, small: int = SMALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(node, component) of every node that has a similar other; ``sets`` (node, items) should be written."""
-    buckets = _buckets(sets, threshold, sample)
-    few, many = buckets.filter(F.size("members") <= small), buckets.filter(F.size("members") > small).distinct()
-    hot = many.select(F.explode("members").alias("m")).select("m.node").distinct()
-    pairs = written(_promising(few, hot, threshold).unionAll(_pairs(many, threshold, "star")).distinct(), "candidates")
+    keyed = _keyed(sets, threshold, sample)
+    many = written(keyed.filter(F.col("m") > small), "large")
+    hot = many.select("node").distinct()
+    salted = F.col("node").bitwiseXOR(F.lit(SALT))
+    pivots = many.groupBy("x").agg(F.min(F.struct(salted.alias("h"), "node", "n")).alias("p")).select("x", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
+    star = many.join(splittable(pivots, "x"), "x").filter((F.col("node") != F.col("pivot")) & (F.least("n", "pn") >= F.lit(threshold) * F.greatest("n", "pn") - F.lit(1e-9)))
+    star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    few = _promising(_lists(keyed.filter(F.col("m") <= small)), hot, threshold)
+    pairs = written(few.unionAll(star).distinct(), "candidates")
     links = written(_verified(pairs, sets, threshold).select("a", "b"), "links")
-    flat = many.select(F.monotonically_increasing_id().alias("k"), "members").select("k", F.explode("members").alias("m")).select("k", "m.node", "m.n")
-    flat = written(flat, "large")
-    if not flat.isEmpty():
+    if not many.isEmpty():
         known = connected_components(links, "a", "b")
-        named = flat.join(known, "node", "left").select("k", F.struct("node", "n", F.coalesce("component", "node").alias("c")).alias("m"))
-        mixed = named.groupBy("k").agg(F.collect_list("m").alias("members"), F.min("m.c").alias("lo"), F.max("m.c").alias("hi")).filter("lo <> hi")
-        rest = written(_pairs(mixed, threshold, "across").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
+        named = written(many.join(known, "node", "left").select(F.col("x").alias("k"), "node", "n", "m", F.coalesce("component", "node").alias("c")), "named")
+        mixed = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k")
+        met = _across(named.join(splittable(mixed, "k"), "k"), threshold, block)
+        rest = written(met.distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
         links = links.unionAll(_verified(rest, sets, threshold).select("a", "b"))
     return connected_components(links, "a", "b")
 
