@@ -1,8 +1,10 @@
 """Dense numbers against a sort on one machine."""
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from granary.operators import numbering
+from granary.operators import numbering, shards
 
 
 def test_numbers_in_order_with_far_keys_strings_and_nulls(spark):
@@ -39,3 +41,11 @@ def test_copies_are_numbered_on_and_expanded(spark, monkeypatch):
     got = numbering.expanded(numbering.numbered(df, ["k"], "at", "n"), "at", "n").orderBy("at").collect()
     assert [(r["k"], r["at"]) for r in got] == [(k, i) for i, k in enumerate("aaa" + "b" + "c" * 47)]
     assert numbering.numbered(df.limit(0), ["k"], "at").collect() == []
+
+
+def test_exactly_one_row_has_a_task_index(spark):
+    tasks = shards.task_index(spark.createDataFrame([("b",), ("a",), ("c",)], "k string"), "k")
+    assert [tuple(r) for r in shards.at_task_index(tasks, 2).collect()] == [("b", 2)]
+    for index, rows in ((4, tasks), (1, tasks.unionAll(tasks))):
+        with pytest.raises(PySparkException, match="rows with task_index"):
+            shards.at_task_index(rows, index).collect()
