@@ -28,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,16 +108,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, key: str, text: str, doma
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), column], ["k", "y", "b"])
                 at += len(part)
 
-    found = joined.mapInArrow(sparse, f"k {dict(docs.dtypes)[key]}, y string, b array<int>").orderBy(F.xxhash64("k", "b"), "k").limit(2 * sample_rows).toArrow()
-    found = found.append_column("n", pc.list_value_length(found["b"]))
-    found = found.take(pc.sort_indices(found, sort_keys=[("k", "ascending"), ("y", "ascending"), ("n", "ascending")])).combine_chunks()
-    named = found["y"].to_pylist()
-    domains = sorted(set(named))
+    # Collected as rows: each task's first rows go to the driver at once, and none are gathered in one task before.
+    rows = joined.mapInArrow(sparse, f"k {dict(docs.dtypes)[key]}, y string, b array<int>").orderBy(F.xxhash64("k", "b"), "k").limit(2 * sample_rows).collect()
+    rows.sort(key=lambda r: (r["k"], r["y"], len(r["b"])))
+    domains = sorted({r["y"] for r in rows})
     if not domains:
         return Classifier(["all"], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
-    lists = found["b"].chunk(0)
-    flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return train([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.array([domains.index(y) for y in named]), domains)
+    return train([np.array(r["b"], np.int64) for r in rows], np.array([domains.index(r["y"]) for r in rows]), domains)
 
 
 def posteriors(docs: DataFrame, text: str, model: Classifier, keep: tuple[str, ...]) -> DataFrame:
