@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.operators.gates import best
 from granary.operators.profile import smallest
@@ -80,23 +81,40 @@ def fallback_pairing(left: DataFrame, right: DataFrame, key: tuple[str, str], fa
     """``left`` with the group of right rows it pairs with: by a precise key, else by a wider one.
 
     Adds pair_level (1, 2 or null), pair_key, paired_count and paired_ids, the ``preview``
-    smallest ids.  All ids of a group are the rows of ``pair_members`` with its level and key;
-    they are not repeated for each left row, as a wide key may have any number of them on
-    either side.
+    smallest ids (0: none are looked for).  All ids of a group are the rows of ``pair_members``
+    with its level and key; they are not repeated for each left row, as a wide key may have any
+    number of them on either side.
     """
     members = pair_members(right, key[1], fallback[1], right_id)
-    counts = members.groupBy("pair_level", "pair_key").agg(F.count(F.lit(1)).alias("paired_count"))
-    few = smallest(members, ["pair_level", "pair_key"], right_id, preview, "paired_ids")
-    groups = counts.join(few, ["pair_level", "pair_key"])
+    groups = members.groupBy("pair_level", "pair_key").agg(F.count(F.lit(1)).alias("paired_count"))
+    if preview:
+        few = smallest(members, ["pair_level", "pair_key"], right_id, preview, "paired_ids")
+        groups = groups.join(few, ["pair_level", "pair_key"])
+    else:
+        groups = groups.withColumn("paired_ids", F.array().cast(T.ArrayType(members.schema[right_id].dataType)))
     out = left
     for level, (own, _) in enumerate((key, fallback), 1):
         named = groups.filter(F.col("pair_level") == level).select(F.col("pair_key").alias(f"__k{level}"), F.struct("pair_level", "pair_key", "paired_count", "paired_ids").alias(f"__g{level}"))
         out = out.join(splittable(named, f"__k{level}"), F.col(own).cast("string") == F.col(f"__k{level}"), "left")
     out = out.withColumn("__g", F.coalesce("__g1", "__g2"))
-    ids = F.coalesce("__g.paired_ids", F.array().cast(few.schema["paired_ids"].dataType))
+    ids = F.coalesce("__g.paired_ids", F.array().cast(groups.schema["paired_ids"].dataType))
     return out.select(*left.columns, "__g.pair_level", "__g.pair_key", F.coalesce("__g.paired_count", F.lit(0)).cast("bigint").alias("paired_count"), ids.alias("paired_ids"))
 
 
+def whole_pairing(left: DataFrame, right: DataFrame, key: tuple[str, str], fallback: tuple[str, str], left_id: str, right_id: str) -> DataFrame:
+    """(side, id, pair_level, pair_key, paired_count): every pair of ``fallback_pairing`` as its group's two sides.
+
+    A row of side "left" pairs with each row of side "right" that has its level and key, and with
+    no other, so no pair is lost and none is written out: the result is one row for each left row
+    and one for each right row of each group that a left row pairs with.  ``paired_count`` is how
+    many rows of the other side a row has; a left row without a group has none.
+    """
+    found = fallback_pairing(left, right, key, fallback, right_id, 0).select(F.col(left_id).alias("id"), "pair_level", "pair_key", "paired_count")
+    used = found.filter("pair_level IS NOT NULL").groupBy("pair_level", "pair_key").agg(F.count(F.lit(1)).alias("paired_count"))
+    members = pair_members(right, key[1], fallback[1], right_id).join(splittable(used, "pair_level", "pair_key"), ["pair_level", "pair_key"])
+    return found.select(F.lit("left").alias("side"), "*").unionByName(members.select(F.lit("right").alias("side"), F.col(right_id).alias("id"), "pair_level", "pair_key", "paired_count"))
+
+
 def alias_rows(df: DataFrame, aliases: list[str], name: str = "alias") -> DataFrame:
     """One row per alias column that says something ("na" and blanks say nothing)."""
     exploded = df.withColumn(name, F.explode(F.array_distinct(F.array(*aliases))))

@@ -77,9 +77,11 @@ ORACLES = {
     "first_failure": "SELECT user_id, event_id, value FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "fallback_pairing": """WITH s AS (SELECT s_suppkey, n_name || '|' || CAST(CAST(floor(s_acctbal / 1000) AS BIGINT) AS VARCHAR) AS pk, n_name AS fk FROM supplier JOIN nation ON s_nationkey = n_nationkey),
       c AS (SELECT c_custkey, n_name || '|' || CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS pk, n_name AS fk FROM customer JOIN nation ON c_nationkey = n_nationkey),
-      a AS (SELECT pk, count(*) AS n, array_to_string(list_slice(list(c_custkey ORDER BY c_custkey), 1, 20), ';') AS l FROM c GROUP BY pk), b AS (SELECT fk, count(*) AS n, array_to_string(list_slice(list(c_custkey ORDER BY c_custkey), 1, 20), ';') AS l FROM c GROUP BY fk)
-      SELECT s_suppkey, CASE WHEN a.pk IS NOT NULL THEN 1 WHEN b.fk IS NOT NULL THEN 2 END AS pair_level, coalesce(a.pk, b.fk) AS pair_key, coalesce(a.n, b.n, 0) AS paired_count, coalesce(a.l, b.l, '') AS paired
-      FROM s LEFT JOIN a ON s.pk = a.pk LEFT JOIN b ON s.fk = b.fk""",
+      m AS (SELECT c_custkey, 1 AS pair_level, pk AS pair_key FROM c UNION ALL SELECT c_custkey, 2, fk FROM c), g AS (SELECT pair_level, pair_key, count(*) AS n FROM m GROUP BY ALL),
+      p AS (SELECT s_suppkey, coalesce(a.pair_level, b.pair_level) AS pair_level, coalesce(a.pair_key, b.pair_key) AS pair_key, coalesce(a.n, b.n, 0) AS n
+        FROM s LEFT JOIN g a ON a.pair_level = 1 AND s.pk = a.pair_key LEFT JOIN g b ON b.pair_level = 2 AND s.fk = b.pair_key),
+      u AS (SELECT pair_level, pair_key, count(*) AS n FROM p WHERE pair_level IS NOT NULL GROUP BY ALL)
+      SELECT 'left' AS side, s_suppkey AS id, pair_level, pair_key, n AS paired_count FROM p UNION ALL SELECT 'right', c_custkey, pair_level, pair_key, n FROM m JOIN u USING (pair_level, pair_key)""",
     "union_catalog": "SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, '.' FROM supplier",
     "style_majority": """WITH n AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
       SELECT user_id, event_type AS style FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1""",
