@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.sequences import token_arrays
+from granary.operators.batches import bounded
 from granary.operators.skew import splittable
 from granary.plans import policy
 
+#: Ids that ``span_mask`` masks at once: three arrays of 64 bits an id.
+AT_ONCE = 1 << 20
+
 
 def two_level_weights(df: DataFrame, group: str, size: str, penalties: list[str], group_power: float = policy.SPECIES_POWER, member_power: float = policy.MEMBER_POWER, eligible: Column | None = None) -> DataFrame:
     """Adds ``sampling_weight``: share of the group's tempered size, times the member's share within it.
@@ -167,7 +171,7 @@ def span_mask(df: DataFrame, keys: list[str], ids: str, seed: int, probability:
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{ids}` array<bigint>, masked array<bigint>, labels array<bigint>"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, 1, AT_ONCE)):
             if text:
                 values, ends = token_arrays(batch.column(1))
             else:
