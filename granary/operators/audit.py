@@ -29,9 +29,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def missing_and_extra(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
-    """(key, side): keys expected but not there, and there but not expected."""
-    a, b = expected.select(key).distinct(), observed.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("extra")))
+    """(key, side): keys expected but not there, and there but not expected; a null key equals none.
+
+    One aggregate over both tables: a task holds each of its keys once, with two flags, and sorts none.
+    """
+    both = expected.select(key, F.lit(True).alias("__in"), F.lit(False).alias("__out")).unionAll(observed.select(key, F.lit(False), F.lit(True)))
+    seen = both.groupBy(key).agg(F.bool_or("__in").alias("__in"), F.bool_or("__out").alias("__out"))
+    alone = seen.filter((F.col("__in") != F.col("__out")) | F.col(key).isNull())
+    sides = F.array_compact(F.array(F.when(F.col("__in"), "missing"), F.when(F.col("__out"), "extra")))
+    return alone.select(key, F.explode(sides).alias("side"))
 
 
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
