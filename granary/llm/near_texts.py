@@ -13,9 +13,12 @@ once in 10,000 pairs at the very threshold).  Texts with more than ``WORDS`` sha
 without any is met once in two million.  A set that a partner of other size could move to the
 next power is dealt both ways.
 
-Shingles that a sample of texts shows to be common weigh nothing, as long as a third of a
+Shingles that are common in the whole corpus weigh nothing, as long as a third of a
 text's shingles is rare; texts that are mostly common ones also (or only) get words with
-equal weights.  So a passage that a third of the corpus quotes makes no common word.
+equal weights.  So a passage that a third of the corpus quotes makes no common word.  All texts
+are counted: shingles fall by hash into ``CLASSES``, and a class is common if so many texts hold
+it, and ``OVER`` times as many as a class on average.  So no more than one class in ``OVER`` is common,
+without a cap, and what goes to the tasks is a bitmap of fixed size.
 
 Pairs that share a word are kept if their long fingerprints differ in few of the bits of words
 that either has (see ``_most``; unrelated texts: half) and their parities do (a bitmap in which
@@ -57,8 +60,10 @@ WORDS = 32
 SPREAD = 0.145
 #: Shares of rare shingles from which a text has rare words, and up to which it has words of all shingles.
 RARE_FROM, ALL_UP_TO = 0.34, 0.6
-#: One text of ``SAMPLE`` is looked at for common shingles; ``COMMON`` of these must hold one; at most ``MOST`` are broadcast.
-SAMPLE, COMMON, MOST = 16, 6, 500_000
+#: Classes of shingles, and those counted by one group; times the average from which a class is common.
+CLASSES, GROUP, OVER = 1 << 24, 1 << 14, 16
+#: ``SAMPLE * COMMON`` texts at least must hold a common class.
+SAMPLE, COMMON = 16, 6
 #: Bits of a parity, and how many more than expected may differ where sets are large; five standard deviations.
 PARITY, BEYOND = 1024, 80.0
 #: Nodes in a block, and pairs of a node that each visit of a list verifies at most; the last visit takes all.
@@ -97,11 +102,11 @@ def _votes(h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def long_prints(h: np.ndarray, counts: np.ndarray, common: np.ndarray, threshold: float = SIMILAR) -> list[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(texts, mode, level, shingles that weigh, words) of each way in which texts are dealt.
 
-    ``h`` has distinct hashes of each text, ascending.  A word of an empty share is zero.
+    ``h`` has distinct hashes of each text, ascending; ``common`` is a bitmap.  A word of an empty share is zero.
     ``mode`` is 0 for rare shingles and 1 for all.
     """
     of = np.repeat(np.arange(len(counts)), counts)
-    rare = ~(common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h) if len(common) else np.ones(len(h), bool)
+    rare = ~is_common(h, common)
     rares = np.bincount(of, rare, minlength=len(counts))
     own, other = _level(counts, threshold), _level(np.floor(counts / threshold + 1e-9).astype(np.int64), threshold)
     out = []
@@ -143,8 +148,8 @@ def _nodes(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((xxhash.xxh64_intdigest(h[a:b].data) if b > a else 0 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.uint64, len(counts)), ends
 
 
-def _sets(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """(node, items) of every text that is not empty, or of those whose node may be in a bitmap."""
+def _sets(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(node, items) of the texts that are not empty and whose node may be in a bitmap."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,19 +158,63 @@ def _sets(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
             h, counts = shingle_hashes(batch.column(0), SHINGLE)
             node, ends = _nodes(h, counts)
             low = node % np.uint64(BITS)
-            on = node != 0 if bits is None else (node != 0) & (bits[low >> np.uint64(3)] >> (np.uint64(7) - (low & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+            on = (node != 0) & (bits[low >> np.uint64(3)] >> (np.uint64(7) - (low & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
             items = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), items], ["node", "items"]).filter(pa.array(on))
 
     return texts.mapInArrow(apply, _SET)
 
 
-def _common(texts: DataFrame, sample: int) -> np.ndarray:
-    """Shingles that many sampled texts hold, ascending."""
-    some = _sets(texts.filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)).dropDuplicates(["node"])
-    counts = some.select(F.explode("items").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "x").limit(MOST).select("x").toArrow().column(0).to_numpy()
-    return np.sort(top.view(np.uint64))
+def _class(h: np.ndarray) -> np.ndarray:
+    """The class of each shingle hash."""
+    return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - (CLASSES.bit_length() - 1))).astype(np.int64)
+
+
+def is_common(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingle hashes are of a class that a bitmap of ``CLASSES`` has; of an empty one, none."""
+    if not len(common):
+        return np.zeros(len(h), bool)
+    at = _class(h)
+    return (common[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(class, n) of every class of shingles: how often all texts hold it, each shingle once a text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int32)
+        for batch in batches:
+            at, n = np.unique(_class(np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(part.column(0), SHINGLE)[0] for part in _slices([batch]))])), return_counts=True)
+            total[at] += n.astype(np.int32)
+        held = np.flatnonzero(total)
+        cuts = np.searchsorted(held, np.arange(0, CLASSES + 1, GROUP))
+        for a in range(0, len(cuts) - 1, 64):  # a few groups at once
+            ends = cuts[a : a + 65]
+            some = held[ends[0] : ends[-1]]
+            at = pa.array((ends - ends[0]).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(at, pa.array(x)) for x in ((some % GROUP).astype(np.int16), total[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(ends) - 1, dtype=np.int32)), *lists], ["group", "places", "n"]).filter(pa.array(np.diff(ends) > 0))
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(GROUP, np.int64)
+        for batch in batches:
+            np.add.at(total, batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy())
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held + key[0].as_py() * GROUP), pa.array(total[held])], ["class", "n"])
+
+    parts = texts.mapInArrow(count, "group int, places array<smallint>, n array<int>")
+    return parts.groupBy("group").applyInArrow(merge, "class long, n long")
+
+
+def _common(texts: DataFrame, least: int) -> np.ndarray:
+    """A bitmap of the classes of shingles that are common in all texts."""
+    counted = written(_counted(texts), "classes")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    at = counted.filter(F.col("n") >= max(least, -(-OVER * total // CLASSES))).select("class").toArrow().column(0).to_numpy()
+    forget(counted)
+    common = np.zeros(CLASSES >> 3, np.uint8)
+    np.bitwise_or.at(common, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+    return common
 
 
 def _rows(df: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
@@ -320,9 +369,12 @@ def components(texts: DataFrame, prints: DataFrame, threshold: float = SIMILAR,
 
 
 def grouped(df: DataFrame, key: str, text: str, threshold: float = SIMILAR, sample: int = SAMPLE, **more: int) -> DataFrame:
-    """(row_1, row_2, key, root) of every row: the row's digests, its key, the name of its component of similar texts."""
+    """(row_1, row_2, key, root) of every row: the row's digests, its key, the name of its component of similar texts.
+
+    ``sample`` times ``COMMON`` texts at least must hold a common shingle; all texts are counted.
+    """
     texts = df.select(F.col(text).alias("text"))
-    common = _common(texts, sample)
+    common = _common(texts, sample * COMMON)
     rows = written(_rows(df.select(F.col(text).alias("text"), *_digests(df), F.col(key).alias("key")), common, threshold), "fingerprints")
     flat = rows.select("node", F.explode("prints").alias("p")).select("node", "p.*")
     prints = written(flat.groupBy("node", "kind").agg(F.first("n").alias("n"), F.first("weighed").alias("weighed"), F.first("words").alias("words"), F.first("parity").alias("parity")), "prints")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,19 @@ def test_components_on_the_largest_table_equal_the_exact_join(spark):
     got = found.join(found.groupBy("root").agg(F.min("key").alias("first")), "root").select("key", "first").collect()
     want = near_copies.clusters(docs, "doc_id", "text").collect()
     assert {r.key: r["first"] for r in got} == {r.doc_id: r.component_id for r in want}
+
+
+def test_common_shingles_are_counted_over_all_texts(spark):
+    """Every text counts, whatever its hash, and nothing caps the classes that are common."""
+    line = "a line that stands in six of the texts"
+    rows = [(i, f"{line} and then {i} goes on with words of its own {i * 7}") for i in range(6)] + [(i, f"number {i} says what no other {i} says here {i}") for i in range(6, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts, sets = df.select("text"), [near_copies.shingle_hashes(pa.array([t]), 5)[0] for _, t in rows]
+    flat = np.concatenate(sets)
+    classes, n = np.unique(near_texts._class(flat), return_counts=True)
+    assert {r["class"]: r["n"] for r in near_texts._counted(texts).collect()} == dict(zip(classes.tolist(), n.tolist(), strict=True))
+    common = near_texts._common(texts, 6)
+    shingles = near_copies.shingle_hashes(pa.array([line]), 5)[0]
+    assert len(shingles) == 5 and near_texts.is_common(shingles, common).all()
+    assert near_texts.is_common(flat, common).sum() == sum(n[n >= 6])
+    assert not near_texts._common(texts, 7 + max(n)).any() and not near_texts._common(texts.limit(0), 1).any()
