@@ -76,3 +76,20 @@ def test_whole_sets_of_shingles(spark, tmp_path, near_rows):
     pairs = {(min(a, b), max(a, b)): len(x & y) / len(x | y) for x, a in heads.items() for y, b in heads.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
     found = {(r.left, r.right): r.jaccard for r in QUERIES["shingle_jaccard"](spark, str(tmp_path)).collect()}
     assert found == pytest.approx(pairs, abs=1e-9) and len(pairs) > 20
+
+
+def test_pairs_of_a_group_are_verified_together(spark):
+    """A set is sent once to a cell, not once a pair: a group of 40 nodes is one cell, or cells of two blocks; so is a star."""
+    group = [(a, b) for b in range(100, 140) for a in range(100, b)]
+    star = [(a, 999) for a in range(900, 940)]
+    pairs = spark.createDataFrame(group + star, "a long, b long")
+    one = near_copies._cells(pairs, 64).collect()
+    assert sorted((r.a, r.b) for r in one) == sorted(group + star) and {(r.g, r.i, r.j) for r in one} == {(100, 0, 0), (900, 0, 0)}
+    many = near_copies._cells(pairs, 8).collect()
+    assert sorted((r.a, r.b) for r in many) == sorted(group + star) and all(r.i <= r.j < 6 for r in many)
+    assert len({(r.g, r.i, r.j) for r in many if r.g == 100}) <= 15
+    sets = spark.createDataFrame([(n, list(range(n % 10, n % 10 + 30))) for n in [*range(100, 140), *range(900, 940), 999]], "node long, items array<long>")
+    want = {(a, b): (30 - abs(a % 10 - b % 10)) / (30 + abs(a % 10 - b % 10)) for a, b in group + star}
+    for block in (4, 64):
+        got = {(r.a, r.b): r.jaccard for r in near_copies._verified(pairs, sets, 0.8, block).collect()}
+        assert got == {k: v for k, v in want.items() if v >= 0.8}
