@@ -20,17 +20,31 @@ def _islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int) ->
     return opened.withColumn("__island", F.sum("__open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _merged(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
+    """Unions of intervals by one sort: the last row of an island has its ends, so nothing is grouped.
+
+    Starts ascend, so the latest row that opens an island has the largest start of those that do;
+    all before an island end before it, so the largest end up to its last row is its own.
+    """
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = df.select(*keys, start, end, (reach.isNull() | (F.col(start) > reach + gap)).alias("__open"))
+    low, high = F.max(F.when(F.col("__open"), F.col(start))).over(so_far), F.max(end).over(so_far)
+    ended = opened.select(*keys, low.alias("__low"), high.alias("__high"), F.coalesce(F.lead("__open").over(order), F.lit(True)).alias("__last"))
+    return ended.filter("__last").select(*keys, F.col("__low").alias(start), F.col("__high").alias(end))
+
+
 def merge_half_open(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Unions of half-open intervals; touching ones join, empty ones go, reversed ones are an error."""
     sound = df.select(*keys, F.when(F.col(end) < F.col(start), F.raise_error(F.lit("reversed interval"))).otherwise(F.col(start)).cast("bigint").alias(start), F.col(end).cast("bigint").alias(end))
-    merged = _islands(sound.filter(F.col(end) > F.col(start)), keys, start, end, 0)
-    return merged.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    return _merged(sound.filter(F.col(end) > F.col(start)), keys, start, end, 0)
 
 
 def merge_inclusive(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Unions of closed intervals; adjacent ones join, reversed ends are swapped."""
     ordered = df.select(*keys, F.least(start, end).cast("bigint").alias(start), F.greatest(start, end).cast("bigint").alias(end))
-    return _islands(ordered, keys, start, end, 1).groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    return _merged(ordered, keys, start, end, 1)
 
 
 def merged_bases(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

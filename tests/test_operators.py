@@ -236,3 +236,22 @@ def test_shards(spark):
     assert [(r.id, r.tier) for r in batch] == [(0, 2)]
     left = shards.capped_retries(df.select("id"), spark.createDataFrame([(1,), (1,), (1,), (2,)], "id int"), "id").collect()
     assert sorted(r.id for r in left) == [0, 2, 3, 4]
+
+
+def test_merges_sort_once_and_group_nothing(spark):
+    """A task that merges holds one sort, no maps of islands."""
+    rows = [(k, (k * 37 + i * 53) % 400, (k * 37 + i * 53) % 400 + i % 9) for k in range(4) for i in range(60)]
+    df = spark.createDataFrame([*rows, (9, None, None), (9, None, None), (9, 7, None)], "k int, start long, end long")
+    for merge, gap in ((intervals.merge_half_open, 0), (intervals.merge_inclusive, 1)):
+        got = merge(df, ["k"])
+        plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+        want = [(9, None, None), (9, None, None), (9, 7, 7)] if gap else []
+        for k in range(4):
+            last = None
+            for s, e in sorted((s, e) for r, s, e in rows if r == k and (gap or e > s)):
+                if last and s <= last[2] + gap:
+                    last[2] = max(last[2], e)
+                else:
+                    want.append(last := [k, s, e])
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want)))
