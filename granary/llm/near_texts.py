@@ -332,7 +332,7 @@ def _nearest(lists: DataFrame, threshold: float, most: int | None) -> DataFrame:
 
 def _across(named: DataFrame, prints: DataFrame, threshold: float, block: int, most: int | None) -> DataFrame:
     """(a, b) of close pairs between components of nodes that share a word; ``named`` has (key, kind, node, c)."""
-    counted = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    counted = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key", "m")
     dealt = named.join(splittable(counted, "key"), "key").join(prints, ["kind", "node"]).withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int"))
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
@@ -355,15 +355,15 @@ def components(texts: DataFrame, prints: DataFrame, threshold: float = SIMILAR,
     known = connected_components(links, "a", "b")
     for most in VISITS:
         named = written(shared.join(known, "node", "left").select("key", "kind", "node", F.coalesce("component", "node").alias("c")), "named")
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        met = written(_across(named.join(splittable(mixed, "key"), "key"), prints, threshold, block, most), "met")
+        met = written(_across(named, prints, threshold, block, most), "met")
         forget(named)
         if met.isEmpty():
             break
         rest = written(met.join(tried, ["a", "b"], "left_anti"), "candidates")
         if not rest.isEmpty():
-            links, tried = links.unionAll(_similar(rest, texts, threshold)), tried.unionAll(rest)
-            known = connected_components(links, "a", "b")
+            links, tried = _similar(rest, texts, threshold), tried.unionAll(rest)
+            if not links.isEmpty():
+                known = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links), "a", "b")
     forget(shared), forget(tried)
     return known
 

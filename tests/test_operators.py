@@ -207,6 +207,33 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    from granary.operators import components
+
+    tables, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: tables.append(write(df, label)) or tables[-1])
+    stars = [(1, 5), (5, 1), (7, 1), (2, 9), (9, 8)]
+    got = components.connected_components(spark.createDataFrame(stars, "a long, b long"), "a", "b").collect()
+    assert {(r.node, r.component) for r in got} == {(1, 1), (5, 1), (7, 1), (2, 2), (9, 2), (8, 2)} and len(got) == 6
+    assert len(tables) == 2  # the edges and one round; none that changes nothing
+    kept = lambda edges: components._settled(spark.createDataFrame(edges, "u long, v long"))
+    assert kept([]) and kept([(5, 1), (7, 1), (9, 2)])
+    assert not kept([(5, 1), (5, 2)]) and not kept([(5, 2), (2, 1)])
+
+
+def test_component_rounds_join_by_shuffles_of_their_own(spark):
+    from granary.operators import components
+
+    edges = spark.createDataFrame([(5, 1), (7, 1)], "u long, v long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = edges.join(components._least(edges), "u")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 def test_sampling(spark):
     items = spark.createDataFrame([(i, w) for i, w in enumerate([5, 0, 1, 10, 3, 7, 2])], "id int, w int")
     draws = spark.range(500).select("id", (F.col("id") / 500).alias("u")).withColumnRenamed("id", "d")
