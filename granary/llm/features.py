@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes handled at once; bounds the working arrays of a task.
-PART_BYTES = 2 << 20
+#: Bytes handled at once; bounds the working arrays of a task, which take about 40 bytes each.
+PART_BYTES = 1 << 19
 
 _RADIX = 0x9E3779B97F4A7C15
 _INVERSE = pow(_RADIX, -1, 1 << 64)
@@ -38,7 +38,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the radix and of its inverse, at least ``n`` of each; the largest table is kept."""
     size = max([PART_BYTES, *(k for k in _powers)])
     if n > size or not _powers:
-        size = max(size, n)
+        size = max(size, 1 << (n - 1).bit_length())
         _powers.clear()
         up, down = np.full(size, _RADIX, np.uint64), np.full(size, _INVERSE, np.uint64)
         up[0] = down[0] = 1

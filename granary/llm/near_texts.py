@@ -72,7 +72,8 @@ BLOCK, VISITS = 1024, (4, 64, None)
 SALTS = (0x1B873593CC9E2D51, 0x38495AB5E6546B64, 0x2127599BF4325C37)
 #: Places of the bitmap of nodes whose sets are compared.
 BITS = 1 << 22
-_STEP = 2 << 20
+#: Bytes of texts handled at once, and distinct shingles whose votes are counted at once (one text at least).
+_STEP, _VOTING = 1 << 20, 1 << 15
 
 _ROW = T.StructType([T.StructField("node", T.LongType()), T.StructField("prints", T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("weighed", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])))])
 _SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
@@ -89,13 +90,15 @@ def _votes(h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     spread = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     spread ^= spread >> np.uint64(32)
     out = np.empty(len(first), np.uint64)
-    step = 1 << 15  # runs at once
-    for a in range(0, len(first), step):
-        part = first[a : a + step]
-        end = part[-1] + sizes[a : a + step][-1]
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + _VOTING)))
+        part = first[a:b]
+        end = part[-1] + sizes[b - 1]
         bits = np.unpackbits(spread[part[0] : end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes = np.add.reduceat(bits, part - part[0], axis=0, dtype=np.int32)
-        out[a : a + step] = np.packbits(2 * votes > sizes[a : a + step, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        out[a:b] = np.packbits(2 * votes > sizes[a:b, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        a = b
     return out
 
 
@@ -182,17 +185,21 @@ def _counted(texts: DataFrame) -> DataFrame:
     """(class, n) of every class of shingles: how often all texts hold it, each shingle once a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int32)
+        # Two bytes a class; a class is in ``carried`` once for each 65,536 texts.
+        total, carried = np.zeros(CLASSES, np.uint16), [np.zeros(0, np.int64)]
         for batch in batches:
-            at, n = np.unique(_class(np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(part.column(0), SHINGLE)[0] for part in _slices([batch]))])), return_counts=True)
-            total[at] += n.astype(np.int32)
-        held = np.flatnonzero(total)
-        cuts = np.searchsorted(held, np.arange(0, CLASSES + 1, GROUP))
-        for a in range(0, len(cuts) - 1, 64):  # a few groups at once
-            ends = cuts[a : a + 65]
-            some = held[ends[0] : ends[-1]]
-            at = pa.array((ends - ends[0]).astype(np.int32))
-            lists = (pa.ListArray.from_arrays(at, pa.array(x)) for x in ((some % GROUP).astype(np.int16), total[some]))
+            for part in _slices([batch]):  # of fewer texts than that
+                at, n = np.unique(_class(shingle_hashes(part.column(0), SHINGLE)[0]), return_counts=True)
+                total[at] += n.astype(np.uint16)
+                if (over := total[at] < n).any():
+                    carried.append(at[over])
+        more = np.sort(np.concatenate(carried))
+        for a in range(0, CLASSES // GROUP, 64):  # a few groups at once
+            n = total[a * GROUP : (a + 64) * GROUP].astype(np.int32)
+            np.add.at(n, more[slice(*np.searchsorted(more, (a * GROUP, a * GROUP + len(n))))] - a * GROUP, 1 << 16)
+            held = np.flatnonzero(n)
+            ends = np.searchsorted(held, np.arange(0, len(n) + 1, GROUP))
+            lists = (pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in ((held % GROUP).astype(np.int16), n[held]))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(ends) - 1, dtype=np.int32)), *lists], ["group", "places", "n"]).filter(pa.array(np.diff(ends) > 0))
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,8 @@ from granary.llm import features
 
 LENGTH = 100
 BLOCK_BYTES = 8 << 20
+#: Bytes of a part of a block.
+PART_BYTES = 2 << 20
 #: Bytes of an anchor.
 SEED = 20
 #: Starts in a segment at most; only periodic text reaches it.
@@ -158,7 +160,7 @@ class Segments:
 def _parts(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive parts of a block's texts."""
     out, at = [], 0
-    for part in features.parts(table["text"].combine_chunks()):
+    for part in features.parts(table["text"].combine_chunks(), PART_BYTES):
         data, offsets = features.raw(part)
         out.append((at, data, offsets))
         at += len(part)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -115,3 +116,52 @@ def test_common_shingles_are_counted_over_all_texts(spark):
     assert len(shingles) == 5 and near_texts.is_common(shingles, common).all()
     assert near_texts.is_common(flat, common).sum() == sum(n[n >= 6])
     assert not near_texts._common(texts, 7 + max(n)).any() and not near_texts._common(texts.limit(0), 1).any()
+
+
+class _Caught:
+    """Stands for a table: keeps the function that each batch would go through."""
+
+    def mapInArrow(self, function, _):
+        self.map = function
+        return self
+
+    def groupBy(self, _):
+        return self
+
+    def applyInArrow(self, function, _):
+        return self
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_counting_shingles_takes_little_memory_whatever_the_batch():
+    """A worker's arrays are those of one part of a batch and two bytes a class."""
+    rng = random.Random(3)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(str(rng.randrange(10**6)) for _ in range(3000)) for _ in range(400)])], ["text"])
+    caught = near_texts._counted(_Caught())
+    held, peak = _peak(lambda: sum(len(out.column(1).flatten()) for out in caught.map(iter([batch]))))
+    flat = np.concatenate([near_copies.shingle_hashes(batch.column(0).slice(a, 50), 5)[0] for a in range(0, 400, 50)])
+    assert held == len(np.unique(near_texts._class(flat))) and peak < 64 << 20
+
+
+def test_counts_of_shingles_go_beyond_two_bytes():
+    """One task counts a shingle of more than 65,536 texts, once or twice over, in full."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["the same five words here"] * 50_000 + ["a b c d e f"])], ["text"])
+    caught = near_texts._counted(_Caught())
+    n = np.concatenate([out.column(2).flatten().to_numpy() for out in caught.map(iter([batch] * 3))])
+    assert sorted(n.tolist()) == [3, 3, 150_000]
+
+
+def test_votes_of_many_runs_are_those_of_each():
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 3, near_texts._VOTING + 5, 2, 40_000, 7, 1])
+    h = rng.integers(0, 1 << 63, sizes.sum(), np.uint64)
+    first = np.cumsum(sizes) - sizes
+    each = [near_texts._votes(h[a : a + n], np.zeros(1, np.int64), np.array([n]))[0] for a, n in zip(first, sizes, strict=True)]
+    assert near_texts._votes(h, first, sizes).tolist() == each
